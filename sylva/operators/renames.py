@@ -35,11 +35,6 @@ def _file_dels(changes: DataFrame) -> DataFrame:
     return changes.where((F.col("change") == "delete") & ~F.col("is_dir") & F.col("size").isNotNull())
 
 
-def segment_key(col: str = "dest_path"):
-    """Segment order of paths ('/' sorts before every other character)."""
-    return F.split(F.col(col), "/")
-
-
 def _apply_pairs(changes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Replace paired add/delete rows by rename rows.
 
@@ -62,18 +57,28 @@ def _apply_pairs(changes: DataFrame, pairs: DataFrame) -> DataFrame:
     return rest.select(*WIDE_COLUMNS).unionByName(ren.select(*WIDE_COLUMNS))
 
 
+def order_key(kind: str):
+    """One string sort key per side, so both sides are numbered in one pass.
+
+    * additions: folded destination path, then the raw path as tie-break;
+    * deletions: segment order, i.e. '/' replaced by a character below every
+      other one, so a parent sorts before ``parent-x`` and ``parent/x``.
+    """
+    if kind == "add":
+        return F.concat(P.fold("dest_path"), F.lit("\u0000"), F.col("dest_path"))
+    return F.translate(F.col("dest_path"), "/", "\u0001")
+
+
 def rename_pairs(changes: DataFrame) -> DataFrame:
     """Exact-mode pairs ``old_path, new_path, size``."""
     adds = _file_adds(changes).where(F.col("content_hash").isNotNull()).select(
-        "size", "content_hash", "dest_path", P.fold("dest_path").alias("_fold"))
+        F.lit("add").alias("kind"), "size", "content_hash", "dest_path", order_key("add").alias("_k"))
     dels = _file_dels(changes).where(F.col("content_hash").isNotNull()).select(
-        "size", "content_hash", "dest_path", segment_key().alias("_seg"))
-    adds = group_row_number(adds, ["size", "content_hash"], ["_fold", "dest_path"], "rn")
-    dels = group_row_number(dels, ["size", "content_hash"], ["_seg"], "rn")
-    return (adds.select("size", "content_hash", "rn", F.col("dest_path").alias("new_path"))
-                .join(dels.select("size", "content_hash", "rn", F.col("dest_path").alias("old_path")),
-                      ["size", "content_hash", "rn"])
-                .select("old_path", "new_path", "size"))
+        F.lit("delete").alias("kind"), "size", "content_hash", "dest_path", order_key("delete").alias("_k"))
+    ranked = group_row_number(adds.unionByName(dels), ["kind", "size", "content_hash"], ["_k"], "rn")
+    a = ranked.where(F.col("kind") == "add").select("size", "content_hash", "rn", F.col("dest_path").alias("new_path"))
+    d = ranked.where(F.col("kind") == "delete").select("size", "content_hash", "rn", F.col("dest_path").alias("old_path"))
+    return a.join(d, ["size", "content_hash", "rn"]).select("old_path", "new_path", "size")
 
 
 def detect_renames(changes: DataFrame) -> DataFrame:
@@ -85,11 +90,16 @@ def detect_renames(changes: DataFrame) -> DataFrame:
 # fast mode
 
 
+def _pairs_frame(old: list, new: list) -> pd.DataFrame:
+    return pd.DataFrame({"old_path": pd.Series(old, dtype="object"),
+                         "new_path": pd.Series(new, dtype="object")})
+
+
 def _greedy_island(pdf: pd.DataFrame, tolerance_us: int) -> pd.DataFrame:
     adds = pdf[pdf["kind"] == "a"].sort_values(["fold_key", "path"])
     dels = pdf[pdf["kind"] == "d"].sort_values(["seg_key"]).reset_index(drop=True)
     if adds.empty or dels.empty:
-        return pd.DataFrame({"old_path": [], "new_path": []})
+        return _pairs_frame([], [])
     # deletions by time, with their priority (position in segment order)
     order = sorted(range(len(dels)), key=lambda i: dels.at[i, "t"])
     times = [int(dels.at[i, "t"]) for i in order]
@@ -108,7 +118,7 @@ def _greedy_island(pdf: pd.DataFrame, tolerance_us: int) -> pd.DataFrame:
             taken[best] = True
             old.append(dels.at[best, "path"])
             new.append(path)
-    return pd.DataFrame({"old_path": old, "new_path": new})
+    return _pairs_frame(old, new)
 
 
 def rename_pairs_fast(changes: DataFrame, tolerance_us: int = FAST_TOLERANCE_US) -> DataFrame:

@@ -183,7 +183,7 @@ PAGES = """pp AS (
   SELECT split_part(url, '://', 1) || '://' || regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS root,
          regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS raw_path
   FROM pages),
-segs AS (SELECT root, list_filter(string_split(raw_path, '/'), x -> x <> '') AS parts FROM pp),
+segs AS (SELECT root, list_filter(string_split(raw_path, '/'), lambda x: x <> '') AS parts FROM pp),
 n_per AS (SELECT root, count(*) AS n, min(parts) AS lo, max(parts) AS hi FROM segs GROUP BY root),
 cand AS (SELECT root, k, list_slice(parts, 1, k) AS pre FROM (
   SELECT root, parts, unnest(generate_series(1, len(parts))) AS k FROM segs)),

@@ -21,6 +21,7 @@ from sylva.operators import report as Rep
 from sylva.operators import select as S
 from sylva.operators.transition import apply_changes, operation_plan
 from sylva.plans.rules import RulePlan, compile_rules
+from sylva.session import ensure_checkpoint_dir
 
 
 @dataclass
@@ -43,7 +44,7 @@ def _plan(rules, base: str) -> RulePlan:
 
 def check(src: DataFrame, dst: DataFrame, rules, *, base: str = "/", mode: str = "exact",
           state: DataFrame | None = None, renames: bool = True,
-          tolerance_us: int = D.FAST_TOLERANCE_US) -> CheckResult:
+          tolerance_us: int = D.FAST_TOLERANCE_US, materialize: bool = True) -> CheckResult:
     """The ``check`` command over two inventories and a rule table."""
     plan = _plan(rules, base)
     tracked = S.track(src, plan)
@@ -63,6 +64,12 @@ def check(src: DataFrame, dst: DataFrame, rules, *, base: str = "/", mode: str =
         F.col("d_mtime").alias("mtime"), F.col("d_hash").alias("content_hash"))
     deletions = D.orphans(leftovers, plan.final_ignore_regex)
     changes = D.changes_from_pairs(pairs, deletions)
+    if materialize:
+        # the change set feeds rename pairing, reports and the apply step;
+        # a reliable checkpoint keeps their plans small and survives the loss
+        # of an executor without redoing the full outer join
+        ensure_checkpoint_dir(changes.sparkSession)
+        changes = changes.checkpoint(eager=True)
     if renames:
         changes = R.detect_renames_fast(changes, tolerance_us) if mode == "fast" else R.detect_renames(changes)
     return CheckResult(changes, pairs, tracked, exp, new_state, plan)

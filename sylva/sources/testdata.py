@@ -95,7 +95,7 @@ def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.lit("/"), F.col("event_id").cast("string")).alias("path"),
         F.lit(False).alias("is_dir"),
         F.round(F.col("value") * 100).cast("bigint").alias("size"),
-        F.col("ts").alias("mtime"),
+        F.col("ts").cast("timestamp").alias("mtime"),
         F.sha2(F.coalesce(F.col("props"), F.lit("")), 256).alias("content_hash"),
         F.col("event_id"),
     )
