@@ -129,19 +129,33 @@ def orphans(leftovers: DataFrame, ignore_regex: str | None, col: str = "path") -
     return flagged.where(~F.col("_ign")).drop("_ign").join(protected, col, "left_anti")
 
 
-def changes_from_pairs(pairs: DataFrame, deletions: DataFrame) -> DataFrame:
-    """Wide change rows (``WIDE_COLUMNS``) from judged pairs and deletions.
-
-    ``pairs`` holds expected rows (``source_path`` not null) with ``equal``;
-    ``deletions`` holds actual-side rows (``path`` and inventory columns).
-    """
-    e = pairs.where(F.col("source_path").isNotNull())
-    present = F.col("d_is_dir").isNotNull()
-    upd = e.where(~present | ~F.col("equal")).select(
-        F.when(present, F.lit("modify")).otherwise(F.lit("add")).alias("change"),
-        "source_path", "dest_path",
+def diff_rows(pairs: DataFrame) -> DataFrame:
+    """The rows of judged pairs that are not "same", labelled in one pass:
+    ``add`` (no destination row), ``modify`` (both, unequal) and
+    ``leftover`` (destination row nobody expects). The full outer join is
+    consumed exactly once here; everything after works on these rows."""
+    label = (F.when(F.col("source_path").isNull(), F.lit("leftover"))
+              .when(F.col("d_is_dir").isNull(), F.lit("add"))
+              .when(~F.col("equal"), F.lit("modify")))
+    return pairs.withColumn("change", label).where(F.col("change").isNotNull()).select(
+        "change", "source_path", "dest_path", "s_is_dir", "s_size", "s_mtime", "s_hash",
+        "d_is_dir", "d_size", "d_mtime", "d_hash")
+
+
+def leftovers(diff: DataFrame) -> DataFrame:
+    return diff.where(F.col("change") == "leftover").select(
+        F.col("dest_path").alias("path"), F.col("d_is_dir").alias("is_dir"), F.col("d_size").alias("size"),
+        F.col("d_mtime").alias("mtime"), F.col("d_hash").alias("content_hash"))
+
+
+def changes_from_diff(diff: DataFrame, deletions: DataFrame) -> DataFrame:
+    """Wide change rows (``WIDE_COLUMNS``) from labelled diff rows and the
+    deletions left after ignore protection."""
+    upd = diff.where(F.col("change").isin("add", "modify")).select(
+        "change", "source_path", "dest_path",
         F.col("s_size").alias("size"),
-        F.when(present, F.col("s_is_dir") != F.col("d_is_dir")).otherwise(F.lit(False)).alias("kind_changed"),
+        F.when(F.col("change") == "modify", F.col("s_is_dir") != F.col("d_is_dir"))
+         .otherwise(F.lit(False)).alias("kind_changed"),
         F.col("s_is_dir").alias("is_dir"), F.col("s_hash").alias("content_hash"), F.col("s_mtime").alias("mtime"),
         "d_is_dir", "d_size", "d_mtime", "d_hash",
     )

@@ -6,9 +6,9 @@ task is the job. Here the rows are range-partitioned on ``(g, o)`` instead,
 so a hot group spreads over many partitions; each row gets its position
 inside its partition, and a small table of per-(partition, group) counts
 gives the offset of each partition's piece of the group. The sorted, numbered
-rows are checkpointed (reliable checkpoint in ``spark.checkpoint.dir``) so
-that partition ids and positions stay fixed if an executor is lost and a
-stage is recomputed.
+rows are written once below ``spark.checkpoint.dir`` and read back, so
+partition ids and positions stay fixed if an executor is lost and a stage
+is recomputed.
 """
 
 from __future__ import annotations
@@ -16,19 +16,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sylva.session import ensure_checkpoint_dir
+from sylva.session import materialize
 
 
 def _sorted_with_ids(df: DataFrame, group_cols: list[str], order_cols: list) -> DataFrame:
     keys = [F.col(c) for c in group_cols] + [F.col(c) if isinstance(c, str) else c for c in order_cols]
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     s = (df.repartitionByRange(n, *keys)
            .sortWithinPartitions(*keys)
            .withColumn("_pid", F.spark_partition_id())
            .withColumn("_mid", F.monotonically_increasing_id()))
-    return s.checkpoint(eager=True)
+    return materialize(s, "ranked")
 
 
 def group_running_sum(df: DataFrame, group_cols: list[str], order_cols: list,

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylva.functions import paths as P
@@ -72,8 +72,25 @@ def _by_seq(plan: RulePlan, attr: str) -> Column:
     return expr
 
 
+def claim_struct(plan: RulePlan, col: str = "path") -> Column:
+    """``struct(rule_seq, read_prefix, write_prefix)`` of the claiming ``add``."""
+    c = F.col(col)
+    expr = None
+    for a in plan.adds:
+        cond = _rule_cond(c, a)
+        v = F.struct(F.lit(a.seq).alias("rule_seq"), F.lit(a.read_prefix).alias("read_prefix"),
+                     F.lit(a.write_prefix).alias("write_prefix"))
+        expr = F.when(cond, v) if expr is None else expr.when(cond, v)
+    return expr
+
+
 def claimed(inventory: DataFrame, plan: RulePlan) -> DataFrame:
-    """Inventory rows with the claiming ``rule_seq`` and read/write prefixes."""
+    """Inventory rows with the claiming ``rule_seq`` and read/write prefixes.
+
+    The claim is produced by a generator (explode of a 0/1-element array), not
+    a projection plus filter: Catalyst would push such a filter below the
+    projection and evaluate every rule's regexes twice per row.
+    """
     inv = inventory.select(*INVENTORY_COLUMNS)
     prune = scan_pruning(plan)
     if prune is not None:
@@ -82,10 +99,9 @@ def claimed(inventory: DataFrame, plan: RulePlan) -> DataFrame:
         return inv.limit(0).withColumn("rule_seq", F.lit(None).cast("int")) \
             .withColumn("read_prefix", F.lit(None).cast("string")) \
             .withColumn("write_prefix", F.lit(None).cast("string"))
-    return (inv.withColumn("rule_seq", claim_column(plan))
-               .where(F.col("rule_seq").isNotNull())
-               .withColumn("read_prefix", _by_seq(plan, "read_prefix"))
-               .withColumn("write_prefix", _by_seq(plan, "write_prefix")))
+    one = F.filter(F.array(claim_struct(plan)), lambda x: x.isNotNull())
+    return (inv.select(*INVENTORY_COLUMNS, F.explode(one).alias("_c"))
+               .select(*INVENTORY_COLUMNS, "_c.rule_seq", "_c.read_prefix", "_c.write_prefix"))
 
 
 def _finish(df: DataFrame, is_parent: bool) -> DataFrame:
@@ -125,12 +141,15 @@ def track(inventory: DataFrame, plan: RulePlan, parents: bool = True) -> DataFra
 
 def expected(tracked: DataFrame) -> DataFrame:
     """One row per destination path: the earliest rule wins, a matched entry
-    beats a parent of the same rule. (The later full outer join on
-    ``write_path`` reuses this aggregate's hash partitioning.)"""
-    fields = ["rule_seq", "is_parent", "read_path", "rel_path", "is_dir", "size", "mtime", "content_hash"]
-    return (tracked.groupBy("write_path")
-                   .agg(F.min(F.struct(*fields)).alias("_m"))
-                   .select("write_path", *[F.col("_m." + f).alias(f) for f in fields]))
+    beats a parent of the same rule.
+
+    A window over ``write_path`` (not an aggregate): its exchange and sort on
+    ``write_path`` are exactly what the following sort-merge join on the
+    destination path needs, so the dedupe adds no shuffle and no extra sort.
+    """
+    w = Window.partitionBy("write_path").orderBy("rule_seq", "is_parent")
+    return (tracked.withColumn("_rn", F.row_number().over(w))
+                   .where(F.col("_rn") == 1).drop("_rn"))
 
 
 def duplicate_claims(inventory: DataFrame, plan: RulePlan) -> DataFrame:

@@ -21,7 +21,7 @@ from sylva.operators import report as Rep
 from sylva.operators import select as S
 from sylva.operators.transition import apply_changes, operation_plan
 from sylva.plans.rules import RulePlan, compile_rules
-from sylva.session import ensure_checkpoint_dir
+from sylva.session import materialize
 
 
 @dataclass
@@ -44,7 +44,7 @@ def _plan(rules, base: str) -> RulePlan:
 
 def check(src: DataFrame, dst: DataFrame, rules, *, base: str = "/", mode: str = "exact",
           state: DataFrame | None = None, renames: bool = True,
-          tolerance_us: int = D.FAST_TOLERANCE_US, materialize: bool = True) -> CheckResult:
+          tolerance_us: int = D.FAST_TOLERANCE_US, cut: bool = True) -> CheckResult:
     """The ``check`` command over two inventories and a rule table."""
     plan = _plan(rules, base)
     tracked = S.track(src, plan)
@@ -59,17 +59,14 @@ def check(src: DataFrame, dst: DataFrame, rules, *, base: str = "/", mode: str =
             else (pairs.withColumn("equal", D.content_equal()), None)
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    leftovers = pairs.where(F.col("source_path").isNull()).select(
-        F.col("dest_path").alias("path"), F.col("d_is_dir").alias("is_dir"), F.col("d_size").alias("size"),
-        F.col("d_mtime").alias("mtime"), F.col("d_hash").alias("content_hash"))
-    deletions = D.orphans(leftovers, plan.final_ignore_regex)
-    changes = D.changes_from_pairs(pairs, deletions)
-    if materialize:
-        # the change set feeds rename pairing, reports and the apply step;
-        # a reliable checkpoint keeps their plans small and survives the loss
-        # of an executor without redoing the full outer join
-        ensure_checkpoint_dir(changes.sparkSession)
-        changes = changes.checkpoint(eager=True)
+    diff = D.diff_rows(pairs)
+    if cut:
+        # the only consumer of the full outer join; written once so the orphan
+        # step, rename pairing, reports and the apply step read a small table
+        # (and a lost executor re-reads files instead of redoing the join)
+        diff = materialize(diff, "diff")
+    deletions = D.orphans(D.leftovers(diff), plan.final_ignore_regex)
+    changes = D.changes_from_diff(diff, deletions)
     if renames:
         changes = R.detect_renames_fast(changes, tolerance_us) if mode == "fast" else R.detect_renames(changes)
     return CheckResult(changes, pairs, tracked, exp, new_state, plan)
@@ -124,12 +121,12 @@ def backup(src: DataFrame, dst: DataFrame, rules, *, base: str = "/", mode: str
            checkpoint: bool = True) -> BackupResult:
     """The ``backup`` command as tables: the ordered plan, the destination
     snapshot after it, and what a second check still finds (empty when the
-    rules converge). The new snapshot is checkpointed before it is diffed
+    rules converge). The new snapshot is written once before it is diffed
     again, so the second check does not recompute the first."""
     res = check(src, dst, rules, base=base, mode=mode)
     new_dst = apply_changes(dst, res.changes)
     if checkpoint:
-        new_dst = new_dst.checkpoint(eager=True)
+        new_dst = materialize(new_dst, "snapshot")
     again = check(src, new_dst, res.plan, mode=mode)
     return BackupResult(res, operation_plan(res.public), new_dst, again.public)
 

@@ -74,3 +74,21 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFr
 
     n = df.limit(limit + 1).count()
     return F.broadcast(df) if n <= limit else df
+
+
+def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write ``df`` once as Parquet below the shared checkpoint folder and read
+    it back: the lineage is cut (a lost executor re-reads files instead of
+    recomputing joins), the plan of later steps stays small, and the re-read
+    carries file statistics the planner and AQE can use.
+
+    One job (unlike an eager ``checkpoint()``, which computes the plan twice
+    unless it is cached first).
+    """
+    import uuid
+
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    target = f"{root}/sylva/{label}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(target)
+    return spark.read.parquet(target)
