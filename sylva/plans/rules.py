@@ -104,6 +104,16 @@ class RulePlan:
     def write_prefixes(self) -> list[str]:
         return sorted({a.write_prefix for a in self.adds})
 
+    @property
+    def destination_roots(self) -> list[str]:
+        """Write prefixes and their ancestors: created, never deleted."""
+        out = set()
+        for wp in self.write_prefixes:
+            segs = [x for x in wp.split("/") if x]
+            for k in range(1, len(segs) + 1):
+                out.add("/" + "/".join(segs[:k]))
+        return sorted(out)
+
     def ignores_table(self, spark: SparkSession) -> DataFrame:
         """Ignore validity as rows: ``pattern, from_seq, to_seq`` (to_seq null = open)."""
         return spark.createDataFrame(self.intervals, "pattern string, from_seq int, to_seq int")

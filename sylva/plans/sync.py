@@ -66,6 +66,11 @@ def check(src: DataFrame, dst: DataFrame, rules, *, base: str = "/", mode: str =
         # (and a lost executor re-reads files instead of redoing the join)
         diff = materialize(diff, "diff")
     deletions = D.orphans(D.leftovers(diff), plan.final_ignore_regex)
+    roots = plan.destination_roots
+    if roots:
+        # a nested write prefix lies inside another prefix's scope; it is a
+        # destination root, not a leftover
+        deletions = deletions.where(~F.col("path").isin(roots))
     changes = D.changes_from_diff(diff, deletions)
     if renames:
         changes = R.detect_renames_fast(changes, tolerance_us) if mode == "fast" else R.detect_renames(changes)
