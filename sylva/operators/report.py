@@ -121,36 +121,43 @@ def tree_listing(inventory: DataFrame, tracked: DataFrame, search_path: str,
     folded order: ``path, depth, name, is_dir, tracked, is_last, pruned, dest``.
 
     ``dest`` (verbose) is the write path of tracked files and tracked empty
-    directories. With ``prune`` rows below a pruned directory are dropped and
-    the directory is flagged ``pruned``.
+    directories. With ``prune`` a non-empty directory with nothing tracked
+    below it is flagged ``pruned`` and the rows below it are dropped.
+
+    Per-directory facts (last child, non-empty, tracked below) are small
+    aggregates joined back on ``parent`` / ``path``; a row lies below a pruned
+    directory exactly when its parent has nothing tracked below it, so no
+    per-row ancestor explode is needed.
     """
     inv = _below(inventory.select("path", "is_dir"), search_path)
     # the first rule's mapping is kept for a path reached twice
-    tr = tracked.select(F.col("read_path").alias("path"), "write_path", "rule_seq").groupBy("path") \
-        .agg(F.min_by("write_path", "rule_seq").alias("write_path"))
-    rows = inv.join(tr, "path", "left").withColumn("tracked", F.col("write_path").isNotNull())
-    rows = rows.withColumn("parent", P.parent("path")).withColumn("name", P.name("path"))
+    tr = tracked.groupBy(F.col("read_path").alias("path")).agg(
+        F.min_by("write_path", "rule_seq").alias("write_path"))
     skey = F.struct(P.fold("name").alias("f"), F.col("name").alias("r"))
-    # per-directory aggregate joined back; AQE broadcasts it when small and
-    # splits a hot directory on the big side otherwise
-    last = rows.groupBy("parent").agg(F.max(skey).alias("_last"))
-    rows = rows.join(last, "parent", "left").withColumn("is_last", skey == F.col("_last"))
-    nonempty = inv.select(P.parent("path").alias("path")).distinct().withColumn("_ne", F.lit(True))
-    rows = rows.join(nonempty, "path", "left")
-    empty_dir = F.col("is_dir") & F.col("_ne").isNull()
-    dest = F.when(F.col("tracked") & (~F.col("is_dir") | empty_dir), F.col("write_path")) if verbose \
-        else F.lit(None).cast("string")
-    rows = rows.withColumn("dest", dest)
+    rows = (inv.join(tr, "path", "left")
+               .select("path", "is_dir", F.col("write_path").isNotNull().alias("tracked"), "write_path",
+                       P.parent("path").alias("parent"), P.name("path").alias("name")))
+    # per directory: its last child and that it is not empty
+    kids = rows.groupBy(F.col("parent").alias("_dir")).agg(F.max(skey).alias("_last"))
+    below = _tracked_ancestors(tracked).select(F.col("path").alias("_dir"), F.lit(True).alias("_has"))
+    facts = kids.join(below, "_dir", "full_outer")
+    p_f = facts.select(F.col("_dir").alias("parent"), F.col("_last"), F.col("_has").alias("_p_has"))
+    s_f = facts.select(F.col("_dir").alias("path"), F.col("_last").isNotNull().alias("_nonempty"),
+                       F.col("_has").alias("_s_has"))
+    rows = rows.join(p_f, "parent", "left").join(s_f, "path", "left")
+    nonempty = F.coalesce(F.col("_nonempty"), F.lit(False))
+    is_last = skey == F.col("_last")
+    dest = (F.when(F.col("tracked") & (~F.col("is_dir") | ~nonempty), F.col("write_path"))
+            if verbose else F.lit(None).cast("string"))
+    at_top = F.col("parent") == F.lit(search_path)
+    parent_has = F.coalesce(F.col("_p_has"), F.lit(False)) | at_top
+    self_has = F.coalesce(F.col("_s_has"), F.lit(False))
     if prune:
-        tops = pruned_subtrees(inventory, tracked, search_path).select("path").withColumn("pruned", F.lit(True))
-        rows = rows.join(tops, "path", "left").withColumn("pruned", F.coalesce("pruned", F.lit(False)))
-        under = tops.select(F.col("path").alias("_top"))
-        anc = rows.select("path", F.explode(P.ancestors("path")).alias("_top")).join(under, "_top", "left_semi") \
-            .select("path").distinct()
-        rows = rows.join(anc, "path", "left_anti")
+        pruned = F.col("is_dir") & nonempty & ~self_has
+        rows = rows.where(parent_has)
     else:
-        rows = rows.withColumn("pruned", F.lit(False))
+        pruned = F.lit(False)
     depth = F.size(P.parts("path")) - F.size(P.parts(F.lit(search_path)))
-    return (rows.select("path", depth.alias("depth"), "name", "is_dir", "tracked",
-                        "is_last", "pruned", "dest")
+    return (rows.select("path", depth.alias("depth"), "name", "is_dir", "tracked", is_last.alias("is_last"),
+                        pruned.alias("pruned"), dest.alias("dest"))
                 .orderBy(P.sibling_key("path")))

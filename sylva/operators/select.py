@@ -106,10 +106,9 @@ def claimed(inventory: DataFrame, plan: RulePlan) -> DataFrame:
 
 def _finish(df: DataFrame, is_parent: bool) -> DataFrame:
     rel = P.relative_to("read_path", "read_prefix")
-    return (df.withColumn("rel_path", rel)
-              .withColumn("write_path", P.join_path("write_prefix", "rel_path"))
-              .withColumn("is_parent", F.lit(is_parent))
-              .select(*TRACKED_COLUMNS))
+    return df.select("rule_seq", "read_path", P.join_path("write_prefix", rel).alias("write_path"),
+                     rel.alias("rel_path"), F.lit(is_parent).alias("is_parent"),
+                     "is_dir", "size", "mtime", "content_hash")
 
 
 def track(inventory: DataFrame, plan: RulePlan, parents: bool = True) -> DataFrame:
@@ -132,10 +131,8 @@ def track(inventory: DataFrame, plan: RulePlan, parents: bool = True) -> DataFra
     anc = (par.select("rule_seq", "read_prefix", "write_prefix",
                       F.explode(F.array_union(P.ancestors("_p", "read_prefix"), F.array("_p"))).alias("read_path"))
               .distinct()
-              .withColumn("is_dir", F.lit(True))
-              .withColumn("size", F.lit(0).cast("bigint"))
-              .withColumn("mtime", F.lit(None).cast("timestamp"))
-              .withColumn("content_hash", F.lit(None).cast("string")))
+              .select("*", F.lit(True).alias("is_dir"), F.lit(0).cast("bigint").alias("size"),
+                      F.lit(None).cast("timestamp").alias("mtime"), F.lit(None).cast("string").alias("content_hash")))
     return out.unionByName(_finish(anc, True))
 
 
@@ -148,8 +145,8 @@ def expected(tracked: DataFrame) -> DataFrame:
     destination path needs, so the dedupe adds no shuffle and no extra sort.
     """
     w = Window.partitionBy("write_path").orderBy("rule_seq", "is_parent")
-    return (tracked.withColumn("_rn", F.row_number().over(w))
-                   .where(F.col("_rn") == 1).drop("_rn"))
+    return (tracked.select("*", F.row_number().over(w).alias("_rn"))
+                   .where(F.col("_rn") == 1).select(*tracked.columns))
 
 
 def duplicate_claims(inventory: DataFrame, plan: RulePlan) -> DataFrame:

@@ -92,7 +92,7 @@ class TreeResult:
 
 
 def tree(src: DataFrame, rules, *, base: str = "/", search_path: str | None = None,
-         verbose: bool = False, prune: bool = False) -> TreeResult:
+         verbose: bool = False, prune: bool = False, cut: bool = True) -> TreeResult:
     """The ``tree`` command: where the tracked paths are rooted and the real
     tree below that point, with tracked / untracked marks.
 
@@ -100,7 +100,10 @@ def tree(src: DataFrame, rules, *, base: str = "/", search_path: str | None = No
     row (one root on POSIX) and is read on the driver to anchor the listing.
     """
     plan = _plan(rules, base)
-    tracked = S.track(src, plan)
+    tracked = S.track(src, plan).select("rule_seq", "read_path", "write_path", "is_dir")
+    if cut:
+        # read by the anchor, the counts, the pruning and the listing
+        tracked = materialize(tracked, "tracked")
     kinds = tracked.select(F.lit("/").alias("root"), F.col("read_path").alias("path"), "is_dir")
     roots = Rep.common_parent(kinds, "root", "path", "is_dir")
     if search_path is None:
