@@ -45,6 +45,7 @@ ORPHAN_RULES = [(1, "in", "/backup", None), (2, "add", "/lake/src2", None), (3,
 ALIASES = [("SRC", "/lake", 1), ("SRC", "/elsewhere", 2), ("DST", "/backup", 3)]
 
 TOP_LIMIT = 5
+PLAIN_RULES = [(1, "in", "/backup", None), (2, "add", "/lake/**", None)]
 
 
 # --------------------------------------------------------------------------
@@ -247,6 +248,35 @@ def q_sync_report(spark, sf):
     return _check(spark, sf).public
 
 
+def _scratch(spark, label: str) -> str:
+    import uuid
+
+    from sylva.session import ensure_checkpoint_dir
+
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/sylva/{label}-{uuid.uuid4().hex}"
+
+
+def q_state_roundtrip(spark, sf):
+    """State of a first exact run, saved as a version and loaded back."""
+    from sylva.sources import state as St
+
+    plan = compile_rules(PLAIN_RULES)
+    res = sync.check(_src(spark, sf), _dst(spark, sf), plan, renames=False,
+                     state=spark.createDataFrame([], St.STATE_SCHEMA))
+    folder = _scratch(spark, "state")
+    St.save_equivalence_state(res.state, folder)
+    return St.load_equivalence_state(spark, folder, plan.version)
+
+
+def q_write_changes(spark, sf):
+    """The change set written by type (``change=<type>`` folders) and read back."""
+    from sylva.sources import state as St
+
+    folder = _scratch(spark, "changes")
+    St.write_changes(_check(spark, sf).public, folder)
+    return St.read_changes(spark, folder)
+
+
 def q_sync_report_fast(spark, sf):
     return _check(spark, sf, mode="fast").public
 
@@ -290,5 +320,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "apply_changes": q_apply_changes,
     "verify_converged": q_verify_converged,
     "sync_report": q_sync_report,
+    "state_roundtrip": q_state_roundtrip,
+    "write_changes": q_write_changes,
     "sync_report_fast": q_sync_report_fast,
 }

@@ -192,6 +192,14 @@ cover AS (
   JOIN n_per USING (root) WHERE c.cnt = n_per.n GROUP BY c.root)"""
 
 
+def _plain_version() -> str:
+    """Version tag of the plain rule table (a hash of its rows)."""
+    from sylva.plans.catalog import PLAIN_RULES
+    from sylva.plans.rules import compile_rules
+
+    return compile_rules(PLAIN_RULES).version
+
+
 def queries() -> dict[str, str]:
     fx = _fixture_changes()
     return {
@@ -302,6 +310,10 @@ FROM changes c JOIN dst_inv d ON d.path = c.source_path WHERE c.change = 'rename
         "verify_converged": """SELECT change, CAST(0 AS BIGINT) AS n, true AS up_to_date
 FROM (VALUES ('delete'), ('add'), ('modify'), ('rename'), ('total')) t(change)""",
         "sync_report": fx + "SELECT * FROM changes",
+        "write_changes": fx + "SELECT * FROM changes",
+        "state_roundtrip": _plain() + f"""SELECT source_path, dest_path, s_mtime AS source_mtime, d_mtime AS dest_mtime,
+  equal, '{_plain_version()}' AS rules_version
+FROM judged WHERE source_path IS NOT NULL AND d_is_dir IS NOT NULL AND NOT s_is_dir AND NOT d_is_dir""",
         "keyed_totals_orders": """WITH a AS (
   SELECT CASE WHEN o_orderkey % 10 = 6 THEN o_orderkey + 100000000 ELSE o_orderkey END AS o_orderkey,
          o_custkey, o_orderstatus,
