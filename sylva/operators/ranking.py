@@ -18,6 +18,16 @@ from pyspark.sql import functions as F
 
 from sylva.session import materialize
 
+# Groups up to this many rows are numbered by a plain window (one task per
+# group is then bounded); beyond it the group is split across partitions.
+HOT_GROUP_ROWS = 2_000_000
+
+
+def largest_group(df: DataFrame, group_cols: list[str]) -> int:
+    """Row count of the largest group (one aggregate with map-side counts)."""
+    row = df.groupBy(*group_cols).count().agg(F.max("count").alias("m")).first()
+    return int(row["m"] or 0) if row else 0
+
 
 def _sorted_with_ids(df: DataFrame, group_cols: list[str], order_cols: list) -> DataFrame:
     keys = [F.col(c) for c in group_cols] + [F.col(c) if isinstance(c, str) else c for c in order_cols]
@@ -31,8 +41,21 @@ def _sorted_with_ids(df: DataFrame, group_cols: list[str], order_cols: list) ->
 
 
 def group_running_sum(df: DataFrame, group_cols: list[str], order_cols: list,
-                      value_col: str | None, out_col: str) -> DataFrame:
-    """Inclusive running sum of ``value_col`` (or row number when None) per group."""
+                      value_col: str | None, out_col: str, hot_rows: int | None = None) -> DataFrame:
+    """Inclusive running sum of ``value_col`` (or row number when None) per group.
+
+    The largest group is measured first: when every group holds at most
+    ``hot_rows`` rows a plain window does the work; otherwise the rows are
+    range-partitioned so a hot group is spread over many tasks.
+    """
+    limit = HOT_GROUP_ROWS if hot_rows is None else hot_rows
+    if largest_group(df, group_cols) <= limit:
+        w = Window.partitionBy(*group_cols).orderBy(
+            *[F.col(c) if isinstance(c, str) else c for c in order_cols])
+        if value_col is None:
+            return df.withColumn(out_col, F.row_number().over(w).cast("bigint"))
+        return df.withColumn(out_col, F.sum(F.col(value_col).cast("bigint")).over(
+            w.rowsBetween(Window.unboundedPreceding, 0)))
     s = _sorted_with_ids(df, group_cols, order_cols)
     v = F.lit(1).cast("bigint") if value_col is None else F.col(value_col).cast("bigint")
     s = s.withColumn("_v", v)
@@ -47,7 +70,8 @@ def group_running_sum(df: DataFrame, group_cols: list[str], order_cols: list,
     return out.drop("_pid", "_mid", "_v", "_local")
 
 
-def group_row_number(df: DataFrame, group_cols: list[str], order_cols: list, out_col: str = "rn") -> DataFrame:
+def group_row_number(df: DataFrame, group_cols: list[str], order_cols: list, out_col: str = "rn",
+                     hot_rows: int | None = None) -> DataFrame:
     """``row_number()`` per group in ``order_cols`` order; order keys should be
     unique within a group (paths are) so the numbering is deterministic."""
-    return group_running_sum(df, group_cols, order_cols, None, out_col)
+    return group_running_sum(df, group_cols, order_cols, None, out_col, hot_rows)

@@ -52,16 +52,22 @@ def _rand_paths(rng, n, prefix):
     return [f"/{rng.choice('abAB')}{prefix}/{rng.choice(['x', 'X', 'y-z', 'y'])}/{i}" for i in range(n)]
 
 
-def test_exact_renames_match_greedy_loop(spark):
+def test_exact_renames_match_greedy_loop(spark, monkeypatch):
+    import sylva.operators.ranking as rk
+
     rng = random.Random(3)
-    for _ in range(3):
+    for limit in (5, rk.HOT_GROUP_ROWS, 5):
+        monkeypatch.setattr(rk, "HOT_GROUP_ROWS", limit)  # split hot groups, or not
         adds = [(p, rng.choice([0, 0, 1, 2]), rng.choice("hk"), 0) for p in _rand_paths(rng, 40, "n")]
         dels = [(p, rng.choice([0, 0, 1, 2]), rng.choice("hk"), 0) for p in _rand_paths(rng, 40, "o")]
         got = sorted((r.old_path, r.new_path) for r in R.rename_pairs(wide(spark, adds, dels)).collect())
         assert got == greedy(adds, dels, lambda a, d: a[2] == d[2])
 
 
-def test_fast_renames_match_greedy_loop(spark):
+def test_fast_renames_match_greedy_loop(spark, monkeypatch):
+    import sylva.operators.ranking as rk
+
+    monkeypatch.setattr(rk, "HOT_GROUP_ROWS", 4)  # the chain at one size is a hot group
     rng = random.Random(5)
     # a chain 1.5 s apart at one size, plus random rows
     adds = [(f"/n/c{i}", 7, "h", i * 1.5) for i in range(6)]
@@ -190,3 +196,20 @@ def test_streaming_selection_equals_batch(spark):
     q.awaitTermination(120)
     got = sorted(r.write_path for r in spark.read.parquet(folder + "/out").collect())
     assert got == ["/d/a.txt", "/d/s", "/d/s/b.md"]
+
+
+def test_hot_group_numbering_matches_window(spark):
+    from pyspark.sql import Window
+
+    from sylva.operators.ranking import group_row_number, group_running_sum
+
+    rows = [("hot" if i % 3 else f"g{i % 7}", f"p{i:05d}", i % 2) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, k string, v int")
+    w = Window.partitionBy("g").orderBy("k")
+    want = {(r.g, r.k): (r.rn, r.cs) for r in df.select(
+        "g", "k", F.row_number().over(w).alias("rn"),
+        F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cs")).collect()}
+    rn = {(r.g, r.k): r.rn for r in group_row_number(df, ["g"], ["k"], "rn", hot_rows=100).collect()}
+    cs = {(r.g, r.k): r.cs for r in group_running_sum(df, ["g"], ["k"], "v", "cs", hot_rows=100).collect()}
+    assert rn == {k: v[0] for k, v in want.items()}
+    assert cs == {k: v[1] for k, v in want.items()}
