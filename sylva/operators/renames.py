@@ -19,12 +19,13 @@ from __future__ import annotations
 import bisect
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylva.functions import paths as P
 from sylva.operators.diff import FAST_TOLERANCE_US, WIDE_COLUMNS
-from sylva.operators.ranking import group_row_number, group_running_sum
+import sylva.operators.ranking as rk
+from sylva.operators.ranking import group_row_number, group_running_sum, largest_group
 
 
 def _file_adds(changes: DataFrame) -> DataFrame:
@@ -125,10 +126,12 @@ def islands(changes: DataFrame, tolerance_us: int = FAST_TOLERANCE_US) -> DataFr
     """File additions (kind ``a``) and deletions (kind ``d``) with an island id.
 
     Within one size, rows are ordered by mtime; a gap of at least the
-    tolerance starts a new island. Both the ordering and the running count of
-    island starts use the skew-safe numbering, so one size holding a third of
-    all rows (empty files) is spread over many tasks; the previous mtime comes
-    from an equi join on (size, position), whose keys are unique.
+    tolerance starts a new island. When every size holds a bounded number of
+    rows this is one window pass (lag and a running count of starts over the
+    same partitioning and order). When a size is hot (empty files), both the
+    ordering and the running count use the skew-safe numbering and the
+    previous mtime comes from an equi join on (size, position), whose keys are
+    unique.
     """
     adds = _file_adds(changes).select(
         F.lit("a").alias("kind"), "size", F.col("dest_path").alias("path"),
@@ -137,40 +140,45 @@ def islands(changes: DataFrame, tolerance_us: int = FAST_TOLERANCE_US) -> DataFr
         F.lit("d").alias("kind"), "size", F.col("dest_path").alias("path"),
         F.unix_micros("mtime").alias("t"))
     rows = adds.unionByName(dels).where(F.col("t").isNotNull())
+    if largest_group(rows, ["size"]) <= rk.HOT_GROUP_ROWS:
+        w = Window.partitionBy("size").orderBy("t", "kind", "path")
+        prev = F.lag("t").over(w)
+        start = F.when(prev.isNull() | (F.col("t") - prev >= tolerance_us), 1).otherwise(0)
+        return (rows.withColumn("_start", start)
+                    .withColumn("island", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+                    .drop("_start"))
     ranked = group_row_number(rows, ["size"], ["t", "kind", "path"], "pos")
-    prev = ranked.select("size", (F.col("pos") + 1).alias("pos"), F.col("t").alias("_prev_t"))
+    prev_rows = ranked.select("size", (F.col("pos") + 1).alias("pos"), F.col("t").alias("_prev_t"))
     gap = F.col("t") - F.col("_prev_t")
-    flagged = (ranked.join(prev, ["size", "pos"], "left")
+    flagged = (ranked.join(prev_rows, ["size", "pos"], "left")
                      .withColumn("_start", F.when(F.col("_prev_t").isNull() | (gap >= tolerance_us), 1).otherwise(0))
                      .drop("_prev_t"))
-    return group_running_sum(flagged, ["size"], ["pos"], "_start", "island").drop("_start")
+    return group_running_sum(flagged, ["size"], ["pos"], "_start", "island").drop("_start", "pos")
 
 
 def rename_pairs_fast(changes: DataFrame, tolerance_us: int = FAST_TOLERANCE_US) -> DataFrame:
     """Fast-mode pairs ``old_path, new_path``.
 
-    Islands holding only additions or only deletions pair nothing; an island
-    of exactly one addition and one deletion pairs them (consecutive rows are
-    closer than the tolerance); only the rest runs the greedy loop in Python,
-    one island per group.
+    Per island (windows on (size, island), which the island step's
+    partitioning already satisfies): only additions or only deletions pair
+    nothing; exactly one of each pair up (consecutive rows are closer than the
+    tolerance); only the rest runs the greedy loop in Python, one island per
+    group.
     """
     isl = islands(changes, tolerance_us)
-    stats = isl.groupBy("size", "island").agg(
-        F.count_if(F.col("kind") == "a").alias("_na"), F.count_if(F.col("kind") == "d").alias("_nd"))
-    mixed = isl.join(stats.where((F.col("_na") > 0) & (F.col("_nd") > 0)), ["size", "island"])
-    simple = mixed.where((F.col("_na") == 1) & (F.col("_nd") == 1))
-    simple_pairs = (simple.where(F.col("kind") == "a").select("size", "island", F.col("path").alias("new_path"))
-                          .join(simple.where(F.col("kind") == "d").select("size", "island", F.col("path").alias("old_path")),
-                                ["size", "island"])
-                          .select("old_path", "new_path"))
-    rest = (mixed.where((F.col("_na") > 1) | (F.col("_nd") > 1))
-                 .withColumn("fold_key", P.fold("path"))
-                 .withColumn("seg_key", F.translate(F.col("path"), "/", "\u0001")))
+    wi = Window.partitionBy("size", "island")
+    is_a, is_d = F.col("kind") == "a", F.col("kind") == "d"
+    isl = isl.select("*", F.sum(is_a.cast("int")).over(wi).alias("_na"), F.sum(is_d.cast("int")).over(wi).alias("_nd"),
+                     F.max(F.when(is_d, F.col("path"))).over(wi).alias("_old"))
+    simple = (isl.where((F.col("_na") == 1) & (F.col("_nd") == 1) & is_a)
+                 .select(F.col("_old").alias("old_path"), F.col("path").alias("new_path")))
+    rest = (isl.where((F.col("_na") > 0) & (F.col("_nd") > 0) & ((F.col("_na") > 1) | (F.col("_nd") > 1)))
+               .select("size", "island", "kind", "path", "t", P.fold("path").alias("fold_key"),
+                       F.translate(F.col("path"), "/", "\u0001").alias("seg_key")))
     tol = int(tolerance_us)
-    greedy = (rest.select("size", "island", "kind", "path", "t", "fold_key", "seg_key")
-                  .groupBy("size", "island")
+    greedy = (rest.groupBy("size", "island")
                   .applyInPandas(lambda pdf: _greedy_island(pdf, tol), "old_path string, new_path string"))
-    return simple_pairs.unionByName(greedy)
+    return simple.unionByName(greedy)
 
 
 def detect_renames_fast(changes: DataFrame, tolerance_us: int = FAST_TOLERANCE_US) -> DataFrame:

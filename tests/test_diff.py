@@ -67,15 +67,17 @@ def test_exact_renames_match_greedy_loop(spark, monkeypatch):
 def test_fast_renames_match_greedy_loop(spark, monkeypatch):
     import sylva.operators.ranking as rk
 
-    monkeypatch.setattr(rk, "HOT_GROUP_ROWS", 4)  # the chain at one size is a hot group
     rng = random.Random(5)
     # a chain 1.5 s apart at one size, plus random rows
     adds = [(f"/n/c{i}", 7, "h", i * 1.5) for i in range(6)]
     dels = [(f"/o/c{i}", 7, "h", i * 1.5 + 0.7) for i in range(6)]
     adds += [(p, rng.choice([1, 2]), "h", rng.uniform(0, 20)) for p in _rand_paths(rng, 40, "n")]
     dels += [(p, rng.choice([1, 2]), "h", rng.uniform(0, 20)) for p in _rand_paths(rng, 40, "o")]
-    got = sorted((r.old_path, r.new_path) for r in R.rename_pairs_fast(wide(spark, adds, dels)).collect())
-    assert got == greedy(adds, dels, lambda a, d: abs(a[3] - d[3]) < 2)
+    want = greedy(adds, dels, lambda a, d: abs(a[3] - d[3]) < 2)
+    for limit in (rk.HOT_GROUP_ROWS, 4):  # plain windows, then the chain's size as a hot group
+        monkeypatch.setattr(rk, "HOT_GROUP_ROWS", limit)
+        got = sorted((r.old_path, r.new_path) for r in R.rename_pairs_fast(wide(spark, adds, dels)).collect())
+        assert got == want
 
 
 def test_three_empty_files_renamed(spark):
