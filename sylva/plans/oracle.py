@@ -88,22 +88,56 @@ expected AS (
   FROM tracked_all
   QUALIFY row_number() OVER (PARTITION BY read_path ORDER BY rule_seq, is_parent) = 1)"""
 
+EXACT_EQ = """CASE WHEN source_path IS NULL OR d_is_dir IS NULL THEN false
+                 WHEN s_is_dir OR d_is_dir THEN s_is_dir AND d_is_dir
+                 WHEN s_size <> d_size THEN false
+                 ELSE COALESCE(s_hash = d_hash, false) END"""
+FAST_EQ = """CASE WHEN source_path IS NULL OR d_is_dir IS NULL THEN false
+                 WHEN s_is_dir OR d_is_dir THEN s_is_dir AND d_is_dir
+                 ELSE COALESCE(abs(epoch_us(s_mtime) - epoch_us(d_mtime)) < 2000000, false) END"""
+
 JUDGED = """actual AS (SELECT * FROM dst_inv WHERE path LIKE '/backup/%'),
 pairs AS (
   SELECT COALESCE(e.write_path, a.path) AS dest_path, e.read_path AS source_path,
          e.is_dir AS s_is_dir, e.size AS s_size, e.mtime AS s_mtime, e.content_hash AS s_hash,
          a.is_dir AS d_is_dir, a.size AS d_size, a.mtime AS d_mtime, a.content_hash AS d_hash
   FROM expected e FULL OUTER JOIN actual a ON e.write_path = a.path),
-judged AS (
-  SELECT *, CASE WHEN source_path IS NULL OR d_is_dir IS NULL THEN false
-                 WHEN s_is_dir OR d_is_dir THEN s_is_dir AND d_is_dir
-                 WHEN s_size <> d_size THEN false
-                 ELSE COALESCE(s_hash = d_hash, false) END AS equal
-  FROM pairs)"""
-
-
-def _changes(ignored_pred: str, renames: bool = True) -> str:
-    rename_part = f"""ra AS (
+judged AS (SELECT *, {eq} AS equal FROM pairs)"""
+
+
+def _judged(eq: str = EXACT_EQ, actual: str = "dst_inv WHERE path LIKE '/backup/%'") -> str:
+    return JUDGED.replace("dst_inv WHERE path LIKE '/backup/%'", actual).replace("{eq}", eq)
+
+
+def _fast_walk(changes: str) -> str:
+    """The greedy fast-mode pairing stated as the loop itself: additions in
+    folded order, each taking the first (segment order) untaken deletion of
+    equal size less than 2 s away. Additions with no candidate at all are
+    left out first (they can never pair)."""
+    return f"""f_adds AS (
+  SELECT dest_path, size, epoch_us(mtime) AS t,
+         row_number() OVER (ORDER BY {fold('dest_path')}, dest_path) AS ai
+  FROM {changes} r WHERE change = 'add' AND NOT is_dir AND mtime IS NOT NULL
+    AND EXISTS (SELECT 1 FROM {changes} x WHERE x.change = 'delete' AND NOT x.is_dir AND x.size = r.size
+                AND abs(epoch_us(x.mtime) - epoch_us(r.mtime)) < 2000000)),
+f_dels AS (
+  SELECT dest_path, size, epoch_us(mtime) AS t, row_number() OVER (ORDER BY string_split(dest_path, '/')) AS di
+  FROM {changes} WHERE change = 'delete' AND NOT is_dir AND mtime IS NOT NULL),
+rpairs AS (
+  WITH RECURSIVE w(ai, taken, old_path, new_path, size) AS (
+    SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT)
+    UNION ALL
+    SELECT s.ai, CASE WHEN s.old IS NULL THEN s.taken ELSE list_append(s.taken, s.old) END, s.old, s.new, s.size
+    FROM (SELECT a.ai, w.taken, a.dest_path AS new, a.size,
+                 (SELECT d.dest_path FROM f_dels d
+                  WHERE d.size = a.size AND abs(d.t - a.t) < 2000000 AND NOT list_contains(w.taken, d.dest_path)
+                  ORDER BY d.di LIMIT 1) AS old
+          FROM w JOIN f_adds a ON a.ai = w.ai + 1) s)
+  SELECT old_path, new_path, size FROM w WHERE old_path IS NOT NULL)"""
+
+
+def _changes(ignored_pred: str, renames: bool | str = True) -> str:
+    exact = f"""ra AS (
   SELECT dest_path, size, content_hash,
          row_number() OVER (PARTITION BY size, content_hash ORDER BY {fold('dest_path')}, dest_path) AS rn
   FROM raw_changes WHERE change = 'add' AND NOT is_dir AND size IS NOT NULL AND content_hash IS NOT NULL),
@@ -111,28 +145,33 @@ rd AS (
   SELECT dest_path, size, content_hash,
          row_number() OVER (PARTITION BY size, content_hash ORDER BY string_split(dest_path, '/')) AS rn
   FROM raw_changes WHERE change = 'delete' AND NOT is_dir AND size IS NOT NULL AND content_hash IS NOT NULL),
-rpairs AS (SELECT rd.dest_path AS old_path, ra.dest_path AS new_path, ra.size FROM ra JOIN rd USING (size, content_hash, rn)),
-changes AS (
+rpairs AS (SELECT rd.dest_path AS old_path, ra.dest_path AS new_path, ra.size FROM ra JOIN rd USING (size, content_hash, rn)),"""
+    apply = """changes AS (
   SELECT change, source_path, dest_path, size, kind_changed FROM raw_changes
   WHERE NOT (change = 'add' AND dest_path IN (SELECT new_path FROM rpairs))
     AND NOT (change = 'delete' AND dest_path IN (SELECT old_path FROM rpairs))
   UNION ALL
-  SELECT 'rename', old_path, new_path, size, false FROM rpairs)""" if renames else \
-        """changes AS (SELECT change, source_path, dest_path, size, kind_changed FROM raw_changes)"""
+  SELECT 'rename', old_path, new_path, size, false FROM rpairs)"""
+    if renames == "fast":
+        rename_part = _fast_walk("raw_changes") + ",\n" + apply
+    elif renames:
+        rename_part = exact + "\n" + apply
+    else:
+        rename_part = """changes AS (SELECT change, source_path, dest_path, size, kind_changed FROM raw_changes)"""
     return f"""leftover AS (
-  SELECT dest_path AS path, d_is_dir AS is_dir, d_size AS size, d_hash AS content_hash
+  SELECT dest_path AS path, d_is_dir AS is_dir, d_size AS size, d_hash AS content_hash, d_mtime AS mtime
   FROM judged WHERE source_path IS NULL),
 lo_ign AS (SELECT *, ({ignored_pred}) AS ign FROM leftover),
 deletions AS (
-  SELECT l.path, l.is_dir, l.size, l.content_hash FROM lo_ign l
+  SELECT l.path, l.is_dir, l.size, l.content_hash, l.mtime FROM lo_ign l
   WHERE NOT l.ign AND NOT EXISTS (SELECT 1 FROM lo_ign x WHERE x.ign AND starts_with(x.path, l.path || '/'))),
 raw_changes AS (
   SELECT CASE WHEN d_is_dir IS NULL THEN 'add' ELSE 'modify' END AS change, source_path, dest_path, s_size AS size,
          CASE WHEN d_is_dir IS NULL THEN false ELSE s_is_dir <> d_is_dir END AS kind_changed,
-         s_is_dir AS is_dir, s_hash AS content_hash
+         s_is_dir AS is_dir, s_hash AS content_hash, s_mtime AS mtime
   FROM judged WHERE source_path IS NOT NULL AND NOT equal
   UNION ALL
-  SELECT 'delete', NULL, path, size, false, is_dir, content_hash FROM deletions),
+  SELECT 'delete', NULL, path, size, false, is_dir, content_hash, mtime FROM deletions),
 {rename_part}"""
 
 
@@ -141,16 +180,41 @@ NOTHING_IGNORED = "false"
 JSON_IGNORED = "path LIKE '%.json' OR path LIKE '%.json/%'"
 
 
+EV_FILES = """ev_files AS (
+  SELECT '/' || CAST(user_id AS VARCHAR) || '/' || event_type || '/' || CAST(event_id AS VARCHAR) AS path,
+         false AS is_dir, CAST(round(value * 100) AS BIGINT) AS size, CAST(ts AS TIMESTAMP) AS mtime,
+         sha256(COALESCE(props, '')) AS content_hash, event_id
+  FROM events)"""
+EV_DST_FILES = """ev_dst_files AS (
+  SELECT CASE WHEN event_id % 10 = 4 THEN regexp_replace(path, '/([0-9]+)$', '/r\\1')
+              WHEN event_id % 10 = 6 THEN regexp_replace(path, '/([0-9]+)$', '/x\\1') ELSE path END AS path,
+         false AS is_dir,
+         CASE WHEN event_id % 10 = 5 THEN size + 1 WHEN event_id % 10 = 6 THEN size + 7 ELSE size END AS size,
+         make_timestamp(CAST(epoch_us(mtime) + (event_id % 4) * 700000 AS BIGINT)) AS mtime, content_hash, event_id
+  FROM ev_files WHERE event_id % 10 <> 3)"""
+# events: in / add /** (read and write paths coincide), fast mode
+EV_EXPECTED = """ev_src AS (
+  SELECT path, is_dir, size, mtime, content_hash FROM ev_files
+  UNION ALL SELECT path, true, CAST(0 AS BIGINT), CAST(NULL AS TIMESTAMP), CAST(NULL AS VARCHAR)
+  FROM ev_src_dirs WHERE path NOT IN (SELECT path FROM ev_files)),
+ev_dst AS (
+  SELECT path, is_dir, size, mtime, content_hash FROM ev_dst_files
+  UNION ALL SELECT path, true, CAST(0 AS BIGINT), CAST(NULL AS TIMESTAMP), CAST(NULL AS VARCHAR)
+  FROM ev_dst_dirs WHERE path NOT IN (SELECT path FROM ev_dst_files)),
+expected AS (SELECT path AS read_path, path AS write_path, is_dir, size, mtime, content_hash FROM ev_src)"""
+EV_BASE = [EV_FILES, EV_DST_FILES]
+
+
 def _with(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
 def _fixture_changes() -> str:
-    return _with(*BASE, M5, CLAIMS_FIXTURE, EXPECTED, JUDGED, _changes(FIXTURE_IGNORED))
+    return _with(*BASE, M5, CLAIMS_FIXTURE, EXPECTED, _judged(), _changes(FIXTURE_IGNORED))
 
 
 def _plain(renames: bool = True) -> str:
-    return _with(*BASE, CLAIMS_PLAIN, EXPECTED, JUDGED, _changes(NOTHING_IGNORED, renames))
+    return _with(*BASE, CLAIMS_PLAIN, EXPECTED, _judged(), _changes(NOTHING_IGNORED, renames))
 
 
 TOTALS = """SELECT t.change, COALESCE(c.n, 0) AS n, (SELECT count(*) FROM changes) = 0 AS up_to_date
@@ -254,7 +318,7 @@ SELECT j.dest_path,
   COALESCE(s.source_path IS NOT NULL AND s.source_mtime = j.s_mtime AND s.dest_mtime = j.d_mtime, false) AS state_hit
 FROM judged j LEFT JOIN state s ON s.source_path = j.source_path AND s.dest_path = j.dest_path
 WHERE j.source_path IS NOT NULL AND j.d_is_dir IS NOT NULL AND NOT j.s_is_dir AND NOT j.d_is_dir""",
-        "orphans": _with(*BASE, CLAIMS_ORPHAN, EXPECTED, JUDGED, _changes(JSON_IGNORED, renames=False))
+        "orphans": _with(*BASE, CLAIMS_ORPHAN, EXPECTED, _judged(), _changes(JSON_IGNORED, renames=False))
         + "SELECT dest_path AS path FROM changes WHERE change = 'delete'",
         "detect_renames": _plain() + "SELECT source_path, dest_path, size FROM changes WHERE change = 'rename'",
         "change_totals": fx + TOTALS,
@@ -310,6 +374,11 @@ FROM changes c JOIN dst_inv d ON d.path = c.source_path WHERE c.change = 'rename
         "verify_converged": """SELECT change, CAST(0 AS BIGINT) AS n, true AS up_to_date
 FROM (VALUES ('delete'), ('add'), ('modify'), ('rename'), ('total')) t(change)""",
         "sync_report": fx + "SELECT * FROM changes",
+        "sync_report_fast": _with(*BASE, M5, CLAIMS_FIXTURE, EXPECTED, _judged(FAST_EQ),
+                                  _changes(FIXTURE_IGNORED, "fast")) + "SELECT * FROM changes",
+        "detect_renames_fast": _with(*EV_BASE, _dirs("ev_src_dirs", "ev_files"), _dirs("ev_dst_dirs", "ev_dst_files"),
+                                     EV_EXPECTED, _judged(FAST_EQ, "ev_dst"), _changes(NOTHING_IGNORED, "fast"))
+        + "SELECT source_path, dest_path, size FROM changes WHERE change = 'rename'",
         "write_changes": fx + "SELECT * FROM changes",
         "state_roundtrip": _plain() + f"""SELECT source_path, dest_path, s_mtime AS source_mtime, d_mtime AS dest_mtime,
   equal, '{_plain_version()}' AS rules_version

@@ -7,7 +7,7 @@ import duckdb
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = {"detect_renames_fast", "sync_report_fast"}
+ROWS_ONLY: set[str] = set()
 
 
 def test_every_query_has_an_oracle_or_is_rows_only():
