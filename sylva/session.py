@@ -91,4 +91,24 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     root = ensure_checkpoint_dir(spark).rstrip("/")
     target = f"{root}/sylva/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(target)
+    _WRITTEN.append(target)
     return spark.read.parquet(target)
+
+
+_WRITTEN: list[str] = []
+
+
+def clear_materialized(spark: SparkSession) -> int:
+    """Delete the intermediate tables written by :func:`materialize` in this
+    process. Call it once the results that read them have been written; any
+    DataFrame still reading them becomes invalid. Returns the number removed."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            fs.delete(path, True)
+            n += 1
+    return n

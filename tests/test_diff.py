@@ -215,3 +215,13 @@ def test_hot_group_numbering_matches_window(spark):
     cs = {(r.g, r.k): r.cs for r in group_running_sum(df, ["g"], ["k"], "v", "cs", hot_rows=100).collect()}
     assert rn == {k: v[0] for k, v in want.items()}
     assert cs == {k: v[1] for k, v in want.items()}
+
+
+def test_clear_materialized(spark):
+    from sylva.session import clear_materialized, materialize
+
+    df = materialize(spark.range(10), "t")
+    folder = df.inputFiles()[0].rsplit("/", 1)[0].replace("file:", "")
+    assert os.path.isdir(folder) and df.count() == 10
+    assert clear_materialized(spark) >= 1
+    assert not os.path.exists(folder)
