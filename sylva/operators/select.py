@@ -87,7 +87,7 @@ def claim_struct(plan: RulePlan, col: str = "path") -> Column:
 def claimed(inventory: DataFrame, plan: RulePlan) -> DataFrame:
     """Inventory rows with the claiming ``rule_seq`` and read/write prefixes.
 
-    The claim is produced by a generator (explode of a 0/1-element array), not
+    The claim is produced by a generator (explode of a one-element array), not
     a projection plus filter: Catalyst would push such a filter below the
     projection and evaluate every rule's regexes twice per row.
     """
@@ -99,8 +99,11 @@ def claimed(inventory: DataFrame, plan: RulePlan) -> DataFrame:
         return inv.limit(0).withColumn("rule_seq", F.lit(None).cast("int")) \
             .withColumn("read_prefix", F.lit(None).cast("string")) \
             .withColumn("write_prefix", F.lit(None).cast("string"))
-    one = F.filter(F.array(claim_struct(plan)), lambda x: x.isNotNull())
-    return (inv.select(*INVENTORY_COLUMNS, F.explode(one).alias("_c"))
+    # explode(array(...)) keeps the CASE in generated code (a higher-order
+    # function such as filter() would interpret it row by row); the null
+    # check sits on the generator output, which no filter can be pushed past
+    return (inv.select(*INVENTORY_COLUMNS, F.explode(F.array(claim_struct(plan))).alias("_c"))
+               .where(F.col("_c").isNotNull())
                .select(*INVENTORY_COLUMNS, "_c.rule_seq", "_c.read_prefix", "_c.write_prefix"))
 
 
