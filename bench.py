@@ -29,7 +29,7 @@ from sylva.operators import select as S  # noqa: E402
 from sylva.plans import catalog as C  # noqa: E402
 from sylva.plans import sync  # noqa: E402
 from sylva.plans.rules import compile_rules  # noqa: E402
-from sylva.session import ensure_checkpoint_dir, get_spark, materialize  # noqa: E402
+from sylva.session import clear_materialized, ensure_checkpoint_dir, get_spark, materialize  # noqa: E402
 from sylva.sources import testdata as T  # noqa: E402
 from sylva.sources.state import load_equivalence_state, save_equivalence_state  # noqa: E402
 
@@ -129,6 +129,7 @@ def main() -> None:
                 samples.append(dt)
         times[name] = round(statistics.median(samples), 3)
         print(f"{name}: {times[name]}s", file=sys.stderr, flush=True)
+    clear_materialized(spark)
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "sum_of_median_query_sec", "value": total, "unit": "sec",
                       "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")), "cpus": cpus,

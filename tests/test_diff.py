@@ -225,3 +225,14 @@ def test_clear_materialized(spark):
     assert os.path.isdir(folder) and df.count() == 10
     assert clear_materialized(spark) >= 1
     assert not os.path.exists(folder)
+
+
+def test_d9_state_is_keyed_by_pair(spark):
+    src = tree(spark, [("/r/a", False, 1, 0, "h1")])
+    dst = tree(spark, [("/d/a", False, 1, 0, "other")])
+    plan = compile_rules(PLAIN)
+    exp = sync.check(src, dst, plan, renames=False).expected
+    state = spark.createDataFrame([("/r/a", "/d/elsewhere", ts(0), ts(0), True, plan.version)], St.STATE_SCHEMA)
+    pairs, _ = D.incremental_equal(D.pair(exp, dst), state, plan.version)
+    row = pairs.where("dest_path = '/d/a'").collect()[0]
+    assert row.state_hit is False and row.equal is False

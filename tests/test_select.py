@@ -174,3 +174,21 @@ def test_duplicate_claims(spark):
     rules = [(1, "in", "/d", None), (2, "add", "/r/**/*.md", None), (3, "add", "/r/**", None)]
     got = {r.read_path: (r.n_rules, r.first_seq) for r in S.duplicate_claims(df, compile_rules(rules)).collect()}
     assert got == {"/r/s/a.md": (2, 2), "/r/s": (2, 2)}
+
+
+def test_sample_rule_file_on_sandbox_tree(spark):
+    """The reference's sample rules (active lines, in order) on its sandbox
+    tree: a.txt and tmp.txt (12 bytes, equal) and source/tmp.txt (42 bytes)."""
+    base = "/sandbox"
+    src = tree(spark, [(base + "/a.txt", False, 12, 0, "same"), (base + "/tmp.txt", False, 12, 0, "same"),
+                       (base + "/source/tmp.txt", False, 42, 0, "big")])
+    rules = [(3, "root", "x", "dest"), (19, "ignore", "ignore.txt", None),
+             (20, "ignore", "**/beans/a/**/thing.txt", None), (22, "in", "dest2", "nonexistent.dat"),
+             (23, "in", "x", "source/**"), (24, "in", "dest2", "source/tmp.txt"),
+             (26, "ignore", "*.exe", None), (33, "include", "*.exe", None)]
+    plan = compile_rules(rules, base=base)
+    t = [(r.rule_seq, r.read_path, r.write_path) for r in S.expected(S.track(src, plan)).collect()]
+    # line 24 asks for a path line 23 already claimed; line 22 matches nothing
+    assert t == [(23, "/sandbox/source/tmp.txt", "/sandbox/dest/tmp.txt")]
+    ch = sync.check(src, tree(spark, [], dirs=[base]), plan).public.collect()
+    assert [(r.change, r.dest_path) for r in ch] == [("add", "/sandbox/dest/tmp.txt")]
