@@ -15,7 +15,15 @@ MAX_RULE_ROWS = 100_000
 BROADCAST_ROW_LIMIT = 100_000
 
 
-def builder(master: str | None = None, app: str = "sylva", shuffle_partitions: int | None = None):
+def builder(master: str | None = None, app: str = "sylva", shuffle_partitions: int | None = None,
+            initial_partitions: int | None = None):
+    """Session builder with the settings the operators rely on.
+
+    On a cluster leave ``shuffle_partitions`` unset and give
+    ``initial_partitions`` (e.g. inventory bytes / 128 MB): AQE starts from
+    that many shuffle partitions, coalesces small ones to the advisory size
+    and splits skewed join partitions.
+    """
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
@@ -33,6 +41,10 @@ def builder(master: str | None = None, app: str = "sylva", shuffle_partitions: i
         conf["spark.driver.memory"] = "8g"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if initial_partitions:
+        conf["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(initial_partitions)
+        conf["spark.sql.adaptive.advisoryPartitionSizeInBytes"] = "128m"
+        conf["spark.sql.files.maxPartitionBytes"] = "256m"
     for k, v in conf.items():
         b = b.config(k, v)
     return b
