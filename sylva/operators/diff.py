@@ -129,19 +129,38 @@ def orphans(leftovers: DataFrame, ignore_regex: str | None, col: str = "path") -
     return flagged.where(~F.col("_ign")).drop("_ign").join(protected, col, "left_anti")
 
 
-def diff_rows(pairs: DataFrame) -> DataFrame:
+def diff_rows(pairs: DataFrame, keep_same_files: bool = False) -> DataFrame:
     """The rows of judged pairs that are not "same", labelled in one pass:
     ``add`` (no destination row), ``modify`` (both, unequal) and
     ``leftover`` (destination row nobody expects). The full outer join is
-    consumed exactly once here; everything after works on these rows."""
+    consumed exactly once here; everything after works on these rows.
+
+    ``keep_same_files`` also keeps equal file pairs (``same``), so the
+    refreshed equivalence state can be derived from the same pass."""
     label = (F.when(F.col("source_path").isNull(), F.lit("leftover"))
               .when(F.col("d_is_dir").isNull(), F.lit("add"))
               .when(~F.col("equal"), F.lit("modify")))
+    if keep_same_files:
+        label = label.when(~F.col("s_is_dir") & ~F.col("d_is_dir"), F.lit("same"))
     return pairs.withColumn("change", label).where(F.col("change").isNotNull()).select(
         "change", "source_path", "dest_path", "s_is_dir", "s_size", "s_mtime", "s_hash",
         "d_is_dir", "d_size", "d_mtime", "d_hash")
 
 
+def state_from_diff(diff: DataFrame, state: DataFrame | None, rules_version: str) -> DataFrame:
+    """Refreshed state: every compared file pair (``same`` / ``modify`` rows of
+    a ``keep_same_files`` diff) plus stored entries not seen this time."""
+    both_files = F.col("change").isin("same", "modify") & ~F.col("s_is_dir") & ~F.col("d_is_dir")
+    fresh = diff.where(both_files).select(
+        "source_path", "dest_path", F.col("s_mtime").alias("source_mtime"), F.col("d_mtime").alias("dest_mtime"),
+        (F.col("change") == "same").alias("equal"), F.lit(rules_version).alias("rules_version"))
+    if state is None:
+        return fresh
+    kept = state.where(F.col("rules_version") == rules_version).select(*STATE_COLUMNS) \
+        .join(fresh.select("source_path", "dest_path"), ["source_path", "dest_path"], "left_anti")
+    return fresh.unionByName(kept)
+
+
 def leftovers(diff: DataFrame) -> DataFrame:
     return diff.where(F.col("change") == "leftover").select(
         F.col("dest_path").alias("path"), F.col("d_is_dir").alias("is_dir"), F.col("d_size").alias("size"),

@@ -59,12 +59,17 @@ def check(src: DataFrame, dst: DataFrame, rules, *, base: str = "/", mode: str =
             else (pairs.withColumn("equal", D.content_equal()), None)
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    diff = D.diff_rows(pairs)
+    with_state = mode == "exact" and state is not None
+    diff = D.diff_rows(pairs, keep_same_files=with_state)
     if cut:
         # the only consumer of the full outer join; written once so the orphan
         # step, rename pairing, reports and the apply step read a small table
         # (and a lost executor re-reads files instead of redoing the join)
         diff = materialize(diff, "diff")
+    if with_state:
+        # the refreshed state comes from the same pass, not a second join
+        new_state = D.state_from_diff(diff, state, plan.version)
+        diff = diff.where(F.col("change") != "same")
     deletions = D.orphans(D.leftovers(diff), plan.final_ignore_regex)
     roots = plan.destination_roots
     if roots:
