@@ -51,10 +51,6 @@ def pair(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return e.join(a, "dest_path", "full_outer")
 
 
-def _kinds(pairs_is_dir_s: Column, pairs_is_dir_d: Column) -> Column:
-    return pairs_is_dir_s | pairs_is_dir_d
-
-
 def content_equal(s_is_dir="s_is_dir", d_is_dir="d_is_dir", s_size="s_size", d_size="d_size",
                   s_hash="s_hash", d_hash="d_hash") -> Column:
     """Exact equality: directories equal when both are directories (same name

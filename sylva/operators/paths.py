@@ -43,12 +43,6 @@ def normalize_paths(df: DataFrame, col: str = "path", base: str = "/",
     return out
 
 
-def aliases_table(spark, aliases: list[tuple[str, str, int]]) -> DataFrame:
-    """``alias, replacement, seq`` rows; the first definition of an alias wins."""
-    df = spark.createDataFrame(aliases, "alias string, replacement string, seq int")
-    return df.groupBy("alias").agg(F.min_by("replacement", "seq").alias("replacement"))
-
-
 def resolve_roots(df: DataFrame, aliases: DataFrame, col: str = "path") -> DataFrame:
     """Replace a leading alias segment of a relative path by its replacement.
 

@@ -14,11 +14,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.functions import paths as P
 from sylva.operators import diff as D
 from sylva.operators import filters as Fl
 from sylva.operators import paths as Pa
-from sylva.operators import renames as R
 from sylva.operators import report as Rep
 from sylva.operators import select as S
 from sylva.operators import transition as Tr

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 import os
 import random
 import tempfile
@@ -198,6 +197,11 @@ def test_streaming_selection_equals_batch(spark):
     q.awaitTermination(120)
     got = sorted(r.write_path for r in spark.read.parquet(folder + "/out").collect())
     assert got == ["/d/a.txt", "/d/s", "/d/s/b.md"]
+    ign = compile_rules([(1, "ignore", "*.md", None)])
+    kept = SS.ignored_stream(SS.read_inventory_stream(spark, folder + "/in"), ign)
+    q2 = kept.writeStream.format("memory").queryName("ignored_rows").trigger(availableNow=True).start()
+    q2.awaitTermination(120)
+    assert sorted(r.path for r in spark.table("ignored_rows").collect()) == ["/r/s/b.md"]
 
 
 def test_hot_group_numbering_matches_window(spark):

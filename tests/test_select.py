@@ -27,6 +27,14 @@ def test_rules_aliases_first_definition_wins():
     assert p.adds[0].read_prefix == "/a/src"
 
 
+def test_rules_from_a_dataframe(spark):
+    from sylva.plans.rules import rules_frame
+
+    rows = [(2, "add", "/r/**", None), (1, "in", "/d", None), (3, "ignore", "*.tmp", None)]
+    a, b = compile_rules(rules_frame(spark, rows)), compile_rules(rows)
+    assert a.adds == b.adds and a.version == b.version and a.final_ignore_regex == b.final_ignore_regex
+
+
 def test_rules_include_unknown_is_an_error():
     with pytest.raises(RuleError):
         compile_rules([(1, "include", "*.exe", None)])
@@ -176,10 +184,11 @@ def test_duplicate_claims(spark):
     assert got == {"/r/s/a.md": (2, 2), "/r/s": (2, 2)}
 
 
-def test_sample_rule_file_on_sandbox_tree(spark):
-    """The reference's sample rules (active lines, in order) on its sandbox
-    tree: a.txt and tmp.txt (12 bytes, equal) and source/tmp.txt (42 bytes)."""
-    base = "/sandbox"
+def test_small_rule_file_on_three_file_tree(spark):
+    """A rule table with a relative alias, an add that matches nothing, a path
+    claimed twice and an ignore/include pair, on a tree of two equal 12-byte
+    files and one 42-byte file in a sub-directory."""
+    base = "/tree"
     src = tree(spark, [(base + "/a.txt", False, 12, 0, "same"), (base + "/tmp.txt", False, 12, 0, "same"),
                        (base + "/source/tmp.txt", False, 42, 0, "big")])
     rules = [(3, "root", "x", "dest"), (19, "ignore", "ignore.txt", None),
@@ -189,6 +198,6 @@ def test_sample_rule_file_on_sandbox_tree(spark):
     plan = compile_rules(rules, base=base)
     t = [(r.rule_seq, r.read_path, r.write_path) for r in S.expected(S.track(src, plan)).collect()]
     # line 24 asks for a path line 23 already claimed; line 22 matches nothing
-    assert t == [(23, "/sandbox/source/tmp.txt", "/sandbox/dest/tmp.txt")]
+    assert t == [(23, "/tree/source/tmp.txt", "/tree/dest/tmp.txt")]
     ch = sync.check(src, tree(spark, [], dirs=[base]), plan).public.collect()
-    assert [(r.change, r.dest_path) for r in ch] == [("add", "/sandbox/dest/tmp.txt")]
+    assert [(r.change, r.dest_path) for r in ch] == [("add", "/tree/dest/tmp.txt")]
