@@ -91,10 +91,14 @@ def expand_parents(df: DataFrame, col: str = "path", base: str | None = None) ->
 def with_directories(files: DataFrame, col: str = "path", base: str | None = None) -> DataFrame:
     """Inventory of ``files`` closed over its ancestor directories.
 
-    Directory rows already present in ``files`` win over derived ones.
+    Directory rows already present in ``files`` win over derived ones. Only
+    those explicit directory rows can coincide with a derived directory (a
+    path is never both a file and a directory), so the anti join reads them
+    alone instead of shuffling every file path.
     """
     files = files.select(*INVENTORY_COLUMNS)
-    dirs = expand_parents(files, col, base).join(files.select("path"), "path", "left_anti")
+    listed_dirs = files.where(F.col("is_dir")).select("path")
+    dirs = expand_parents(files, col, base).join(listed_dirs, "path", "left_anti")
     return files.unionByName(dirs)
 
 
