@@ -128,12 +128,15 @@ def track(inventory: DataFrame, plan: RulePlan, parents: bool = True) -> DataFra
     out = _finish(m, False)
     if not parents:
         return out
-    par = (m.select("rule_seq", "read_prefix", "write_prefix", P.parent("read_path").alias("_p"))
-            .where(F.col("_p") != F.col("read_prefix"))
+    # the shuffles carry (rule_seq, directory) only; prefixes are fixed per rule
+    par = (m.select("rule_seq", P.parent("read_path").alias("_p"))
+            .where(F.col("_p") != _by_seq(plan, "read_prefix"))
             .distinct())
-    anc = (par.select("rule_seq", "read_prefix", "write_prefix",
-                      F.explode(F.array_union(P.ancestors("_p", "read_prefix"), F.array("_p"))).alias("read_path"))
+    anc = (par.select("rule_seq", F.explode(F.array_union(P.ancestors("_p", _by_seq(plan, "read_prefix")),
+                                                          F.array("_p"))).alias("read_path"))
               .distinct()
+              .select("rule_seq", "read_path", _by_seq(plan, "read_prefix").alias("read_prefix"),
+                      _by_seq(plan, "write_prefix").alias("write_prefix"))
               .select("*", F.lit(True).alias("is_dir"), F.lit(0).cast("bigint").alias("size"),
                       F.lit(None).cast("timestamp").alias("mtime"), F.lit(None).cast("string").alias("content_hash")))
     return out.unionByName(_finish(anc, True))
