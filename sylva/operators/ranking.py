@@ -20,7 +20,14 @@ from sylva.session import materialize
 
 # Groups up to this many rows are numbered by a plain window (one task per
 # group is then bounded); beyond it the group is split across partitions.
+# A session can override it with ``spark.sylva.hotGroupRows``.
 HOT_GROUP_ROWS = 2_000_000
+HOT_GROUP_CONF = "spark.sylva.hotGroupRows"
+
+
+def hot_group_rows(df: DataFrame) -> int:
+    value = df.sparkSession.conf.get(HOT_GROUP_CONF, None)
+    return int(value) if value else HOT_GROUP_ROWS
 
 
 def largest_group(df: DataFrame, group_cols: list[str]) -> int:
@@ -48,7 +55,7 @@ def group_running_sum(df: DataFrame, group_cols: list[str], order_cols: list,
     ``hot_rows`` rows a plain window does the work; otherwise the rows are
     range-partitioned so a hot group is spread over many tasks.
     """
-    limit = HOT_GROUP_ROWS if hot_rows is None else hot_rows
+    limit = hot_group_rows(df) if hot_rows is None else hot_rows
     if largest_group(df, group_cols) <= limit:
         w = Window.partitionBy(*group_cols).orderBy(
             *[F.col(c) if isinstance(c, str) else c for c in order_cols])

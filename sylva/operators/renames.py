@@ -140,7 +140,7 @@ def islands(changes: DataFrame, tolerance_us: int = FAST_TOLERANCE_US) -> DataFr
         F.lit("d").alias("kind"), "size", F.col("dest_path").alias("path"),
         F.unix_micros("mtime").alias("t"))
     rows = adds.unionByName(dels).where(F.col("t").isNotNull())
-    if largest_group(rows, ["size"]) <= rk.HOT_GROUP_ROWS:
+    if largest_group(rows, ["size"]) <= rk.hot_group_rows(rows):
         w = Window.partitionBy("size").orderBy("t", "kind", "path")
         prev = F.lag("t").over(w)
         start = F.when(prev.isNull() | (F.col("t") - prev >= tolerance_us), 1).otherwise(0)

@@ -216,6 +216,12 @@ def test_hot_group_numbering_matches_window(spark):
         "g", "k", F.row_number().over(w).alias("rn"),
         F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cs")).collect()}
     rn = {(r.g, r.k): r.rn for r in group_row_number(df, ["g"], ["k"], "rn", hot_rows=100).collect()}
+    spark.conf.set("spark.sylva.hotGroupRows", "100")
+    try:
+        rn_conf = {(r.g, r.k): r.rn for r in group_row_number(df, ["g"], ["k"], "rn").collect()}
+    finally:
+        spark.conf.unset("spark.sylva.hotGroupRows")
+    assert rn_conf == rn
     cs = {(r.g, r.k): r.cs for r in group_running_sum(df, ["g"], ["k"], "v", "cs", hot_rows=100).collect()}
     assert rn == {k: v[0] for k, v in want.items()}
     assert cs == {k: v[1] for k, v in want.items()}
