@@ -112,7 +112,8 @@ def pruned_subtrees(inventory: DataFrame, tracked_paths: DataFrame, search_path:
                  .join(parent_ok.unionByName(
                      inv.sparkSession.createDataFrame([(search_path,)], "_pp string")), "_pp", "left_semi")
                  .drop("_pp"))
-    return top.select("path", (F.size(P.parts("path")) - F.size(P.parts(F.lit(search_path)))).alias("depth"))
+    depth = F.size(P.parts("path")) - F.size(P.parts(F.lit(search_path)))
+    return top.select("path", depth.cast("bigint").alias("depth"))
 
 
 def tree_listing(inventory: DataFrame, tracked: DataFrame, search_path: str,
@@ -158,6 +159,6 @@ def tree_listing(inventory: DataFrame, tracked: DataFrame, search_path: str,
     else:
         pruned = F.lit(False)
     depth = F.size(P.parts("path")) - F.size(P.parts(F.lit(search_path)))
-    return (rows.select("path", depth.alias("depth"), "name", "is_dir", "tracked", is_last.alias("is_last"),
+    return (rows.select("path", depth.cast("bigint").alias("depth"), "name", "is_dir", "tracked", is_last.alias("is_last"),
                         pruned.alias("pruned"), dest.alias("dest"))
                 .orderBy(P.sibling_key("path")))

@@ -69,7 +69,7 @@ def _by_seq(plan: RulePlan, attr: str) -> Column:
     for a in plan.adds:
         v = F.lit(getattr(a, attr))
         expr = F.when(F.col("rule_seq") == a.seq, v) if expr is None else expr.when(F.col("rule_seq") == a.seq, v)
-    return expr
+    return expr if expr is not None else F.lit(None).cast("string")
 
 
 def claim_struct(plan: RulePlan, col: str = "path") -> Column:
