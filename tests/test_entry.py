@@ -36,3 +36,26 @@ def test_some_oracles_at_smoke_scale(spark):
         got = _rows(sp.select(*cols).collect())
         want = _rows(con.execute(f"SELECT {', '.join(cols)} FROM ({E.oracle_sql()[name]})").fetchall())
         assert got == want, name
+
+
+def test_fixture_counts_at_sf001(spark):
+    """The counts FIXTURES.md gives for the derived document inventories."""
+    from pyspark.sql import functions as F
+
+    from sylva.plans import sync
+    from sylva.sources import testdata as T
+
+    sf = "/root/testdata/sf0.01"
+    src, dst = T.documents_src(spark, sf), T.documents_dst(spark, sf)
+    assert src.where("not is_dir").count() == 1000 and dst.where("not is_dir").count() == 900
+    rules = [(1, "in", "/backup", None), (2, "add", "/lake/**", None)]
+    res = sync.check(src, dst, rules, renames=False)
+    files = res.pairs.where(F.coalesce(~F.col("s_is_dir"), F.lit(True)) & F.coalesce(~F.col("d_is_dir"), F.lit(True)))
+    same = files.where("source_path is not null and d_is_dir is not null and equal").count()
+    by = {r.change: r["count"] for r in res.changes.where("not is_dir").groupBy("change").count().collect()}
+    assert (same, by.get("add"), by.get("delete"), by.get("modify")) == (606, 288, 188, 106)
+    renames = sync.check(src, dst, rules).public.where("change = 'rename'").count()
+    assert renames == 94
+    fast = sync.check(src, dst, rules, mode="fast", renames=False).pairs
+    both = fast.where("source_path is not null and d_is_dir is not null and not s_is_dir and not d_is_dir")
+    assert (both.where("equal").count(), both.count()) == (356, 712)
