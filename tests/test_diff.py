@@ -246,3 +246,16 @@ def test_d9_state_is_keyed_by_pair(spark):
     pairs, _ = D.incremental_equal(D.pair(exp, dst), state, plan.version)
     row = pairs.where("dest_path = '/d/a'").collect()[0]
     assert row.state_hit is False and row.equal is False
+
+
+def test_streaming_selection_resumes_from_checkpoint(spark):
+    folder = tempfile.mkdtemp(prefix="sylva-stream2-")
+    plan = compile_rules([(1, "in", "/d", None), (2, "add", "/r/**", None)])
+    inventory(spark, [("/r/a", False)]).write.parquet(folder + "/in/batch=1")
+    SS.start_selection(SS.read_inventory_stream(spark, folder + "/in/*"), plan, folder + "/out",
+                       folder + "/ckpt").awaitTermination(120)
+    inventory(spark, [("/r/b", False), ("/x/c", False)]).write.parquet(folder + "/in/batch=2")
+    SS.start_selection(SS.read_inventory_stream(spark, folder + "/in/*"), plan, folder + "/out",
+                       folder + "/ckpt").awaitTermination(120)
+    got = sorted(r.write_path for r in spark.read.parquet(folder + "/out").collect())
+    assert got == ["/d/a", "/d/b"]  # each file once, /x/c not selected
