@@ -2,8 +2,8 @@
 
 A public vocabulary's pieces and scores are taken as they are: scores of a unigram model
 are its log-probabilities; those of a rank-ordered vocabulary (no probabilities) become
-Zipf weights by rank. These weights are the prior of one re-estimation on the training
-tokens, by expected piece counts (forward-backward over each distinct word's lattice). A token's probability is
+Zipf weights by rank. These weights are the prior of re-estimations on the distinct
+training tokens, by expected piece counts (forward-backward over each one's lattice). A token's probability is
 the marginal over all its segmentations, by a forward recursion; tokens of the training
 documents are pieces too, whole, with all the mass but what Good-Turing leaves to
 unseen tokens. A text's probability is the product over its tokens and the end. A base
@@ -34,11 +34,11 @@ from sylva.llm.common import fold
 from sylva.llm.sentencepiece_codec import BYTE, MARK, NORMAL, UNIGRAM, USER, parse
 from sylva.session import materialize
 
-END = "\n"  # no token holds a line feed
 ALPHA = 0.1
 LONGEST = 16  # longest piece that the lattice uses, in characters
 BLOCK_TEXT = 8 << 20  # characters of a block of documents, about
-PRIOR_WEIGHT = 1000.0  # training tokens' worth of the vocabulary's own weights
+PRIOR_WEIGHT = 1000.0  # pieces' worth of the vocabulary's own weights
+ROUNDS = 2
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 _UPPER = {i: i + 32 for i in range(65, 91)}
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -202,26 +202,26 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(count, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def reestimated(counts: DataFrame, path: str, ends: int) -> np.ndarray:
-    """Probabilities (pieces, end, a byte) after one re-estimation: a vector of the vocabulary's size from each task."""
+def reestimated(counts: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
+    """Probabilities (pieces, end, a byte) after some re-estimations on the distinct training tokens (the subword
+    arcs are for unseen tokens, which resemble distinct ones); each task sends a vector of the vocabulary's size."""
     v = vocabulary(path)
-    size = len(v.prior)
+    size, p = len(v.prior), v.prior
+    for _ in range(rounds):
+        logp = np.log(p)
 
-    def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = vocabulary(path)
-        lattice = Lattice(own, np.log(own.prior))
-        total = np.zeros(size)
-        for b in batches:
-            total += lattice.run(b["token"].tolist(), b["c"].to_numpy(float))[1]
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"piece": at, "n": total[at]})
+        def expect(batches: Iterator[pd.DataFrame], logp=logp) -> Iterator[pd.DataFrame]:
+            lattice, total = Lattice(vocabulary(path), logp), np.zeros(size)
+            for b in batches:
+                total += lattice.run(b["token"].tolist(), np.ones(len(b)))[1]
+            at = np.flatnonzero(total)
+            yield pd.DataFrame({"piece": at, "n": total[at]})
 
-    sums = counts.filter("c > 0").mapInPandas(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()  # at most a row for each piece
-    total = np.zeros(size)
-    total[sums["piece"].to_numpy()] = sums["n"].to_numpy()
-    total[-2] += ends
-    total = total + PRIOR_WEIGHT * v.prior
-    return total / (total[:-1].sum() + v.n_bytes * total[-1])
+        sums = counts.filter("c > 0").mapInPandas(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()  # at most a row for each piece
+        total = PRIOR_WEIGHT * v.prior
+        total[sums["piece"].to_numpy(dtype=np.int64)] += sums["n"].to_numpy()
+        p = total / (total[:-1].sum() + v.n_bytes * total[-1])
+    return p
 
 
 def likelihoods(docs: DataFrame, path: str) -> DataFrame:
@@ -231,7 +231,7 @@ def likelihoods(docs: DataFrame, path: str) -> DataFrame:
     n, v, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.count(F.when(F.col("c") == 1, 1))).first()
     ends = rows.filter(~F.col("held_out")).count()
     n, v = n + ends, v + (ends > 0)
-    logp = np.log(reestimated(counts, path, ends))
+    logp = np.log(reestimated(counts, path))
     unseen = (once + 1) / (n + 2)  # mass of the subword arcs
 
     def marginal(c, lp):
