@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.llm import decontaminate, hilbert_ann, langid, lattice, pii, sentencepiece_codec, simhash, tokencount, toxicity
+from sylva.llm import decontaminate, hilbert_ann, langid, lattice, licenses, pii, sentencepiece_codec, simhash, tokencount, toxicity
 from sylva.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op7_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.likelihoods(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licences(table(spark, sf_dir, "documents"))
+
+
 def op9_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_ann.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
@@ -54,4 +58,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_decontamination, op4_simhash, op5_language, op6_toxicity, op7_lattice_scores, op9_hilbert_neighbours, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_decontamination, op4_simhash, op5_language, op6_toxicity, op7_lattice_scores, op8_licences, op9_hilbert_neighbours, op10_pii)}
