@@ -170,7 +170,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows without a benchmark region; rows without an id or text stay."""
-    gone = contaminated(docs, benchmark).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+def _clean(items: list[tuple[int, str | None]]):
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = Index(items)
+        for b in batches:
+            yield pd.Series([not index.find(t) for t in b], dtype=bool)
+
+    return clean
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows whose text holds no benchmark region (null texts stay); texts stay where they are, nothing is shuffled."""
+    for items in _blocks(benchmark, block_bytes):
+        docs = docs.filter(_clean(items)(F.col("text").cast("string")))
+    return docs

@@ -28,7 +28,7 @@ from sylva.llm.common import fold
 SWITCH = 6.0  # log-odds that a change of language must win
 SMOOTH = 0.5
 LEAST, MOST = 3, 120_000
-KNOWN_WORDS = 400_000  # words remembered by a Python worker; only the memory's bound
+KNOWN_WORDS = 200_000  # words remembered by a Python worker; only the memory's bound
 WORD = re.compile(r"[^\W\d_]+")
 
 # fixed values: first and last code point of scripts

@@ -30,7 +30,7 @@ from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalize
 
 MARK = "▁"
 WORDS = re.compile(" +[^ ]+| +$").findall
-KNOWN_WORDS = 500_000  # words remembered by a Python worker; only the memory's bound
+KNOWN_WORDS = 200_000  # words remembered by a Python worker; only the memory's bound
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, _, BYTE = range(1, 7)
 

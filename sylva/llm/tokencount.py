@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from sylva.llm.common import texts
 
-CACHE_WORDS = 1_000_000  # words remembered by a Python worker; the memory's bound, never a limit of the counts
+CACHE_WORDS = 400_000  # words remembered by a Python worker; the memory's bound, never a limit of the counts
 
 
 def _byte_symbols() -> list[str]:

@@ -158,8 +158,8 @@ def learned_insults(sample: DataFrame, most: int) -> list[str]:
     return [r["w"] for r in odd.collect()]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` and ``n_clauses`` (clauses with a match) of every row."""
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[dict[str, int], np.ndarray]:
+    """Lexicon and arc weights."""
     sample = training_sample(docs, labels, sample_rows)
     lexicon = {w: INSULT for w in learned_insults(sample, LEARNED_WORDS)} | seed_lexicon()
 
@@ -170,14 +170,28 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_
 
     seen = sample.select("toxic", "text").mapInPandas(count, "toxic int, arcs array<long>").toPandas()
     y = seen["toxic"].to_numpy(dtype=float)
-    weights = _fit(np.array(seen["arcs"].tolist()), y) if len(set(y)) > 1 else PRIOR
+    return lexicon, _fit(np.array(seen["arcs"].tolist()), y) if len(set(y)) > 1 else PRIOR
+
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def scorer(lexicon: dict[str, int], weights: np.ndarray):
+    """A column function: text to struct<score, n_clauses>."""
+
+    @F.pandas_udf("score double, n_clauses long")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         g = Grammar(lexicon)
         for b in batches:
-            arcs = np.array([g.arcs(t) for t in b["text"]]).reshape(-1, len(ARCS))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": _score(arcs, weights), "n_clauses": arcs[:, 7]})
+            arcs = np.array([g.arcs(t) for t in b]).reshape(-1, len(ARCS))
+            yield pd.DataFrame({"score": _score(arcs, weights), "n_clauses": arcs[:, 7]})
+
+    return score
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` and ``n_clauses`` (clauses with a match) of every row."""
+    rows = texts(docs).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), scorer(*learn(docs, labels, sample_rows))("text").alias("x"))
+    return rows.select("doc_id", "held_out", "x.score", "x.n_clauses", (F.col("x.score") >= threshold).cast("int").alias("predicted"))
+
 
-    rows = texts(docs).withColumn("held_out", fold("doc_id", 3) == 1)
-    out = rows.mapInPandas(score, "doc_id long, held_out boolean, score double, n_clauses long")
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows whose text scores below ``threshold``; texts stay where they are, nothing is shuffled."""
+    return docs.filter(scorer(*learn(docs, labels))(F.col("text").cast("string"))["score"] < threshold)
