@@ -8,7 +8,6 @@ from there, so a lost executor costs a part of one stage.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sylva.llm import decontaminate, pii, sentencepiece_codec, simhash, toxicity
 from sylva.llm.common import table
@@ -19,10 +18,8 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go (every row of such a doc_id); the model learns from this stage's own documents."""
-    scores = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
-    gone = scores.filter("predicted = 1").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """Documents predicted toxic go; the model learns from this stage's own documents."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
