@@ -96,7 +96,7 @@ class Model:
         ids = [np.array([known[w] if w in known else find(w) for w in ws], dtype=np.int64) for ws in words]
         sizes = [np.array(list(map(len, ws)), dtype=np.int64) for ws in words]
         k = len(self.langs)
-        total = np.array([self.rows[i].sum(0) if len(i) else np.zeros(k) for i in ids]).reshape(-1, k)
+        total = np.array([self.rows[i].sum(0) if len(i) else np.zeros(k) for i in ids]).reshape(len(texts), k)
         order = sorted(range(len(texts)), key=lambda i: -len(ids[i]))
         paths: list[np.ndarray] = [np.empty(0, np.int8)] * len(texts)
         at = 0

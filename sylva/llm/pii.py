@@ -71,11 +71,11 @@ def mod97(x: Column) -> Column:
     flat = F.regexp_replace(x, " ", "")
     turned = F.concat(F.substr(flat, F.lit(5)), F.substr(flat, F.lit(1), F.lit(4)))
 
-    def add(rest: Column, c: Column) -> Column:
-        v = F.conv(c, 36, 10).cast("int")
+    def add(rest: Column, i: Column) -> Column:
+        v = F.conv(F.substr(turned, i, F.lit(1)), 36, 10).cast("int")
         return (rest * F.when(v > 9, 100).otherwise(10) + v) % 97
 
-    return F.aggregate(F.split(turned, "(?!^)"), F.lit(0), add) == 1
+    return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add) == 1
 
 
 def _valid(kind: str, x: Column) -> Column:

@@ -91,6 +91,9 @@ class Codec:
         self.fast, self.slow = rebuild(path), sentencepiece.SentencePieceProcessor(model_file=path)
         self.by_word = self.fast.pre_tokenizer is not None
         self.known: dict[str, tuple[bytes, bool, bool]] = {}
+        # a last lone blank: the normaliser puts no marker before an empty text, so it can't come from whole()
+        mark = self.fast.model.tokenize(MARK)
+        self.blank = (np.array([t.id for t in mark], "<i4").tobytes(), True, True)
 
     def whole(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
         """(identifiers, agrees with the library, decodes to the text) of each text."""
@@ -104,6 +107,7 @@ class Codec:
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
         cut = [WORDS(" " + t) if t else [] for t in texts]  # the marker put first, as by the normaliser
+        self.known[" "] = self.blank
         fresh = sorted({w for words in cut for w in words} - self.known.keys())
         if fresh:
             self.known.update(zip(fresh, self.whole([w[1:] for w in fresh])))
