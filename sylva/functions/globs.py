@@ -123,7 +123,22 @@ def segment_regex(seg: str, match_hidden: bool = True, glob_on: bool = True) ->
             continue
         out.append(_lit(ch))
         i += 1
-    return "".join(out)
+    return _linear(out)
+
+
+def _linear(parts: list[str]) -> str:
+    """Join the parts so that failing matches stay cheap: between two stars the first
+    place that fits is as good as any later one, so it is taken atomically."""
+    chunks = [[]]
+    for p in parts:
+        if p == "[^/]*":
+            chunks.append([])
+        else:
+            chunks[-1].append(p)
+    head, *rest = ["".join(c) for c in chunks]
+    if not rest:
+        return head
+    return head + "".join(f"(?>[^/]*?{c})" for c in rest[:-1]) + "[^/]*" + rest[-1]
 
 
 def _collapse(segs: list[str]) -> list[str]:

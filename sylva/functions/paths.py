@@ -61,7 +61,7 @@ def relative_to(col: ColumnOrName, prefix: ColumnOrName) -> Column:
     """Path with ``prefix`` and the following separator cut off."""
     p = _c(prefix)
     start = F.when(p == "/", F.lit(2)).otherwise(F.length(p) + 2)
-    return _c(col).substr(start, F.lit(1 << 30))
+    return F.substr(_c(col), start)
 
 
 def ancestors(col: ColumnOrName, base: ColumnOrName | None = None) -> Column:

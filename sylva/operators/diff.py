@@ -193,17 +193,19 @@ def snapshot_diff(expected: DataFrame, actual: DataFrame, keys: list[str],
     """Keyed snapshot diff: ``change`` (add / modify / delete) plus the keys.
 
     Absent in actual -> add; present and some value differs (null-safe) ->
-    modify; only in actual -> delete. One full outer join on the keys.
+    modify; only in actual -> delete. Null keys equal each other. A key with
+    several rows is compared as a multiset of rows: one ``modify`` if they differ.
+    Equal rows cancel out in a first count by row, a second one by key decides.
     """
     if value_cols is None:
         value_cols = [c for c in expected.columns if c not in keys]
-    e = expected.select(*keys, *[F.col(c).alias("e_" + c) for c in value_cols], F.lit(True).alias("_in_e"))
-    a = actual.select(*keys, *[F.col(c).alias("a_" + c) for c in value_cols], F.lit(True).alias("_in_a"))
-    j = e.join(a, keys, "full_outer")
-    same = F.lit(True)
-    for c in value_cols:
-        same = same & F.col("e_" + c).eqNullSafe(F.col("a_" + c))
-    change = (F.when(F.col("_in_a").isNull(), F.lit("add"))
-               .when(F.col("_in_e").isNull(), F.lit("delete"))
-               .when(~same, F.lit("modify")))
-    return j.select(change.alias("change"), *keys).where(F.col("change").isNotNull())
+    cols = [*keys, *value_cols]
+    both = (expected.select(*cols, F.lit(1).alias("_e"), F.lit(0).alias("_a"))
+            .unionByName(actual.select(*cols, F.lit(0).alias("_e"), F.lit(1).alias("_a"))))
+    rows = both.groupBy(*cols).agg(F.sum("_e").alias("_e"), F.sum("_a").alias("_a"))
+    by_key = rows.groupBy(*keys).agg(F.sum("_e").alias("_e"), F.sum("_a").alias("_a"),
+                                     F.max(F.col("_e") != F.col("_a")).alias("_differs"))
+    change = (F.when(F.col("_a") == 0, F.lit("add"))
+               .when(F.col("_e") == 0, F.lit("delete"))
+               .when(F.col("_differs"), F.lit("modify")))
+    return by_key.select(change.alias("change"), *keys).where(F.col("change").isNotNull())

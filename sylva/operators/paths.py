@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylva.functions import paths as P
-from sylva.session import checked_broadcast
 
 INVENTORY_COLUMNS = ["path", "is_dir", "size", "mtime", "content_hash"]
 
@@ -52,8 +51,7 @@ def resolve_roots(df: DataFrame, aliases: DataFrame, col: str = "path") -> DataF
     """
     if "seq" in aliases.columns:
         aliases = aliases.groupBy("alias").agg(F.min_by("replacement", "seq").alias("replacement"))
-    a = checked_broadcast(aliases.select(F.col("alias").alias("_alias"),
-                                         F.col("replacement").alias("_repl")))
+    a = aliases.select(F.col("alias").alias("_alias"), F.col("replacement").alias("_repl"))
     c = F.col(col)
     first = F.when(~c.startswith("/"), F.split(c, "/").getItem(0))
     rest = F.expr(f"substr(`{col}`, length(split(`{col}`, '/')[0]) + 2)")
@@ -91,14 +89,11 @@ def expand_parents(df: DataFrame, col: str = "path", base: str | None = None) ->
 def with_directories(files: DataFrame, col: str = "path", base: str | None = None) -> DataFrame:
     """Inventory of ``files`` closed over its ancestor directories.
 
-    Directory rows already present in ``files`` win over derived ones. Only
-    those explicit directory rows can coincide with a derived directory (a
-    path is never both a file and a directory), so the anti join reads them
-    alone instead of shuffling every file path.
+    Rows already present in ``files`` win over derived ones, files too: on an
+    object store a path can be a file and lead to others.
     """
     files = files.select(*INVENTORY_COLUMNS)
-    listed_dirs = files.where(F.col("is_dir")).select("path")
-    dirs = expand_parents(files, col, base).join(listed_dirs, "path", "left_anti")
+    dirs = expand_parents(files, col, base).join(files.select("path"), "path", "left_anti")
     return files.unionByName(dirs)
 
 

@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sylva.functions import globs
 from sylva.functions.paths import normalize_relative_text, normalize_text
-from sylva.session import MAX_RULE_ROWS
 
 RULE_SCHEMA = "seq int, verb string, arg1 string, arg2 string"
 
@@ -134,10 +133,8 @@ def _bool(text: str | None) -> bool:
 
 
 def collect_rules(rules) -> list[tuple]:
+    """Rules are configuration, compiled on the driver: a rule table is read whole there."""
     if isinstance(rules, DataFrame):
-        n = rules.count()
-        if n > MAX_RULE_ROWS:
-            raise RuleError(f"rule table has {n} rows, more than {MAX_RULE_ROWS}")
         rows = [tuple(r) for r in rules.select("seq", "verb", "arg1", "arg2").collect()]
     else:
         rows = [tuple(r) + (None,) * (4 - len(r)) for r in rules]

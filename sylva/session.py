@@ -7,13 +7,6 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Rule tables are collected to compile patterns; past this many rows the
-# library refuses rather than pulling an unbounded table to the driver.
-MAX_RULE_ROWS = 100_000
-
-# Small tables are broadcast only after their row count was checked.
-BROADCAST_ROW_LIMIT = 100_000
-
 
 def builder(master: str | None = None, app: str = "sylva", shuffle_partitions: int | None = None,
             initial_partitions: int | None = None):
@@ -60,8 +53,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None)
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster that setting points at shared storage and is used as is. Only
-    when it is unset (local runs, tests) a folder of our own is set.
+    On a cluster that setting points at shared storage and is used as is; a
+    cluster without it is an error, as executors don't share local folders. Only
+    a local master (tests) gets a folder of our own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
@@ -71,23 +65,13 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return conf_dir
+    if sc.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
     local = fallback or tempfile.mkdtemp(prefix="sylva-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return local
 
 
-def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast ``df`` only after counting that it holds at most ``limit`` rows.
-
-    Beyond the limit the frame is returned unchanged, so the planner picks a
-    shuffle join instead.
-    """
-    from pyspark.sql import functions as F
-
-    n = df.limit(limit + 1).count()
-    return F.broadcast(df) if n <= limit else df
-
-
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once as Parquet below the shared checkpoint folder and read
     it back: the lineage is cut (a lost executor re-reads files instead of

@@ -28,7 +28,7 @@ def scan_inventory(spark: SparkSession, location: str, format: str = "parquet",
         raw = spark.read.format("binaryFile").options(**opts).load(location)
         path = F.col("path")
         if strip_prefix:
-            path = F.when(path.startswith(strip_prefix), path.substr(len(strip_prefix) + 1, 1 << 30)).otherwise(path)
+            path = F.when(path.startswith(strip_prefix), F.substr(path, F.lit(len(strip_prefix) + 1))).otherwise(path)
         else:
             path = F.regexp_replace(path, r"^[a-zA-Z][a-zA-Z0-9+.-]*:", "")
         files = raw.select(

@@ -77,12 +77,12 @@ def documents_dst(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``page_id, root, path`` with root = protocol + host and the URL path."""
+    """``page_id, root, path`` with root = protocol + host and the URL path (both null for an invalid URL)."""
     p = table(spark, sf_dir, "pages")
     return p.select(
         "page_id",
-        F.concat(F.expr("parse_url(url, 'PROTOCOL')"), F.lit("://"), F.expr("parse_url(url, 'HOST')")).alias("root"),
-        F.expr("parse_url(url, 'PATH')").alias("path"),
+        F.concat(F.expr("try_parse_url(url, 'PROTOCOL')"), F.lit("://"), F.expr("try_parse_url(url, 'HOST')")).alias("root"),
+        F.expr("try_parse_url(url, 'PATH')").alias("path"),
     )
 
 

@@ -259,3 +259,11 @@ def test_streaming_selection_resumes_from_checkpoint(spark):
                        folder + "/ckpt").awaitTermination(120)
     got = sorted(r.write_path for r in spark.read.parquet(folder + "/out").collect())
     assert got == ["/d/a", "/d/b"]  # each file once, /x/c not selected
+
+
+def test_keyed_diff_of_duplicate_and_null_keys(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "y"), (None, "z"), (2, None)], "k int, v string")
+    assert D.snapshot_diff(a, a, ["k"]).collect() == []
+    b = spark.createDataFrame([(1, "x"), (1, "x"), (3, "n")], "k int, v string")
+    got = {(r["change"], r["k"]) for r in D.snapshot_diff(a, b, ["k"]).collect()}
+    assert got == {("modify", 1), ("add", None), ("add", 2), ("delete", 3)}

@@ -148,3 +148,14 @@ def test_ignore_regex_forms():
     star = globs.ignore_regex("*/*")  # D11: the root is no segment
     assert not m(star, "/a") and m(star, "/a/b")
     assert m(globs.ignore_regex("**"), "/anything/at/all")
+
+
+def test_many_stars_fail_fast(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    began = time.time()
+    row = spark.range(1).select(F.lit("a" * 100).rlike(globs.glob_regex("*a" * 12 + "*b")).alias("x"),
+                                F.lit("xa" * 50 + "b").rlike(globs.glob_regex("*a" * 12 + "*b")).alias("y")).first()
+    assert (row["x"], row["y"]) == (False, True) and time.time() - began < 20
