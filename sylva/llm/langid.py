@@ -7,13 +7,15 @@ for switching, labels spans; the language with most letters wins, and its share
 text's posterior is the score.
 
 Null texts and texts without a letter are ``und`` with score 0. With no training row
-everything is ``und``. Learning reads every training row once (n-gram counts by
-language); the model keeps n-grams seen at least ``least`` times, at most ``most`` of
-them, so what is sent to the executors is bounded. Ties go to the language that sorts first.
+everything is ``und``. The classifier is fitted on a bounded sample (``sample_rows`` of each
+language, about, drawn by a hash of the id); n-grams go by a 64-bit hash, and the model
+keeps those seen at least ``least`` times, at most ``most`` of them, so what is sent to
+the executors is bounded. Ties go to the language that sorts first.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,10 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylva.llm.common import fold
+from sylva.session import materialize
 
 SWITCH = 6.0  # log-odds that a change of language must win
 SMOOTH = 0.5
 LEAST, MOST = 3, 120_000
+SAMPLE_ROWS = 5_000  # training rows of each language, about
+SHARES = 1 << 40  # steps of a hash
 KNOWN_WORDS = 200_000  # words remembered by a Python worker; only the memory's bound
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -58,43 +63,82 @@ def script(word: str) -> str:
     return "other"
 
 
-def features(word: str) -> list[str]:
-    """n-grams of a word with its borders."""
-    w = f" {word} "
-    return [w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)] + ([w] if 2 < len(word) <= 12 else [])
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words' n-grams with their borders (and of whole words of 3 to 12 letters), and
+    the number of the word that each comes from."""
+    text = " " + "  ".join(words) + " "
+    code = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    size = np.array(list(map(len, words)), dtype=np.int64) + 2
+    owner = np.repeat(np.arange(len(words)), size)
+    first = np.cumsum(size) - size
+    left = np.repeat(first + size, size) - np.arange(len(code))  # characters up to the word's last border
+    mixed = (code + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    keys, owners, rolling = [], [], np.zeros(len(code), dtype=np.uint64)
+    for n in range(4):
+        rolling = rolling[: len(code) - n] * np.uint64(0xBF58476D1CE4E5B9) + mixed[n:]
+        ok = left[: len(rolling)] > n
+        keys.append(rolling[ok])
+        owners.append(owner[: len(rolling)][ok])
+    short = np.flatnonzero((size > 4) & (size <= 14))
+    if len(short):
+        place = np.arange(len(code)) - np.repeat(first, size)
+        power = np.cumprod(np.full(int(size.max()), 0x94D049BB133111EB, dtype=np.uint64))
+        keys.append((np.add.reduceat(mixed * power[place], first))[short] ^ np.uint64(0x5555))
+        owners.append(short)
+    key = np.concatenate(keys)
+    return (key ^ (key >> np.uint64(31))).view(np.int64), np.concatenate(owners)
 
 
 class Model:
-    """log-probabilities of n-grams by language, and the languages of each script."""
+    """log-probabilities of n-grams by language, and the languages of each script. ``keys``: the n-grams' hashes, ascending."""
 
-    def __init__(self, langs: list[str], grams: dict[str, int], logs: np.ndarray, scripts: dict[str, np.ndarray]):
-        self.langs, self.grams, self.logs, self.scripts = langs, grams, logs, scripts
+    def __init__(self, langs: list[str], keys: np.ndarray, logs: np.ndarray, scripts: dict[str, np.ndarray]):
+        self.langs, self.keys, self.logs, self.scripts = langs, keys, logs, scripts
         self.known: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(langs)))
-
-    def word(self, word: str) -> int:
-        """Row of the word's scores."""
-        n = len(self.known)
-        if n >= len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        get = self.grams.get
-        seen = [g for x in features(word) if (g := get(x)) is not None]
-        score = self.logs[seen].sum(0) / np.sqrt(len(seen)) if seen else np.zeros(len(self.langs))
-        allowed = self.scripts.get(script(word))
-        if allowed is not None:
-            score = np.where(allowed, score, score.min() - 50.0)
-        self.rows[n] = score - score.max()
-        self.known[word] = n
-        return n
+        self.rows = np.zeros((0, len(langs)))
+
+    def learn_words(self, words: list[str]) -> None:
+        """Scores of words not seen before, in parts of bounded size."""
+        part, size = [], 0
+        for w in words:
+            part.append(w)
+            size += len(w)
+            if size > 1_000_000:
+                self._score(part)
+                part, size = [], 0
+        if part:
+            self._score(part)
+
+    def _score(self, words: list[str]) -> None:
+        k = len(self.langs)
+        score, hits = np.zeros((len(words), k)), np.zeros(len(words))
+        if len(self.keys):
+            key, owner = grams(words)
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[at] == key
+            at, owner = at[hit], owner[hit]
+            hits = np.bincount(owner, minlength=len(words)).astype(float)
+            for j in range(k):
+                score[:, j] = np.bincount(owner, weights=self.logs[at, j], minlength=len(words))
+        score /= np.sqrt(np.maximum(1.0, hits))[:, None]
+        kinds = list(map(script, words))
+        for kind, allowed in self.scripts.items():
+            if not allowed.all() and (rows := [i for i, x in enumerate(kinds) if x == kind]):
+                score[rows] = np.where(allowed, score[rows], score[rows].min(1, keepdims=True) - 50.0)
+        self.known.update(zip(words, range(len(self.rows), len(self.rows) + len(words))))
+        self.rows = np.concatenate([self.rows, score - score.max(1, keepdims=True)])
 
     def spans(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
         """For each text the language and letters of each word, and the sum of word scores by language."""
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
+            self.rows = self.rows[:0]
         words = [WORD.findall((t or "").lower()) if self.langs else [] for t in texts]
-        known, find = self.known, self.word
-        ids = [np.array([known[w] if w in known else find(w) for w in ws], dtype=np.int64) for ws in words]
-        sizes = [np.array(list(map(len, ws)), dtype=np.int64) for ws in words]
+        self.learn_words(sorted(set().union(*words) - self.known.keys()))
+        find = self.known.__getitem__
+        ids = [np.fromiter(map(find, ws), np.int64, len(ws)) for ws in words]
+        sizes = [np.fromiter(map(len, ws), np.int64, len(ws)) for ws in words]
         k = len(self.langs)
         total = np.array([self.rows[i].sum(0) if len(i) else np.zeros(k) for i in ids]).reshape(len(texts), k)
         order = sorted(range(len(texts)), key=lambda i: -len(ids[i]))
@@ -160,43 +204,55 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
 
 
-def train(docs: DataFrame, least: int = LEAST, most: int = MOST) -> Model:
-    """Learn from the training rows (crc32 of the id modulo 3 is not 1; lang and text not null). Counts are summed
-    in each task first, over its distinct words."""
+def train(docs: DataFrame, least: int = LEAST, most: int = MOST, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """Learn from training rows (crc32 of the id modulo 3 is not 1; lang and text not null): about ``sample_rows``
+    of each language, by a hash of the id, or all where there are fewer. Counts are summed in each task first."""
+    rows = _rows(docs).filter(fold("doc_id", 3) != 1).filter("lang is not null")
+    have = {r["lang"]: r["n"] for r in rows.filter("text is not null").groupBy("lang").count().withColumnRenamed("count", "n").collect()}
+    share = F.lit(0)
+    for lang, n in sorted(have.items()):
+        share = F.when(F.col("lang") == lang, math.ceil(SHARES * min(1.0, sample_rows / n))).otherwise(share)
+    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)) < share).filter("text is not null").select("lang", "text")
+
+    def sums(words: dict[str, Counter]) -> Iterator[pd.DataFrame]:
+        for lang, seen in words.items():
+            names, n = list(seen), np.fromiter(seen.values(), np.int64, len(seen))
+            kinds = pd.Series(n).groupby(pd.Series(list(map(script, names)))).sum()
+            yield pd.DataFrame({"lang": lang, "script": kinds.index, "gram": 0, "n": kinds.to_numpy()})
+            for at in range(0, len(names), 100_000):
+                key, owner = grams(names[at : at + 100_000])
+                own, place = np.unique(key, return_inverse=True)
+                total = np.bincount(place, weights=n[at + owner]).astype(np.int64)
+                yield pd.DataFrame({"lang": lang, "script": None, "gram": own, "n": total})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words: dict[str, Counter] = {}
         for b in batches:
-            for lang, texts in b.groupby("lang")["text"]:
-                words, grams = Counter(), Counter()
-                for t in texts:
-                    words.update(WORD.findall(t.lower()))
-                for w, n in words.items():
-                    for g in features(w):
-                        grams[g] += n
-                    grams["\n" + script(w)] += n
-                yield pd.DataFrame({"lang": lang, "gram": list(grams.keys()), "n": list(grams.values())})
-
-    rows = _rows(docs).filter(fold("doc_id", 3) != 1).filter("text is not null and lang is not null").select("lang", "text")
-    sums = rows.mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    by_gram = sums.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("n"))
-    kept = by_gram.filter((F.col("n") >= least) | F.col("gram").startswith("\n")).orderBy(F.col("gram").startswith("\n").desc(), F.desc("n"), "gram").limit(most).collect()
-    langs = sorted({x for r in kept for x in r["by"]})
+            for lang, text in zip(b["lang"], b["text"]):
+                words.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
+            if sum(map(len, words.values())) > KNOWN_WORDS:
+                yield from sums({x: c for x, c in words.items() if c})
+                words = {}
+        yield from sums({x: c for x, c in words.items() if c})
+
+    by = sample.mapInPandas(count, "lang string, script string, gram long, n long").groupBy("lang", "script", "gram").agg(F.sum("n").alias("n"))
+    by = materialize(by, "language_grams")
+    seen = by.filter("script is null").groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("n"))
+    kept = sorted(seen.filter(F.col("n") >= least).orderBy(F.desc("n"), "gram").limit(most).collect(), key=lambda r: r["gram"])
+    langs = sorted(have)
     at = {x: i for i, x in enumerate(langs)}
     table = np.zeros((len(kept), len(langs)))
     for i, r in enumerate(kept):
         for x, n in r["by"].items():
             table[i, at[x]] = n
-    is_script = np.array([r["gram"].startswith("\n") for r in kept], dtype=bool)
-    total = table[~is_script].sum(0) if len(kept) else np.zeros(len(langs))
-    logs = np.log((table + SMOOTH) / (total + SMOOTH * max(1, len(kept)))) if langs else table
-    grams, scripts = {}, {}
-    for i, r in enumerate(kept):
-        if is_script[i]:
-            share = table[i] / np.maximum(1, table[is_script].sum(0))
-            scripts[r["gram"][1:]] = share >= 1e-3 if (share >= 1e-3).any() else share >= 0
-        else:
-            grams[r["gram"]] = i
-    return Model(langs, grams, logs - logs.mean(1, keepdims=True) if langs else logs, scripts)
+    logs = np.log((table + SMOOTH) / (table.sum(0) + SMOOTH * max(1, len(kept))))
+    used: dict[str, np.ndarray] = {}
+    for r in by.filter("script is not null").collect():
+        used.setdefault(r["script"], np.zeros(len(langs)))[at[r["lang"]]] = r["n"]
+    letters = np.maximum(1, sum(used.values(), np.zeros(len(langs))))
+    scripts = {s: n / letters >= 1e-3 if (n / letters >= 1e-3).any() else n >= 0 for s, n in used.items()}
+    keys = np.array([r["gram"] for r in kept], dtype=np.int64)
+    return Model(langs, keys, logs - logs.mean(1, keepdims=True) if langs else logs, scripts)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -127,10 +127,24 @@ def test_language_of_held_out_and_mixed_texts(spark):
     assert langid.identify(empty, langid.train(table)).count() == 0
 
 
+def test_gram_hashes_equal_plain_grams():
+    words = ["a", "ab", "haus", "über", "дом", "x" * 12, "y" * 13, "haus" * 10]
+
+    def plain(w):
+        p = f" {w} "
+        return [p[i : i + n] for n in (1, 2, 3, 4) for i in range(len(p) - n + 1)] + [("whole", w)] * (2 < len(w) <= 12)
+
+    key, owner = langid.grams(words)
+    for i, w in enumerate(words):
+        mine = key[owner == i].tolist()
+        assert len(mine) == len(plain(w)) and len(set(mine)) == len(set(plain(w)))
+    assert len(set(key.tolist())) == len({g for w in words for g in plain(w)})
+
+
 def test_viterbi_equals_all_paths():
     import itertools
 
-    m = langid.Model(["a", "b", "c"], {}, np.zeros((0, 3)), {})
+    m = langid.Model(["a", "b", "c"], np.zeros(0, np.int64), np.zeros((0, 3)), {})
     m.rows = np.random.default_rng(0).normal(0, 5, (20, 3))
     ids = [np.array(x) for x in ([3, 1, 4, 1, 5, 9], [2, 7, 1, 8], [6])]
     for path, x in zip(m._viterbi(ids), ids):
