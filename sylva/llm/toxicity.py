@@ -6,8 +6,11 @@ insults and threats of a clause by what precedes them; the last sums arc counts.
 The arcs' weights are a logistic model learned from labelled training rows.
 
 Fixed words seed the lexicon. Further insults are learned from the training sample:
-words that follow many different words in toxic rows and hardly any in clean rows
-(counting contexts, so that a group of copies counts as one).
+words mostly of toxic rows whose excess there chance can't explain (a binomial bound).
+A word counts by its contexts or its documents, whichever are fewer, so that neither a
+group of copies nor one repetitive document counts as many. A learned word is weaker
+evidence than a seed and has an arc of its own, so that one in a long clean text, where
+it may stand by chance, doesn't reject it.
 
 Null, empty and wordless texts score as a text without matches. The sample is bounded
 (``sample_rows``, in order of a hash of the id); with no labelled row, or rows of one
@@ -26,9 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylva.llm.common import fold, texts
+from sylva.session import materialize
 
 SAMPLE_ROWS = 20_000
 LEARNED_WORDS = 2_000
+CHANCE = -5.0  # log10 of the chance that a learned word may have come by
+PURE = 0.75  # share of a learned word's evidence that is toxic
 
 # fixed values: seed lexicon
 INSULTS = """idiot idiots moron morons loser losers stupid scum trash clown clowns pathetic worthless disgusting
@@ -44,13 +50,13 @@ NEGATIONS = "not no never isnt arent dont without nicht kein keine nie nunca jam
 REPORTS = """said says called calls wrote writes quoted quotes claimed claims reported told alleged
 dijo llamó escribió dit écrit appelé sagte schrieb nannte""".split()
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, END = 1, 2, 3, 4, 5, 6
+INSULT, THREAT, TARGET, NEGATION, REPORT, END, LEARNED = 1, 2, 3, 4, 5, 6, 7
 NEGATION_REACH = 3  # words that a negation reaches
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]+")
 BREAK = frozenset(".!?;\n")
-ARCS = ("insult", "targeted insult", "reported insult", "negated insult", "threat", "targeted threat", "reported or negated threat", "clauses with a match")
+ARCS = ("insult", "targeted insult", "reported insult", "negated insult", "threat", "targeted threat", "reported or negated threat", "clauses with a match", "learned insult")
 # intercept, a weight for log(1 + each arc), and one for a plain or targeted insult or targeted threat at all
-PRIOR = np.array([-4.0, 3.0, 3.5, 0.5, 0.5, 0.5, 2.0, 0.2, 0.5, 3.0])
+PRIOR = np.array([-4.0, 3.0, 3.5, 0.5, 0.5, 0.5, 2.0, 0.2, 0.5, 2.0, 3.0])
 
 
 def seed_lexicon() -> dict[str, int]:
@@ -61,7 +67,7 @@ def seed_lexicon() -> dict[str, int]:
 class Grammar:
     def __init__(self, lexicon: dict[str, int]):
         self.lexicon = lexicon
-        self.keys = frozenset(w for w, k in lexicon.items() if k in (INSULT, THREAT))
+        self.keys = frozenset(w for w, k in lexicon.items() if k in (INSULT, THREAT, LEARNED))
 
     def _classes(self, tokens: list[str]) -> Iterator[int]:
         get = self.lexicon.get
@@ -93,7 +99,7 @@ class Grammar:
                 held, target = [], False
             elif k == TARGET:
                 target = True
-            elif k in (INSULT, THREAT):
+            elif k in (INSULT, THREAT, LEARNED):
                 held.append((k, rep, neg))
 
     def arcs(self, text: str | None) -> list[int]:
@@ -107,7 +113,9 @@ class Grammar:
         for held, target in self._clauses(self._negated(self._reported(self._classes(tokens)))):
             n[7] += 1
             for k, rep, neg in held:
-                if k == INSULT:
+                if k == LEARNED and not (neg or rep):
+                    n[8] += 1
+                elif k != THREAT:
                     n[3 if neg else 2 if rep else 1 if target else 0] += 1
                 else:
                     n[6 if neg or rep else 5 if target else 4] += 1
@@ -149,19 +157,29 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> Dat
 
 def learned_insults(sample: DataFrame, most: int) -> list[str]:
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)
-    pair = F.explode(F.arrays_zip(F.slice("w", 2, 10**9).alias("w"), F.col("w").alias("p"))).alias("x")
-    seen = (sample.filter("text is not null").select("toxic", words.alias("w")).filter("size(w) > 1")
-            .select("toxic", pair).select("toxic", "x.w", "x.p").filter("w is not null")
-            .groupBy("w", "p").agg(F.max("toxic").alias("bad"), F.max(1 - F.col("toxic")).alias("good")))
-    odd = (seen.groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-           .filter("bad >= 12 and length(w) > 2 and good <= 0.02 * bad").orderBy(F.desc("bad"), "w").limit(most))
-    return [r["w"] for r in odd.collect()]
+    pair = F.explode(F.arrays_zip(F.col("w"), F.slice(F.concat(F.array(F.lit("")), F.col("w")), 1, F.size("w")).alias("p"))).alias("x")
+    said = (sample.filter("text is not null").select("toxic", F.xxhash64("text").alias("d"), words.alias("w"))
+            .select("toxic", "d", pair).select("toxic", "d", "x.w", "x.p").filter("length(w) > 2 and toxic in (0, 1)"))
+    seen = said.groupBy("w", "p", "d", "toxic").agg(F.lit(1).alias("n"))  # repeats collapse before anything is counted
+    by_context = seen.groupBy("w", "p").agg(F.max("toxic").alias("bad"), F.max(1 - F.col("toxic")).alias("good")).groupBy("w").agg(F.sum("bad").alias("cb"), F.sum("good").alias("cg"))
+    by_document = seen.groupBy("w", "d").agg(F.max("toxic").alias("bad"), F.max(1 - F.col("toxic")).alias("good")).groupBy("w").agg(F.sum("bad").alias("db"), F.sum("good").alias("dg"))
+    counts = by_context.join(by_document, "w").select("w", F.least("cb", "db").alias("bad"), F.least("cg", "dg").alias("good"))
+    counts = materialize(counts.filter("w is not null"), "toxic_words")
+    whole = counts.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
+    if not whole["bad"] or not whole["good"]:
+        return []
+    rate, n = whole["bad"] / (whole["bad"] + whole["good"]), F.col("bad") + F.col("good")
+    share = F.col("bad") / n
+    # Chernoff's bound of a binomial tail: n times the divergence of the share from the rate
+    chance = -n * (share * F.log10(share / rate) + F.when(share < 1, (1 - share) * F.log10((1 - share) / (1 - rate))).otherwise(0.0))
+    odd = counts.filter("bad > 0").filter((share >= PURE) & (chance <= CHANCE)).orderBy(chance, "w").limit(most)
+    return [r["w"] for r in odd.select("w", chance.alias("chance")).orderBy("chance", "w").collect()]
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[dict[str, int], np.ndarray]:
     """Lexicon and arc weights."""
     sample = training_sample(docs, labels, sample_rows)
-    lexicon = {w: INSULT for w in learned_insults(sample, LEARNED_WORDS)} | seed_lexicon()
+    lexicon = {w: LEARNED for w in learned_insults(sample, LEARNED_WORDS)} | seed_lexicon()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g = Grammar(lexicon)
