@@ -40,7 +40,7 @@ def shingles(text: Column) -> Column:
     def of(words: Column) -> Column:
         n = F.size(words)
         starts = F.sequence(F.lit(0), F.greatest(n - SHINGLE, F.lit(0)))
-        return F.when(n > 0, F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, SHINGLE), " ")))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(n > 0, F.transform(starts, lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(SHINGLE))))).otherwise(F.array().cast("array<bigint>"))
 
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     return F.element_at(F.transform(F.array(words), of), 1)  # the words are made once
@@ -51,7 +51,7 @@ def bands(hashes: Column) -> Column:
     def of(s: Column) -> Column:
         return F.filter(s, lambda x, i: (i == 0) | (F.shiftright(F.get(s, i - 1), BIN_SHIFT) != F.shiftright(x, BIN_SHIFT)))
 
-    return F.element_at(F.transform(F.array(F.array_sort(hashes)), of), 1)
+    return F.element_at(F.transform(F.array(F.sort_array(hashes)), of), 1)
 
 
 def licences(docs: DataFrame, templates: list[tuple[str, str]] | None = None, containment: float = 0.8) -> DataFrame:
