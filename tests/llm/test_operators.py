@@ -174,7 +174,7 @@ def test_toxicity_grammar_and_scores(spark):
 def test_learned_insults_need_independent_evidence(spark):
     rng = random.Random(3)
     fill = [f"{a}{b}ord" for a in "bdfgklmn" for b in "aeiou"]
-    rows = [(" ".join(rng.choices(fill, k=15) + rng.sample(["zork", "blarg", "quix"], 2) * (i % 2)), i % 2) for i in range(60)]
+    rows = [(" ".join(rng.choices(fill, k=15) + rng.sample(["zork", "blarg", "quix"], 2) * (i % 4 == 0)), int(i % 4 == 0)) for i in range(400)]
     rows += [("copied nastyword here", 1)] * 40 + [("lone " + "repeatword " * 40, 1), (None, 1), ("", 0)]
     sample = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, toxic int")
     assert sorted(toxicity.learned_insults(sample, 100)) == ["blarg", "quix", "zork"]
