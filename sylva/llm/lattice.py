@@ -6,11 +6,12 @@ Zipf weights by rank. These weights are the prior of re-estimations on the disti
 training tokens, by expected piece counts (forward-backward over each one's lattice). A token's probability is
 the marginal over all its segmentations, by a forward recursion; tokens of the training
 documents are pieces too, whole, with all the mass but what Good-Turing leaves to
-unseen tokens. A text's probability is the product over its tokens and the end. A base
-model (smoothed token counts) comes along.
+unseen tokens. One more arc, with a fixed share of the mass, leads through the text's own
+earlier tokens (their frequency so far). A text's probability is the product over its
+tokens and the end. A base model (smoothed token counts) comes along.
 
-How it runs: documents are dealt to blocks of input; each block's distinct tokens are
-counted once (map-side sums), the counts are summed over the corpus in a shuffle by token,
+How it runs: blocks of input are tokenised once, into numbers and each block's distinct
+tokens with their counts; the counts are summed over the corpus in a shuffle by token,
 every distinct token's lattice is scored once, and each block gets its own tokens back.
 No token's row list is ever gathered: a token has one row for each block.
 
@@ -22,24 +23,27 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylva.llm.common import fold
+from sylva.llm.common import fold, texts
 from sylva.llm.sentencepiece_codec import BYTE, MARK, NORMAL, UNIGRAM, USER, parse
 from sylva.session import materialize
 
 ALPHA = 0.1
 LONGEST = 16  # longest piece that the lattice uses, in characters
-BLOCK_TEXT = 8 << 20  # characters of a block of documents, about
+BLOCK_TEXT = 16 << 20  # characters of a block of documents, about
+OWN = 0.15  # share of a document's own earlier tokens
 PRIOR_WEIGHT = 1000.0  # pieces' worth of the vocabulary's own weights
 ROUNDS = 2
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
+_CODED = ["block", "doc_id", "held_out", "ids", "token", "id", "c"]
 _UPPER = {i: i + 32 for i in range(65, 91)}
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -181,25 +185,30 @@ def _blocks(texts: list[str | None]) -> Iterator[list[int]]:
         yield group
 
 
-def token_counts(docs: DataFrame) -> DataFrame:
-    """``token, c``: how often each distinct token of any document occurs in training documents (maybe 0)."""
+def coded(rows: DataFrame) -> DataFrame:
+    """Blocks of documents as numbers, tokenised once. A row for each document (``block, doc_id, held_out, ids``:
+    its tokens' numbers in the block, 32 bits each) and one for each distinct token of a block (``block, token, id,
+    c``: how often training documents hold it)."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = 0
         for b in batches:
-            for t, held in zip(b["text"], b["held_out"]):
-                if held:
-                    for w in tokens(t):
-                        seen[w] += 0
-                else:
-                    seen.update(tokens(t))
-                if len(seen) > 500_000:
-                    yield pd.DataFrame({"token": list(seen.keys()), "c": list(seen.values())})
-                    seen = Counter()
-        if seen:
-            yield pd.DataFrame({"token": list(seen.keys()), "c": list(seen.values())})
+            texts, held = b["text"].tolist(), b["held_out"].to_numpy(bool)
+            for g in _blocks(texts):
+                ids: defaultdict = defaultdict(count().__next__)
+                codes = [np.fromiter(map(ids.__getitem__, tokens(texts[i])), np.int32) for i in g]
+                trained = [x for i, x in zip(g, codes) if not held[i]]
+                c = np.bincount(np.concatenate(trained), minlength=len(ids)) if trained else np.zeros(len(ids), dtype=np.int64)
+                x = b.iloc[g]
+                block = x["part"].to_numpy() * (1 << 24) + number
+                yield pd.DataFrame({"block": block, "doc_id": x["doc_id"].to_numpy(), "held_out": held[g], "ids": [x.tobytes() for x in codes], "token": None, "id": None, "c": None}, columns=_CODED)
+                if ids:
+                    yield pd.DataFrame({"block": block[0], "doc_id": None, "held_out": None, "ids": None, "token": list(ids), "id": np.arange(len(ids), dtype=np.int32), "c": c}, columns=_CODED)
+                number += 1
 
-    return docs.mapInPandas(count, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    # a document's block is its input partition and a running number in it
+    parts = rows.withColumn("part", F.spark_partition_id().cast("long"))
+    return parts.mapInPandas(run, "block long, doc_id long, held_out boolean, ids binary, token string, id int, c long")
 
 
 def reestimated(counts: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
@@ -224,12 +233,28 @@ def reestimated(counts: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarra
     return p
 
 
+def _earlier(doc: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token: how many of its document come before it, and how many of these are the same token."""
+    n = np.arange(len(ids))
+    order = np.argsort((doc.astype(np.int64) << 32) | ids, kind="stable")
+    d, t = doc[order], ids[order]
+    new = np.ones(len(ids), dtype=bool)
+    new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1])
+    same = np.empty(len(ids), dtype=np.int64)
+    same[order] = n - np.maximum.accumulate(np.where(new, n, 0))
+    first = np.ones(len(ids), dtype=bool)
+    first[1:] = doc[1:] != doc[:-1]
+    return n - np.maximum.accumulate(np.where(first, n, 0)), same
+
+
 def likelihoods(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", fold("doc_id", 10) == 0)
-    counts = materialize(token_counts(rows.select("text", "held_out")), "lattice")
+    rows = texts(docs).withColumn("held_out", fold("doc_id", 10) == 0)
+    blocks = materialize(coded(rows), "lattice")
+    in_block = blocks.filter("token is not null")
+    counts = materialize(in_block.groupBy("token").agg(F.sum("c").alias("c")), "lattice")
     n, v, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.count(F.when(F.col("c") == 1, 1))).first()
-    ends = rows.filter(~F.col("held_out")).count()
+    ends = blocks.filter("token is null and not held_out").count()
     n, v = n + ends, v + (ends > 0)
     logp = np.log(reestimated(counts, path))
     unseen = (once + 1) / (n + 2)  # mass of the subword arcs
@@ -238,52 +263,40 @@ def likelihoods(docs: DataFrame, path: str) -> DataFrame:
         """log of whole-token arc plus subword segmentations."""
         return np.logaddexp(np.log(unseen) + lp, np.log(np.maximum((1 - unseen) * c / max(1, n), 1e-300)))
 
-    # blocks of documents: a row's block is its input partition and a running number in it
-    parts = rows.withColumn("part", F.spark_partition_id().cast("long"))
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = 0
-        for b in batches:
-            for g in _blocks(b["text"].tolist()):
-                x = b.iloc[g]
-                yield pd.DataFrame({"block": x["part"] * (1 << 24) + number, "doc_id": x["doc_id"], "held_out": x["held_out"], "text": x["text"]})
-                number += 1
-
-    blocks = materialize(parts.mapInPandas(cut, "block long, doc_id long, held_out boolean, text string"), "lattice")
-
-    def words(b: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in b:
-            for block, texts in x.groupby("block")["text"]:
-                seen = set()
-                for t in texts:
-                    seen.update(tokens(t))
-                yield pd.DataFrame({"block": block, "token": list(seen)}, columns=["block", "token"]).astype({"block": "int64"})
-
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice = Lattice(vocabulary(path), logp)
         for b in batches:
             yield b.assign(lp=marginal(b["c"].to_numpy(float), lattice.run(b["token"].tolist())[0]))
 
     priced = counts.mapInPandas(scored, "token string, c long, lp double")
-    used = blocks.select("block", "text").mapInPandas(words, "block long, token string").join(priced, "token").select("block", "token", "c", "lp")
+    used = in_block.select("block", "id", "token").join(priced, "token").select("block", "id", "c", "lp")
     per = n + ALPHA * (v + 1)
 
     def base(c):
         return np.log10((c + ALPHA) / per)
 
-    end_base, end_lp, end_known = float(base(ends)), float(marginal(float(ends), logp[-2])), int(ends > 0)
+    end_base, end_p, end_known = float(base(ends)), math.exp(marginal(float(ends), logp[-2])), int(ends > 0)
 
     def score(d: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
-        c = w["c"].to_numpy()
-        b, lp, known = base(c), w["lp"].to_numpy() / math.log(10), c > 0
-        at = dict(zip(w["token"], range(len(w))))
-        out = []
-        for doc_id, held, t in zip(d["doc_id"], d["held_out"], d["text"]):
-            i = np.array([at[x] for x in tokens(t)], dtype=np.int64)
-            out.append((doc_id, held, len(i) + 1, int(known[i].sum()) + end_known, float(b[i].sum()) + end_base, float(lp[i].sum()) + end_lp / math.log(10)))
-        x = pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-        return x.astype({"doc_id": "Int64"})
+        codes = [np.frombuffer(x, np.int32) for x in d["ids"]]
+        size = np.array([len(x) for x in codes], dtype=np.int64)
+        ids, doc = np.concatenate(codes), np.repeat(np.arange(len(codes)), size)
+        c, p = np.zeros(len(w), dtype=np.int64), np.zeros(len(w))
+        at = w["id"].to_numpy(np.int64)
+        c[at], p[at] = w["c"].to_numpy(), np.exp(w["lp"].to_numpy())
+        place, same = _earlier(doc, ids)
+        own = np.where(place > 0, OWN, 0.0)
+        lp = np.log10((1 - own) * p[ids] + own * same / np.maximum(1, place))
+
+        def total(x: np.ndarray) -> np.ndarray:
+            return np.bincount(doc, weights=x, minlength=len(codes))
+
+        return pd.DataFrame({
+            "doc_id": d["doc_id"].astype("Int64"), "held_out": d["held_out"].astype(bool), "n_tokens": size + 1,
+            "n_known": total(c[ids] > 0).astype(np.int64) + end_known, "base_score": total(base(c)[ids]) + end_base,
+            "score": total(lp) + np.log10(end_p * np.where(size > 0, 1 - OWN, 1.0))})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    joined = blocks.groupBy("block").cogroup(used.groupBy("block")).applyInPandas(score, schema)
+    in_docs = blocks.filter("token is null").select(F.col("block").alias("of"), "doc_id", "held_out", "ids")
+    joined = in_docs.groupBy("of").cogroup(used.groupBy("block")).applyInPandas(score, schema)
     return joined.withColumn("train_tokens", F.lit(int(n)).cast("long"))

@@ -215,6 +215,33 @@ def test_lattice_base_and_counts_equal_brute_force(spark):
         assert r["score"] <= 0 and r["held_out"] == (zlib.crc32(str(i).encode()) % 10 == 0)
 
 
+def test_lattice_score_equals_the_sum_over_arcs(spark):
+    import math
+    import zlib
+    from collections import Counter
+
+    texts = ["a b a b a c", "B", None, "the cat. the cat", "a a zzq"] * 8
+    path = vocabulary("piece_bpe_32k.model")
+    got = by_id(lattice.likelihoods(docs(spark, texts), path))
+    words = [lattice.tokens(t) for t in texts]
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
+    c = Counter(w for ws, h in zip(words, held) if not h for w in ws)
+    ends = held.count(False)
+    n, once = sum(c.values()) + ends, sum(x == 1 for x in c.values())
+    table = spark.createDataFrame(list(c.items()), "token string, c long")
+    logp = np.log(lattice.reestimated(table, path))
+    of = dict(zip(c | Counter(sum(words, [])), lattice.Lattice(lattice.vocabulary(path), logp).run(list(c | Counter(sum(words, []))))[0]))
+    u = (once + 1) / (n + 2)
+    for i, ws in enumerate(words):
+        want, seen = 0.0, Counter()
+        for k, w in enumerate(ws):
+            p = u * math.exp(of[w]) + (1 - u) * c[w] / n
+            want += math.log10((1 - lattice.OWN) * p + lattice.OWN * seen[w] / k if k else p)
+            seen[w] += 1
+        want += math.log10((u * math.exp(logp[-2]) + (1 - u) * ends / n) * (1 - lattice.OWN if ws else 1))
+        assert got[i]["score"] == pytest.approx(want, rel=1e-9)
+
+
 def test_licences_found_in_long_and_short_texts(spark):
     notice = "Licensed under the Apache License, Version 2.0."
     texts = [None, "", notice, "x y z w " * 300 + notice + " q r s" * 200, "apache license version two", "RELEASED under the MIT license"]
