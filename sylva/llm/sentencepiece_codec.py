@@ -30,7 +30,8 @@ from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalize
 
 MARK = "▁"
 WORDS = re.compile(" +[^ ]+| +$").findall
-KNOWN_WORDS = 200_000  # words remembered by a Python worker; only the memory's bound
+KNOWN_WORDS = 400_000  # words remembered by a Python worker; only the memory's bound
+LINE_WORDS = 32  # words encoded by one call
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, _, BYTE = range(1, 7)
 
@@ -90,7 +91,9 @@ class Codec:
     def __init__(self, path: str):
         self.fast, self.slow = rebuild(path), sentencepiece.SentencePieceProcessor(model_file=path)
         self.by_word = self.fast.pre_tokenizer is not None
-        self.known: dict[str, tuple[bytes, bool, bool]] = {}
+        self.starts = np.array([self.fast.id_to_token(i).startswith(MARK) for i in range(self.fast.get_vocab_size())])
+        self.known: dict[str, bytes] = {}
+        self.differ, self.lossy = set(), set()  # known words without parity, or not given back by decoding
         # a last lone blank: the normaliser puts no marker before an empty text, so it can't come from whole()
         mark = self.fast.model.tokenize(MARK)
         self.blank = (np.array([t.id for t in mark], "<i4").tobytes(), True, True)
@@ -106,16 +109,37 @@ class Codec:
             return self.whole(texts)
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
+            self.differ.clear()
+            self.lossy.clear()
         cut = [WORDS(" " + t) if t else [] for t in texts]  # the marker put first, as by the normaliser
-        self.known[" "] = self.blank
-        fresh = sorted({w for words in cut for w in words} - self.known.keys())
-        if fresh:
-            self.known.update(zip(fresh, self.whole([w[1:] for w in fresh])))
-        get, out = self.known.__getitem__, []
-        for words in cut:
-            parts = list(map(get, words))
-            out.append((b"".join([p[0] for p in parts]), all([p[1] for p in parts]), all([p[2] for p in parts])))
-        return out
+        self._learn(sorted(set().union(*cut) - self.known.keys()))
+        get = self.known.__getitem__
+        return [(b"".join(map(get, words)), self.differ.isdisjoint(words), self.lossy.isdisjoint(words)) for words in cut]
+
+    def _learn(self, words: list[str]) -> None:
+        """Many words as one line, cut where a piece starts with the marker; the words of a line with another number
+        of cuts, without parity or not given back by decoding are encoded one by one."""
+        alone = [w for w in words if w.startswith("  ") or w == " "]
+        plain = [w for w in words if not (w.startswith("  ") or w == " ")]
+        lines = [plain[k : k + LINE_WORDS] for k in range(0, len(plain), LINE_WORDS)]
+        said = ["".join(line)[1:] for line in lines]
+        ids = [e.ids for e in self.fast.encode_batch_fast(said, add_special_tokens=False)]
+        for line, text, x, y, back in zip(lines, said, ids, self.slow.encode(said, num_threads=1), self.decode(ids)):
+            codes = np.array(x, "<i4")
+            cuts = np.flatnonzero(self.starts[codes])
+            if x == y and back == text and len(cuts) == len(line):
+                data, at = codes.tobytes(), [*(4 * cuts).tolist(), 4 * len(codes)]
+                self.known.update((w, data[i:j]) for w, i, j in zip(line, at, at[1:]))
+            else:
+                alone += line
+        for w, (x, same, back) in zip(alone, self.whole([w[1:] for w in alone])):
+            if w == " ":
+                x, same, back = self.blank
+            self.known[w] = x
+            if not same:
+                self.differ.add(w)
+            if not back:
+                self.lossy.add(w)
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.fast.decode_batch(ids, skip_special_tokens=False)

@@ -181,6 +181,20 @@ def test_learned_insults_need_independent_evidence(spark):
     assert toxicity.learned_insults(sample.filter("toxic = 1"), 100) == [] == toxicity.learned_insults(sample.limit(0), 100)
 
 
+def test_codec_lines_equal_single_words():
+    """Words that change in normalising, or start with a mark that it splits off, among many plain ones."""
+    import sentencepiece
+
+    path = vocabulary("piece_bpe_32k.model")
+    c, slow = sentencepiece_codec.Codec(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    odd = ["ﬀ", "¨x", "é", "́a", "①", "\u2581b", "a\u2581b", "日本語", "👍🏽", "x\ty", "\u3000z", "half\u00a0space", ""]
+    texts = [" ".join(["plain"] * k + [w, f"word{k}", w + "tail"]) + " " * (k % 3) for k, w in enumerate(odd * 3)]
+    for text, (ids, parity, back) in zip(texts, c.encode(texts)):
+        whole = c.whole([text])[0]
+        assert (ids, back) == (whole[0], whole[2])
+        assert parity == (np.frombuffer(ids, "<i4").tolist() == slow.encode(text))
+
+
 def test_lattice_equals_the_sum_over_segmentations():
     v = lattice.vocabulary(vocabulary("piece_bpe_32k.model"))
     logp = np.log(v.prior)
