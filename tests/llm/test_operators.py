@@ -265,6 +265,59 @@ def test_licences_found_in_long_and_short_texts(spark):
     assert got == {(2, "Apache-2.0"), (3, "Apache-2.0"), (5, "MIT"), *((i, "Apache-2.0") for i in range(6, len(texts)))}
 
 
+def brute_licences(text, templates, least=0.8):
+    """Whole texts only: distinct shingles of the template anywhere in the text (no notice among the templates)."""
+    def of(t):
+        w = re.findall(r"[^\W_]+", t.lower())
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    have = of(text)
+    share = {name: len(of(t) & have) / len(of(t)) for name, t in templates}
+    return {name: x for name, x in share.items() if x >= least}
+
+
+def test_licence_templates_of_any_length(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(3000)]
+    templates = [(f"L{n}", " ".join(rng.choices(words, k=n))) for n in (22, 40, 150, 2000)]
+    texts = []
+    for _, t in templates:
+        for pad in (0, 3, 17, 200):
+            w = t.split()
+            for at in rng.sample(range(len(w)), len(w) // 60):
+                w[at] = "changed"
+            texts.append(" ".join(rng.choices(words, k=pad) + w + rng.choices(words, k=50)))
+        texts.append(" ".join(t.split()[: len(t.split()) // 2]))
+    want = {(i, name): x for i, t in enumerate(texts) for name, x in brute_licences(t, templates).items()}
+    assert len(want) == 16
+    for given in (templates, spark.createDataFrame(templates, "licence string, text string")):
+        got = {(r["doc_id"], r["licence"]): r["containment"] for r in licenses.licences(docs(spark, texts), given).collect()}
+        assert got == pytest.approx(want)
+    hidden = [" ".join(rng.choices(words, k=9)) + " do as you like " + " ".join(rng.choices(words, k=9)), "do as you", None]
+    short = licenses.licences(docs(spark, hidden), [("WTF", "Do as you like"), ("X", ""), ("Y", None)])
+    assert [(r["doc_id"], r["licence"]) for r in short.collect()] == [(0, "WTF")]
+
+
+def test_further_licences_bodies_and_versions(spark):
+    bodies = dict(licenses.whole_texts())
+    cases = [
+        ("This work is licensed under the GNU General Public License, version 2.", {"GPL-2.0"}),
+        ("This work is licensed under the GNU General Public License, version 3.", {"GPL-3.0"}),
+        ("it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation;", {"LGPL"}),
+        ("under the terms of the GNU Affero General Public License as published by the Free Software Foundation", {"AGPL"}),
+        ("Text licensed under CC BY-SA 4.0. See", {"CC-BY-SA-4.0"}),
+        ("a Creative Commons Attribution 4.0 International License", {"CC-BY-4.0"}),
+        ("// SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note OR BSD-3-Clause) */\nint x;", {"GPL-2.0-only", "BSD-3-Clause"}),
+        ("# spdx-license-identifier: MIT\nOR so", {"MIT"}),
+        ("a " * 40 + bodies["Apache-2.0"].split("TERMS AND CONDITIONS", 1)[1].replace("\n", "\n# "), {"Apache-2.0"}),
+        ("b " * 7 + bodies["ISC"].split("hereby granted", 1)[1], {"ISC"}),
+        (bodies["GPL-3.0"][3000:12000], set()),
+    ]
+    got = {(r["doc_id"], r["licence"]) for r in licenses.licences(docs(spark, [t for t, _ in cases])).collect()}
+    for i, (_, want) in enumerate(cases):
+        assert {x for d, x in got if d == i} == want, i
+
+
 def test_neighbours_recall_and_order(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((3000, 16))
