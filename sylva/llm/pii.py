@@ -19,6 +19,29 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
 
+# fixed values: an IBAN's length by country (ISO 13616 registry, and countries that use IBANs without an entry)
+IBAN_LENGTH = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """The countries of a length take as many characters, in groups of four with or without blanks. Other letters
+    take all groups that follow, up to a known country's number."""
+    def of(length: int, countries: str) -> str:
+        whole, rest = divmod(length - 4, 4)
+        return f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{whole}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+    known = "|".join(IBAN_LENGTH.values()).replace(" ", "|")
+    other = rf"(?!{known})[A-Z]{{2}}[0-9]{{2}}(?:(?! (?:{known})[0-9]{{2}}) ?[A-Z0-9]{{4}}){{2,7}}+(?:(?! (?:{known})[0-9]{{2}}) ?[A-Z0-9]{{1,3}}+)?+"
+    forms = "|".join([*(of(n, c) for n, c in IBAN_LENGTH.items()), other])
+    return f"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{forms})(?![A-Za-z0-9])"
+
+
 # fixed values: the plain expressions of the base kinds
 SPEC = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -32,7 +55,7 @@ PATTERN = {
     # a whole run of 14 to 19 digits: other runs would be matched and dropped
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3}+)?+(?![A-Za-z0-9])",
+    "iban": _iban(),
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: Text without this character has no span of the kind.

@@ -374,3 +374,18 @@ def test_added_kinds_context_and_redaction(spark):
     assert [got[i]["n_iban"] for i in (0, 1)] == [1, 0] and [got[i]["n_ssn"] for i in (2, 3)] == [1, 0]
     clean = by_id(pii.redact(docs(spark, texts)))
     assert clean[4]["text"] == "é mail [EMAIL] now" and clean[4]["n_chars"] == 18 and clean[5]["text"] is None
+
+
+def test_an_iban_ends_where_its_country_says(spark):
+    spaced = "ES91 2100 0418 4502 0005 1332"
+    ibans = [spaced, spaced.replace(" ", ""), "AT61 1904 3002 3457 3201", "PL61 1090 1014 0000 0712 1981 2874", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "BE68 5390 0754 7034", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "DZ58 0002 1000 0111 3000 0005 70"]
+    after = ["", ".", " BIC CAIXESBB", " EUR 50", " CODE x", " X", " 12", " 1234 5678", " DE89 3704 0044 0532 0130 00"]
+    assert all(int("".join(str(int(c, 36)) for c in (i[4:] + i[:4]).replace(" ", ""))) % 97 == 1 for i in ibans)
+    texts = [f"a {i}{x}" for i in ibans for x in after] + [i + "7" for i in ibans] + ["x" + i for i in ibans]
+    got = by_id(pii.pii_digest(docs(spark, texts)))
+    clean = by_id(pii.redact(docs(spark, texts)))
+    n = len(ibans) * len(after)
+    for k in range(n):
+        two = k % len(after) == len(after) - 1
+        assert (got[k]["n_iban"], clean[k]["text"]) == (1 + two, "a [IBAN]" + (" [IBAN]" if two else after[k % len(after)])), texts[k]
+    assert [got[k]["n_iban"] for k in range(n, len(texts))] == [0] * (2 * len(ibans))
