@@ -1,7 +1,9 @@
 """Operator 3: benchmark decontamination by the q-gram lemma.
 
 Texts and benchmark items are normalised (lower case, ASCII punctuation to blanks, runs
-of blanks to one) and compared as UTF-8 bytes. An item is cut into overlapping pieces. A
+of blanks to one) and compared as UTF-8 bytes. An item's pieces are its runs of PIECE bytes
+from every byte on (a shorter item is one piece), so a quote of PIECE bytes or more is
+found wherever it starts, with at most EDIT_SHARE edits in its best PIECE bytes. A
 region of a text within k edits of a piece of length m shares at least m + 1 - q(k + 1) of
 its q-grams, all on diagonals within k of the region's own. Shared q-grams are counted in
 overlapping diagonal bands (of 2(2k + 1) diagonals, each second half shared), bands that
@@ -14,7 +16,6 @@ stated query set: they go against all rows in blocks of at most ``block_bytes``.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from sylva.llm.common import texts
 
 Q = 12
-PIECE, STRIDE = 96, 48
+PIECE = 96  # the least quote that is found, in bytes of normal text
 EDIT_SHARE = 0.05
 BLOCK_BYTES = 16 << 20
 BITMAP_BITS = 22
@@ -48,53 +49,51 @@ def grams(data: bytes) -> np.ndarray:
         return h ^ (h >> np.uint64(29))
 
 
-def within(piece: bytes, region: bytes, k: int, width: int) -> tuple[int, int] | None:
-    """(edits, end) of the best place for ``piece`` inside ``region``, if at most k edits:
-    the start in the region is free within ``width``, as is the end; cells off the band are skipped."""
-    m, n = len(piece), len(region)
-    big = k + 1
-    row = [0] * (min(n, width) + 1)  # diagonals 0..width: column = line + diagonal
-    wide = width + 1
-    row += [big] * (wide - len(row))
-    for i in range(1, m + 1):
-        c, new = piece[i - 1], [big] * wide
-        for d in range(wide):
-            j = i + d
-            if j > n:
-                best = row[d + 1] + 1 if d + 1 < wide else big
-            else:
-                best = row[d] + (region[j - 1] != c)
-                if d + 1 < wide and row[d + 1] + 1 < best:
-                    best = row[d + 1] + 1
-                if d and new[d - 1] + 1 < best:
-                    best = new[d - 1] + 1
-            new[d] = best if best < big else big
+def within(pieces: np.ndarray, regions: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(edits, end in the region) of the best place of each line of ``pieces`` in its line of ``regions``,
+    k + 1 for more than k edits: start and end in the region are free, cells off the band are skipped."""
+    n, m = pieces.shape
+    wide, big = regions.shape[1] - m + 1, k + 1
+    alive, row = np.arange(n), np.zeros((wide, n), np.int16)
+    edits, end = np.full(n, big), np.zeros(n, np.int64)
+    for i in range(m):
+        differs = regions[:, i : i + wide] != pieces[:, i : i + 1]
+        new = row + differs.T
+        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
+        for d in range(1, wide):
+            np.minimum(new[d], new[d - 1] + 1, out=new[d])
         row = new
-        if min(row) >= big:
-            return None
-    d = min(range(wide), key=row.__getitem__)
-    return (row[d], min(n, m + d)) if row[d] <= k else None
+        if i % 8 == 7:
+            stay = row.min(0) < big
+            if not stay.all():
+                alive, row, pieces, regions = alive[stay], row[:, stay], pieces[stay], regions[stay]
+                if not len(alive):
+                    return edits, end
+    best = row.argmin(0)
+    edits[alive] = np.minimum(row[best, np.arange(len(alive))], big)
+    end[alive] = best + m
+    return edits, end
 
 
 class Index:
-    """q-grams of a block of benchmark items."""
+    """q-grams of a block of benchmark items; each item's pieces start at every byte."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
-        self.pieces: list[tuple[int, bytes, int, int]] = []  # item, bytes, k, bound
+        self.items: list[tuple[int, bytes, int, int, int]] = []  # item, bytes, piece length, k, bound
         keys, owner, offset = [], [], []
         for item, text in items:
             data = normal(text)
             m = min(len(data), PIECE)
-            starts = sorted({*range(0, max(1, len(data) - m + 1), STRIDE), len(data) - m}) if m >= Q else []
-            for s in starts:
-                k = int(EDIT_SHARE * m)
-                while m + 1 - Q * (k + 1) < 1:
-                    k -= 1
-                g = grams(data[s : s + m])
-                keys.append(g)
-                owner.append(np.full(len(g), len(self.pieces)))
-                offset.append(np.arange(len(g)))
-                self.pieces.append((item, data[s : s + m], k, m + 1 - Q * (k + 1)))
+            if m < Q:
+                continue
+            k = int(EDIT_SHARE * m)
+            while m + 1 - Q * (k + 1) < 1:
+                k -= 1
+            g = grams(data)
+            keys.append(g)
+            owner.append(np.full(len(g), len(self.items)))
+            offset.append(np.arange(len(g)))
+            self.items.append((item, data, m, k, m + 1 - Q * (k + 1)))
         key = np.concatenate([*keys, np.empty(0, np.uint64)])
         order = np.argsort(key, kind="stable")
         self.key = key[order]
@@ -102,7 +101,50 @@ class Index:
         self.offset = np.concatenate([*offset, np.empty(0, int)]).astype(np.int64)[order]
         self.seen = np.zeros(1 << BITMAP_BITS, dtype=bool)
         self.seen[(self.key >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)] = True
-        self.least = min((p[3] for p in self.pieces), default=1)
+        self.bounds = np.array([x[4] for x in self.items], np.int64)
+        self.least = int(self.bounds.min(initial=1 << 30))
+
+    @staticmethod
+    def _exact(data: bytes, body: bytes, m: int, off: np.ndarray, pos: np.ndarray) -> tuple | None:
+        """The first place of a whole piece without edits: a run of q-grams on one diagonal."""
+        order = np.lexsort((off, pos - off))
+        o, p = off[order], pos[order]
+        edge = np.flatnonzero((np.diff(p - o) != 0) | (np.diff(o) != 1)) + 1
+        first, last = np.concatenate([[0], edge]), np.concatenate([edge, [len(o)]])
+        for i in sorted(first[last - first > m - Q], key=p.__getitem__):
+            if data[p[i] : p[i] + m] == body[o[i] : o[i] + m]:
+                return 0, int(p[i]), int(p[i]) + m
+        return None
+
+    @staticmethod
+    def _edited(data: bytes, body: bytes, m: int, k: int, bound: int, off: np.ndarray, pos: np.ndarray) -> tuple | None:
+        """The best region within k edits of a piece, over all bands and all starts of a piece that reach the bound."""
+        half, best = 2 * k + 1, None
+        band = (pos - off) // half
+        both = np.unique(np.stack([np.concatenate([band, band - 1]), np.concatenate([off, off])]), axis=1)  # each band spans two halves, a q-gram counts once
+        number, at, votes = np.unique(both[0], return_index=True, return_counts=True)
+        width = 2 * half + 2 * k
+        pad = np.full(m + width + k, 256, np.int16)  # no byte
+        text = item = None
+        for b, a, n in zip(number, at, votes):
+            if n < bound:
+                continue
+            o = both[1, a : a + n]
+            s = np.arange(max(0, o[0] - (m - Q)), min(len(body) - m, o[-1]) + 1)
+            s = s[np.searchsorted(o, s + (m - Q), side="right") - np.searchsorted(o, s) >= bound]
+            if text is None:
+                text = np.concatenate([pad, np.frombuffer(data, np.uint8).astype(np.int16), pad])
+                item = np.frombuffer(body, np.uint8).astype(np.int16)
+            for c in range(0, len(s), 4096):
+                start = s[c : c + 4096]
+                low = start + int(b) * half - k  # the region's first byte
+                regions = text[np.clip(low[:, None] + len(pad) + np.arange(m + width), 0, len(text) - 1)]
+                edits, end = within(item[start[:, None] + np.arange(m)], regions, k)
+                i = np.lexsort((low, edits))[0]
+                hit = int(edits[i]), max(0, int(low[i])), min(len(data), int(low[i] + end[i]))
+                if hit[0] <= k and (best is None or hit < best):
+                    best = hit
+        return best
 
     def find(self, text: str | None) -> list[tuple[int, int, int, int, int]]:
         """(item, start, end, edits, piece bytes), the best region of each item; places in bytes of the normal text."""
@@ -117,31 +159,19 @@ class Index:
         if len(at) < self.least:
             return []
         post = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        piece, off, pos = self.owner[post], self.offset[post], np.repeat(at, n)
-        many = np.bincount(piece, minlength=len(self.pieces))
-        found: dict[int, tuple] = {}
-        by_item = defaultdict(list)
-        for p in np.flatnonzero(many >= [x[3] for x in self.pieces]):
-            by_item[self.pieces[p][0]].append(p)
-        for item, pieces in by_item.items():
-            for p in pieces:
-                _, body, k, bound = self.pieces[p]
-                mine = piece == p
-                diag, o = pos[mine] - off[mine] + len(body), off[mine]
-                half = 2 * k + 1
-                band = np.concatenate([diag // half, diag // half - 1])  # each band spans two halves
-                both = np.unique(np.stack([band, np.concatenate([o, o])]), axis=1)[0]  # a piece's q-gram counts once
-                number, votes = np.unique(both, return_counts=True)
-                for b in number[votes >= bound]:
-                    first = int(b) * half - len(body)  # the band's lowest diagonal
-                    s = max(0, first - k)
-                    width = first + 2 * half + k - s
-                    hit = within(body, data[s : s + len(body) + width + k], k, width) if width >= 0 else None
-                    if hit and (item not in found or (hit[0] / len(body), s) < found[item][0]):
-                        found[item] = ((hit[0] / len(body), s), s, s + hit[1], hit[0], len(body))
-                if item in found and found[item][3] == 0:
-                    break
-        return [(item, *x[1:]) for item, x in sorted(found.items())]
+        owner, off, pos = self.owner[post], self.offset[post], np.repeat(at, n)
+        many = np.bincount(owner, minlength=len(self.items))
+        found = []
+        for p in np.flatnonzero(many >= self.bounds):
+            item, body, m, k, bound = self.items[p]
+            mine = owner == p
+            hit = self._exact(data, body, m, off[mine], pos[mine]) or self._edited(data, body, m, k, bound, off[mine], pos[mine])
+            if hit:
+                found.append((hit[0] / m, hit[1], item, hit[2], hit[0], m))
+        best: dict[int, tuple] = {}
+        for x in sorted(found):  # rows of one item id: the best of them
+            best.setdefault(x[2], (x[2], x[1], x[3], x[4], x[5]))
+        return [best[i] for i in sorted(best)]
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str | None]]]:

@@ -68,6 +68,25 @@ def test_decontamination_finds_edited_passages_and_leaves_others(spark):
     assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(docs(spark, texts), bench).collect()) == [0, 1, 4]
 
 
+def test_decontamination_finds_quotes_at_every_offset():
+    rng = random.Random(12)
+    item = " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8))) for _ in range(60))
+    index = decontaminate.Index([(7, item)])
+    n = decontaminate.PIECE
+    for at in range(len(item) - n + 1):
+        if " " in (item[at], item[at + n - 1]):
+            continue  # a blank at an end goes in normalising
+        quote = item[at : at + n]
+        (got,) = index.find(f"0123 {quote} 4567")
+        assert got[0] == 7 and got[1] in (4, 5) and got[2] == got[1] + n and got[3:] == (0, n), at  # 4: with the blank before
+        assert not index.find(f"0123 {quote[:60]} 4567")
+        if at % 10 == 0:
+            edited = quote[:20] + "9" + quote[21:47] + quote[48:70] + "99" + quote[70:]  # one changed, one lost, two new
+            hit = index.find(f"0123 {edited} 4567")
+            assert len(hit) == 1 and 0 < hit[0][3] <= 4, at
+    assert not index.find(" ".join(w[::-1] for w in item.split()))
+
+
 def brute_fingerprint(text, k=3):
     w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
     s = [b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))] if w else []
