@@ -3,7 +3,7 @@
 Several random projections of the unit vectors, each shifted, are ordered along a Hilbert
 curve. Spark range-partitions each ordering; a row's rank along a curve gives its block,
 and a query goes to the blocks within ``window`` rows of its own rank. Blocks score their
-queries exactly (inner product of the original vectors, double precision), keep the best
+queries, a chunk of ranks at a time, exactly (inner product of the original vectors, double precision), keep the best
 k, and the lists of all blocks and curves are merged.
 
 The window is fitted, not fixed: a bounded sample of queries is answered exactly, and the
@@ -30,6 +30,7 @@ from sylva.session import materialize
 CURVES = 4
 DIMS, BITS = 8, 7  # of a curve's key: 56 bits
 BLOCK = 2048  # rows of a block
+CHUNK = 40_960  # ranks whose queries meet a block in one group
 SAMPLE = 256  # queries answered exactly to fit the window
 TARGET = 0.95  # share of their neighbours that the window must hold
 
@@ -165,19 +166,28 @@ def fitted_window(ranked: DataFrame, queries: DataFrame, n: int, k: int, target:
     return int(np.ceil(np.quantile(nearest, target, method="higher"))) + 1
 
 
-def search(rows: DataFrame, k: int = 20, every: int = 20, curves: int = CURVES, block: int = BLOCK, target: float = TARGET, sample: int = SAMPLE) -> DataFrame:
+def deal(ranked: DataFrame, queries: DataFrame, window: int, n: int, block: int, chunk: int) -> DataFrame:
+    """``curve, block, chunk, rank, vec_id, v, asks``: a group for each block and each chunk of ranks that holds queries
+    within ``window``, so that no group has more than ``block`` rows and ``chunk`` queries whatever the window."""
+    def span(low, high, size: int):
+        return F.explode(F.sequence(F.floor(F.greatest(low, F.lit(0)) / size).cast("long"), F.floor(F.least(high, F.lit(n - 1)) / size).cast("long")))
+
+    rank = F.col("rank")
+    asked = queries.withColumn("block", span(rank - window, rank + window, block)).withColumn("chunk", F.floor(rank / chunk).cast("long"))
+    held = ranked.withColumn("block", F.floor(rank / block).cast("long"))
+    held = held.withColumn("chunk", span(F.col("block") * block - window, (F.col("block") + 1) * block - 1 + window, chunk))
+    cols = ["curve", "block", "chunk", "rank", "vec_id", "v"]
+    return held.select(*cols, F.lit(False).alias("asks")).unionAll(asked.select(*cols, F.lit(True).alias("asks")))
+
+
+def search(rows: DataFrame, k: int = 20, every: int = 20, curves: int = CURVES, block: int = BLOCK, target: float = TARGET, sample: int = SAMPLE, chunk: int = CHUNK) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row whose id ``every`` divides, its k nearest found among all others."""
     points = usable(rows)
     ranked = materialize(_ranked(points, curves), "hilbert")
     n = ranked.filter("curve = 0").count()
     queries = ranked.filter(F.col("vec_id") % every == 0)
     window = fitted_window(ranked, queries.filter("curve = 0"), n, k, target, sample)
-    last = max(0, (n - 1) // block)
-    asked = queries.withColumn("block", F.explode(F.sequence(
-        F.floor(F.greatest(F.col("rank") - window, F.lit(0)) / block).cast("long"),
-        F.floor(F.least(F.col("rank") + window, F.lit(last * block)) / block).cast("long"))))
-    asked = asked.select("curve", "block", "rank", "vec_id", "v", F.lit(True).alias("asks"))
-    held = ranked.select("curve", F.floor(F.col("rank") / block).cast("long").alias("block"), "rank", "vec_id", "v", F.lit(False).alias("asks"))
+    dealt = deal(ranked, queries, window, n, block, chunk)
     kept = "query_id long, vec_id long, score double"
 
     def answer(b: pd.DataFrame) -> pd.DataFrame:
@@ -196,7 +206,7 @@ def search(rows: DataFrame, k: int = 20, every: int = 20, curves: int = CURVES,
                     out.append(pd.DataFrame({"query_id": qid[i], "vec_id": xid[at], "score": scores[i][at]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    found = held.unionAll(asked).groupBy("curve", "block").applyInPandas(answer, kept)
+    found = dealt.groupBy("curve", "block", "chunk").applyInPandas(answer, kept)
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # an id found by several curves counts once; scores of one pair differ in the last bits at most

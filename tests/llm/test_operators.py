@@ -357,6 +357,23 @@ def test_neighbours_recall_and_order(spark):
     assert sorted((r["query_id"], r["vec_id"]) for r in few) == [(0, 1), (0, 2)]
 
 
+def test_neighbour_groups_are_bounded_whatever_the_window(spark):
+    from pyspark.sql import functions as F
+
+    n, block, chunk = 1000, 64, 50
+    ranked = spark.range(n).select(F.lit(0).alias("curve"), F.col("id").alias("rank"), F.col("id").alias("vec_id"), F.array(F.lit(1.0)).alias("v"))
+    for window in (1, 70, n):
+        rows = hilbert_ann.deal(ranked, ranked.filter("vec_id % 3 = 0"), window, n, block, chunk).toPandas()
+        pairs = set()
+        for _, g in rows.groupby(["curve", "block", "chunk"]):
+            held, asks = g[~g["asks"]]["rank"], g[g["asks"]]["rank"]
+            assert len(held) <= block and len(asks) <= chunk
+            near = [(q, x) for q in asks for x in held if abs(q - x) <= window]
+            assert pairs.isdisjoint(near)
+            pairs.update(near)
+        assert len(pairs) == sum(min(n - 1, q + window) - max(0, q - window) + 1 for q in range(0, n, 3))
+
+
 def test_hilbert_curve_visits_neighbouring_cells():
     cells = np.array(np.meshgrid(*[np.arange(8)] * 3)).reshape(3, -1).T
     keys = hilbert_ann.hilbert_keys(cells, 3)
