@@ -152,7 +152,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> Dat
     known = (labels.filter("toxic is not null and doc_id is not null").filter(fold("doc_id", 3) != 1)
              .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # the documented bound of a broadcast
-    return texts(docs).join(F.broadcast(picked), "doc_id")
+    return texts(docs).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
 def learned_insults(sample: DataFrame, most: int) -> list[str]:

@@ -190,6 +190,15 @@ def test_toxicity_grammar_and_scores(spark):
     assert [bare[i]["predicted"] for i in range(200)] == y
 
 
+def test_training_sample_has_a_row_for_each_id(spark):
+    table = spark.createDataFrame([(1, "b"), (1, "c"), (1, None)] * 50 + [(2, "a"), (4, None), (5, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (4, 1)], "doc_id long, toxic int")
+    got = {tuple(r) for r in toxicity.training_sample(table, labels, 100).collect()}
+    fold = {r[0] for r in labels.filter(toxicity.fold("doc_id", 3) != 1).collect()}
+    want = {x for x in [(1, "c", 1), (2, "a", 0), (4, None, 1)] if x[0] in fold}
+    assert 1 in fold and got == want and toxicity.training_sample(table, labels, 100).count() == len(want)
+
+
 def test_learned_insults_need_independent_evidence(spark):
     rng = random.Random(3)
     fill = [f"{a}{b}ord" for a in "bdfgklmn" for b in "aeiou"]
