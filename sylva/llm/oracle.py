@@ -11,7 +11,7 @@ ORACLE_SQL: dict[str, str] = {
     "op13_quality_rules": f"""WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, COALESCE(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '{WORD}') AS words,
-             list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '{WORD}')) AS lines FROM d),
+             [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '{WORD}')] AS lines FROM d),
 wins AS (
   SELECT rid, i, words[i:i+4] AS win FROM (SELECT rid, words, unnest(generate_series(1, len(words) - 4)) AS i FROM w)),
 twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS c FROM wins) WHERE c > 1),
@@ -22,7 +22,7 @@ m AS (
     CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
     CAST(COALESCE(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines,
-    CAST(COALESCE(list_max(list_transform(words, x -> length(x))), 0) AS BIGINT) AS longest_word
+    CAST(COALESCE(list_max([length(x) FOR x IN words]), 0) AS BIGINT) AS longest_word
   FROM w LEFT JOIN rep USING (rid)),
 bits AS (
   SELECT *, CAST((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT
