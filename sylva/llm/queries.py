@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.llm import conversations, decontaminate, hilbert_ann, langid, lattice, licenses, pii, quality, sentencepiece_codec, simhash, tokencount, toxicity
+from sylva.llm import alignment, conversations, decontaminate, hilbert_ann, langid, lattice, licenses, pii, quality, sentencepiece_codec, simhash, tokencount, toxicity
 from sylva.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_digest(table(spark, sf_dir, "conversations"))
 
@@ -67,4 +71,4 @@ def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_decontamination, op4_simhash, op5_language, op6_toxicity, op7_lattice_scores, op8_licences, op9_hilbert_neighbours, op10_pii,
-                                  op12_conversation_repair, op13_quality_rules)}
+                                  op11_token_alignment, op12_conversation_repair, op13_quality_rules)}
