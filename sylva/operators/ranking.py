@@ -1,4 +1,4 @@
-"""Row numbers and running sums inside groups that may be very large.
+"""Row numbers inside groups that may be very large.
 
 ``row_number() OVER (PARTITION BY g ORDER BY o)`` sends a whole group to one
 task. When one group may hold a third of all rows (all empty files, say) that
@@ -9,6 +9,9 @@ gives the offset of each partition's piece of the group. The sorted, numbered
 rows are written once below ``spark.checkpoint.dir`` and read back, so
 partition ids and positions stay fixed if an executor is lost and a stage
 is recomputed.
+
+There is one way for groups of every size. Its offsets are a window over the
+pieces of a group, which are at most as many as there are partitions.
 """
 
 from __future__ import annotations
@@ -18,67 +21,21 @@ from pyspark.sql import functions as F
 
 from sylva.session import materialize
 
-# Groups up to this many rows are numbered by a plain window (one task per
-# group is then bounded); beyond it the group is split across partitions.
-# A session can override it with ``spark.sylva.hotGroupRows``.
-HOT_GROUP_ROWS = 2_000_000
-HOT_GROUP_CONF = "spark.sylva.hotGroupRows"
-
-
-def hot_group_rows(df: DataFrame) -> int:
-    value = df.sparkSession.conf.get(HOT_GROUP_CONF, None)
-    return int(value) if value else HOT_GROUP_ROWS
-
-
-def largest_group(df: DataFrame, group_cols: list[str]) -> int:
-    """Row count of the largest group (one aggregate with map-side counts)."""
-    row = df.groupBy(*group_cols).count().agg(F.max("count").alias("m")).first()
-    return int(row["m"] or 0) if row else 0
-
-
-def _sorted_with_ids(df: DataFrame, group_cols: list[str], order_cols: list) -> DataFrame:
-    keys = [F.col(c) for c in group_cols] + [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = (df.repartitionByRange(n, *keys)
-           .sortWithinPartitions(*keys)
-           .withColumn("_pid", F.spark_partition_id())
-           .withColumn("_mid", F.monotonically_increasing_id()))
-    return materialize(s, "ranked")
-
-
-def group_running_sum(df: DataFrame, group_cols: list[str], order_cols: list,
-                      value_col: str | None, out_col: str, hot_rows: int | None = None) -> DataFrame:
-    """Inclusive running sum of ``value_col`` (or row number when None) per group.
-
-    The largest group is measured first: when every group holds at most
-    ``hot_rows`` rows a plain window does the work; otherwise the rows are
-    range-partitioned so a hot group is spread over many tasks.
-    """
-    limit = hot_group_rows(df) if hot_rows is None else hot_rows
-    if largest_group(df, group_cols) <= limit:
-        w = Window.partitionBy(*group_cols).orderBy(
-            *[F.col(c) if isinstance(c, str) else c for c in order_cols])
-        if value_col is None:
-            return df.withColumn(out_col, F.row_number().over(w).cast("bigint"))
-        return df.withColumn(out_col, F.sum(F.col(value_col).cast("bigint")).over(
-            w.rowsBetween(Window.unboundedPreceding, 0)))
-    s = _sorted_with_ids(df, group_cols, order_cols)
-    v = F.lit(1).cast("bigint") if value_col is None else F.col(value_col).cast("bigint")
-    s = s.withColumn("_v", v)
-    local_w = Window.partitionBy("_pid", *group_cols).orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("_local", F.sum("_v").over(local_w))
-    stats = s.groupBy("_pid", *group_cols).agg(F.sum("_v").alias("_piece"))
-    off_w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.withColumn("_off", F.coalesce(F.sum("_piece").over(off_w), F.lit(0))).drop("_piece")
-    cond = [s["_pid"] == stats["_pid"]] + [s[c].eqNullSafe(stats[c]) for c in group_cols]
-    joined = s.join(stats, cond, "inner")
-    out = joined.select(s["*"], (stats["_off"] + s["_local"]).alias(out_col))
-    return out.drop("_pid", "_mid", "_v", "_local")
-
 
-def group_row_number(df: DataFrame, group_cols: list[str], order_cols: list, out_col: str = "rn",
-                     hot_rows: int | None = None) -> DataFrame:
-    """``row_number()`` per group in ``order_cols`` order; order keys should be
-    unique within a group (paths are) so the numbering is deterministic."""
-    return group_running_sum(df, group_cols, order_cols, None, out_col, hot_rows)
+def group_row_number(df: DataFrame, group_cols: list[str], order_cols: list[str], out_col: str = "rn") -> DataFrame:
+    """``row_number()`` per group in ``order_cols`` order. Null group keys are
+    equal; order keys should be unique within a group (paths are), else the
+    order of equal rows is open (but stays as it was written)."""
+    keys = [F.col(c) for c in [*group_cols, *order_cols]]
+    # the place in the sorted partition: ids of a partition follow each other
+    rows = materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+                         .withColumn("_mid", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_mid", 33)
+    pieces = rows.groupBy(part.alias("_pid"), *group_cols).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = pieces.select("_pid", *[F.col(c).alias(f"_g_{c}") for c in group_cols],
+                            (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_off"))
+    cond = part == F.col("_pid")
+    for c in group_cols:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    return rows.join(offsets, cond).select(*df.columns, (F.col("_mid") + F.col("_off")).alias(out_col))

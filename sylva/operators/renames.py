@@ -6,180 +6,106 @@ that compares equal. Directories never take part.
 
 * exact mode: equality (size + content hash) is transitive, so the k-th
   addition of a (size, hash) group gets the k-th deletion of that group. Both
-  sides are numbered with the skew-safe :func:`group_row_number` and paired by
-  an equi join on (size, hash, k) whose keys are unique.
+  sides are numbered in one pass by the skew-safe :func:`group_row_number`,
+  and one aggregate on (size, hash, k), with a row of either side at most in a
+  group, makes the rename row: nothing is joined back.
 * fast mode: equality is |mtime difference| < 2 s (sizes must still agree). It
-  is not transitive, so the greedy order matters. Rows of one size are cut
-  into islands where consecutive mtimes are at least 2 s apart (no pair can
-  cross such a gap); each island runs the greedy loop in ``applyInPandas``.
+  is not transitive, so the greedy order matters; see ``renames_fast``.
 """
 
 from __future__ import annotations
 
-import bisect
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylva.functions import paths as P
 from sylva.operators.diff import FAST_TOLERANCE_US, WIDE_COLUMNS
-import sylva.operators.ranking as rk
-from sylva.operators.ranking import group_row_number, group_running_sum, largest_group
-
-
-def _file_adds(changes: DataFrame) -> DataFrame:
-    return changes.where((F.col("change") == "add") & ~F.col("is_dir") & F.col("size").isNotNull())
-
+from sylva.operators.ranking import group_row_number
+from sylva.operators.renames_fast import pair_keys
 
-def _file_dels(changes: DataFrame) -> DataFrame:
-    return changes.where((F.col("change") == "delete") & ~F.col("is_dir") & F.col("size").isNotNull())
 
+def _file(kind: str) -> Column:
+    return (F.col("change") == kind) & ~F.col("is_dir") & F.col("size").isNotNull()
 
-def _apply_pairs(changes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Replace paired add/delete rows by rename rows.
 
-    ``pairs`` has ``old_path`` (deleted destination) and ``new_path`` (added
-    destination)."""
-    adds_gone = pairs.select(F.lit("add").alias("change"), F.col("new_path").alias("dest_path"))
-    dels_gone = pairs.select(F.lit("delete").alias("change"), F.col("old_path").alias("dest_path"))
-    rest = changes.join(adds_gone.unionByName(dels_gone), ["change", "dest_path"], "left_anti")
-    dels = changes.where(F.col("change") == "delete").select(
-        F.col("dest_path").alias("old_path"), "d_is_dir", "d_size", "d_mtime", "d_hash")
-    ren = (changes.where(F.col("change") == "add").drop("d_is_dir", "d_size", "d_mtime", "d_hash")
-                  .join(pairs.select("old_path", F.col("new_path").alias("dest_path")), "dest_path")
-                  .join(dels, "old_path")
-                  .select(
-                      F.lit("rename").alias("change"),
-                      F.col("old_path").alias("source_path"),
-                      "dest_path", "size", F.lit(False).alias("kind_changed"),
-                      "is_dir", "content_hash", "mtime",
-                      "d_is_dir", "d_size", "d_mtime", "d_hash"))
-    return rest.select(*WIDE_COLUMNS).unionByName(ren.select(*WIDE_COLUMNS))
-
-
-def order_key(kind: str):
-    """One string sort key per side, so both sides are numbered in one pass.
+def order_key() -> Column:
+    """One string sort key for either side, so both are numbered in one pass.
 
     * additions: folded destination path, then the raw path as tie-break;
     * deletions: segment order, i.e. '/' replaced by a character below every
       other one, so a parent sorts before ``parent-x`` and ``parent/x``.
     """
-    if kind == "add":
-        return F.concat(P.fold("dest_path"), F.lit("\u0000"), F.col("dest_path"))
-    return F.translate(F.col("dest_path"), "/", "\u0001")
+    return (F.when(F.col("change") == "add", F.concat(P.fold("dest_path"), F.lit("\u0000"), F.col("dest_path")))
+             .otherwise(F.translate(F.col("dest_path"), "/", "\u0001")))
+
+
+def merge_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Wide change rows of additions and deletions, where an addition and a
+    deletion of equal ``keys`` become one rename row. A group holds at most
+    one row of either side."""
+    whole = F.struct(*WIDE_COLUMNS)
+    g = rows.groupBy(*keys).agg(F.any_value(F.when(F.col("change") == "add", whole), True).alias("a"),
+                                F.any_value(F.when(F.col("change") == "delete", whole), True).alias("d"))
+    both = F.col("a").isNotNull() & F.col("d").isNotNull()
+    values = {c: F.coalesce(F.col(f"a.{c}"), F.col(f"d.{c}")) for c in WIDE_COLUMNS}
+    values["change"] = F.when(both, F.lit("rename")).otherwise(values["change"])
+    values["source_path"] = F.when(both, F.col("d.dest_path")).otherwise(values["source_path"])
+    values["kind_changed"] = F.when(both, F.lit(False)).otherwise(values["kind_changed"])
+    for c in ("d_is_dir", "d_size", "d_mtime", "d_hash"):
+        values[c] = F.coalesce(F.col(f"d.{c}"), F.col(f"a.{c}"))
+    return g.select(*[values[c].alias(c) for c in WIDE_COLUMNS])
+
+
+def numbered(changes: DataFrame) -> DataFrame:
+    """Additions and deletions whose (size, hash) the other side may have too,
+    with their number ``rn`` on their side. Additions with no deletion of their
+    size and hash (all of a first sync's) are not numbered."""
+    dels = changes.where(_file("delete") & F.col("content_hash").isNotNull())
+    wanted = dels.select("size", "content_hash").distinct()
+    adds = changes.where(_file("add") & F.col("content_hash").isNotNull()).join(wanted, ["size", "content_hash"], "left_semi")
+    rows = adds.select(*WIDE_COLUMNS).unionByName(dels.select(*WIDE_COLUMNS)).withColumn("_k", order_key())
+    return group_row_number(rows, ["change", "size", "content_hash"], ["_k"], "rn")
 
 
-def rename_pairs(changes: DataFrame) -> DataFrame:
-    """Exact-mode pairs ``old_path, new_path, size``."""
-    adds = _file_adds(changes).where(F.col("content_hash").isNotNull()).select(
-        F.lit("add").alias("kind"), "size", "content_hash", "dest_path", order_key("add").alias("_k"))
-    dels = _file_dels(changes).where(F.col("content_hash").isNotNull()).select(
-        F.lit("delete").alias("kind"), "size", "content_hash", "dest_path", order_key("delete").alias("_k"))
-    ranked = group_row_number(adds.unionByName(dels), ["kind", "size", "content_hash"], ["_k"], "rn")
-    a = ranked.where(F.col("kind") == "add").select("size", "content_hash", "rn", F.col("dest_path").alias("new_path"))
-    d = ranked.where(F.col("kind") == "delete").select("size", "content_hash", "rn", F.col("dest_path").alias("old_path"))
-    return a.join(d, ["size", "content_hash", "rn"]).select("old_path", "new_path", "size")
+def detect_renames(changes: DataFrame) -> DataFrame:
+    """Exact-mode renames applied to wide changes.
 
+    ``changes`` is read three times and should be a written table (``check``
+    writes it)."""
+    can_pair = (_file("add") | _file("delete")) & F.col("content_hash").isNotNull()
+    wanted = changes.where(_file("delete") & F.col("content_hash").isNotNull()).select("size", "content_hash").distinct()
+    unmatched = changes.where(_file("add") & F.col("content_hash").isNotNull()).join(wanted, ["size", "content_hash"], "left_anti")
+    rest = changes.where(~F.coalesce(can_pair, F.lit(False)))
+    return (merge_pairs(numbered(changes), ["size", "content_hash", "rn"])
+            .unionByName(unmatched.select(*WIDE_COLUMNS)).unionByName(rest.select(*WIDE_COLUMNS)))
 
-def detect_renames(changes: DataFrame) -> DataFrame:
-    """Exact-mode renames applied to wide changes."""
-    return _apply_pairs(changes, rename_pairs(changes))
+
+def rename_pairs(changes: DataFrame) -> DataFrame:
+    """Exact-mode pairs ``old_path, new_path, size``."""
+    merged = merge_pairs(numbered(changes), ["size", "content_hash", "rn"])
+    return merged.where(F.col("change") == "rename").select(
+        F.col("source_path").alias("old_path"), F.col("dest_path").alias("new_path"), "size")
 
 
 # --------------------------------------------------------------------------
 # fast mode
 
 
-def _pairs_frame(old: list, new: list) -> pd.DataFrame:
-    return pd.DataFrame({"old_path": pd.Series(old, dtype="object"),
-                         "new_path": pd.Series(new, dtype="object")})
-
-
-def _greedy_island(pdf: pd.DataFrame, tolerance_us: int) -> pd.DataFrame:
-    adds = pdf[pdf["kind"] == "a"].sort_values(["fold_key", "path"])
-    dels = pdf[pdf["kind"] == "d"].sort_values(["seg_key"]).reset_index(drop=True)
-    if adds.empty or dels.empty:
-        return _pairs_frame([], [])
-    # deletions by time, with their priority (position in segment order)
-    order = sorted(range(len(dels)), key=lambda i: dels.at[i, "t"])
-    times = [int(dels.at[i, "t"]) for i in order]
-    taken = [False] * len(dels)
-    old, new = [], []
-    for path, t in zip(adds["path"], adds["t"]):
-        t = int(t)
-        lo = bisect.bisect_right(times, t - tolerance_us)
-        hi = bisect.bisect_left(times, t + tolerance_us)
-        best = None
-        for k in range(lo, hi):
-            i = order[k]
-            if not taken[i] and (best is None or i < best):
-                best = i
-        if best is not None:
-            taken[best] = True
-            old.append(dels.at[best, "path"])
-            new.append(path)
-    return _pairs_frame(old, new)
-
-
-def islands(changes: DataFrame, tolerance_us: int = FAST_TOLERANCE_US) -> DataFrame:
-    """File additions (kind ``a``) and deletions (kind ``d``) with an island id.
-
-    Within one size, rows are ordered by mtime; a gap of at least the
-    tolerance starts a new island. When every size holds a bounded number of
-    rows this is one window pass (lag and a running count of starts over the
-    same partitioning and order). When a size is hot (empty files), both the
-    ordering and the running count use the skew-safe numbering and the
-    previous mtime comes from an equi join on (size, position), whose keys are
-    unique.
-    """
-    adds = _file_adds(changes).select(
-        F.lit("a").alias("kind"), "size", F.col("dest_path").alias("path"),
-        F.unix_micros("mtime").alias("t"))
-    dels = _file_dels(changes).select(
-        F.lit("d").alias("kind"), "size", F.col("dest_path").alias("path"),
-        F.unix_micros("mtime").alias("t"))
-    rows = adds.unionByName(dels).where(F.col("t").isNotNull())
-    if largest_group(rows, ["size"]) <= rk.hot_group_rows(rows):
-        w = Window.partitionBy("size").orderBy("t", "kind", "path")
-        prev = F.lag("t").over(w)
-        start = F.when(prev.isNull() | (F.col("t") - prev >= tolerance_us), 1).otherwise(0)
-        return (rows.withColumn("_start", start)
-                    .withColumn("island", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-                    .drop("_start"))
-    ranked = group_row_number(rows, ["size"], ["t", "kind", "path"], "pos")
-    prev_rows = ranked.select("size", (F.col("pos") + 1).alias("pos"), F.col("t").alias("_prev_t"))
-    gap = F.col("t") - F.col("_prev_t")
-    flagged = (ranked.join(prev_rows, ["size", "pos"], "left")
-                     .withColumn("_start", F.when(F.col("_prev_t").isNull() | (gap >= tolerance_us), 1).otherwise(0))
-                     .drop("_prev_t"))
-    return group_running_sum(flagged, ["size"], ["pos"], "_start", "island").drop("_start", "pos")
+def _keyed_fast(changes: DataFrame, tolerance_us: int) -> tuple[DataFrame, DataFrame]:
+    """File additions and deletions with a ``_pair`` key, and the other rows."""
+    can_pair = F.coalesce((_file("add") | _file("delete")) & F.col("mtime").isNotNull(), F.lit(False))
+    rows = changes.where(can_pair).select(*WIDE_COLUMNS)
+    return pair_keys(rows, order_key(), tolerance_us), changes.where(~can_pair).select(*WIDE_COLUMNS)
 
 
 def rename_pairs_fast(changes: DataFrame, tolerance_us: int = FAST_TOLERANCE_US) -> DataFrame:
-    """Fast-mode pairs ``old_path, new_path``.
-
-    Per island (windows on (size, island), which the island step's
-    partitioning already satisfies): only additions or only deletions pair
-    nothing; exactly one of each pair up (consecutive rows are closer than the
-    tolerance); only the rest runs the greedy loop in Python, one island per
-    group.
-    """
-    isl = islands(changes, tolerance_us)
-    wi = Window.partitionBy("size", "island")
-    is_a, is_d = F.col("kind") == "a", F.col("kind") == "d"
-    isl = isl.select("*", F.sum(is_a.cast("int")).over(wi).alias("_na"), F.sum(is_d.cast("int")).over(wi).alias("_nd"),
-                     F.max(F.when(is_d, F.col("path"))).over(wi).alias("_old"))
-    simple = (isl.where((F.col("_na") == 1) & (F.col("_nd") == 1) & is_a)
-                 .select(F.col("_old").alias("old_path"), F.col("path").alias("new_path")))
-    rest = (isl.where((F.col("_na") > 0) & (F.col("_nd") > 0) & ((F.col("_na") > 1) | (F.col("_nd") > 1)))
-               .select("size", "island", "kind", "path", "t", P.fold("path").alias("fold_key"),
-                       F.translate(F.col("path"), "/", "\u0001").alias("seg_key")))
-    tol = int(tolerance_us)
-    greedy = (rest.groupBy("size", "island")
-                  .applyInPandas(lambda pdf: _greedy_island(pdf, tol), "old_path string, new_path string"))
-    return simple.unionByName(greedy)
+    """Fast-mode pairs ``old_path, new_path``."""
+    keyed, _ = _keyed_fast(changes, tolerance_us)
+    return merge_pairs(keyed, ["_pair"]).where(F.col("change") == "rename").select(
+        F.col("source_path").alias("old_path"), F.col("dest_path").alias("new_path"))
 
 
 def detect_renames_fast(changes: DataFrame, tolerance_us: int = FAST_TOLERANCE_US) -> DataFrame:
-    return _apply_pairs(changes, rename_pairs_fast(changes, tolerance_us))
+    """Fast-mode renames applied to wide changes (a written table, as for ``detect_renames``)."""
+    keyed, rest = _keyed_fast(changes, tolerance_us)
+    return merge_pairs(keyed, ["_pair"]).unionByName(rest)

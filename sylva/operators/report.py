@@ -24,28 +24,31 @@ def change_totals(changes: DataFrame) -> DataFrame:
                .select("change", F.col("n").cast("bigint").alias("n"), (F.col("total") == 0).alias("up_to_date")))
 
 
+# Up to this limit every map task may send as many rows of a type to one task.
+GROUP_LIMIT = 1000
+
+
 def top_changes(changes: DataFrame, limit: int = 50) -> DataFrame:
     """First ``limit`` rows per change type in folded order of the destination
     path (renames by their new path); ``n_more`` = rows left out of that type.
+    A negative limit keeps everything.
 
-    ``row_number() <= limit`` becomes a ``WindowGroupLimit``: each partition
-    keeps at most ``limit`` rows per type before the shuffle. A negative limit
-    keeps everything.
+    For a small limit ``row_number() <= limit`` becomes a ``WindowGroupLimit``:
+    each partition keeps at most ``limit`` rows per type before the shuffle. A
+    large one, or none, cuts by rank: rows are numbered over range partitions
+    and their counts, so no type goes to one task whatever the limit.
     """
-    key = [P.fold("dest_path"), F.col("dest_path")]
-    # at most four change types: a broadcast with a proven bound
-    counts = F.broadcast(changes.groupBy("change").agg(F.count(F.lit(1)).alias("_n")))
-    if limit < 0:
-        # no limit: number whole (possibly huge) types without one task per type
-        ranked = group_row_number(changes.withColumn("_f", P.fold("dest_path")), ["change"],
-                                  ["_f", "dest_path"], "rank").drop("_f")
+    counts = changes.groupBy("change").agg(F.count(F.lit(1)).alias("_n"))
+    cols = ["change", "source_path", "dest_path"]
+    if 0 <= limit <= GROUP_LIMIT:
+        w = Window.partitionBy("change").orderBy(P.fold("dest_path"), "dest_path")
+        ranked = changes.select(*cols, F.row_number().over(w).alias("rank"))
     else:
-        w = Window.partitionBy("change").orderBy(*key)
-        ranked = changes.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
-    out = ranked.join(counts, "change")
+        ranked = group_row_number(changes.select(*cols, P.fold("dest_path").alias("_f")), ["change"], ["_f", "dest_path"], "rank")
+    kept = ranked if limit < 0 else ranked.where(F.col("rank") <= limit)
     more = F.lit(0) if limit < 0 else F.greatest(F.col("_n") - limit, F.lit(0))
-    return out.select("change", F.col("rank").cast("bigint").alias("rank"), "source_path", "dest_path",
-                      more.cast("bigint").alias("n_more"))
+    return kept.join(counts, "change").select("change", F.col("rank").cast("bigint").alias("rank"), "source_path", "dest_path",
+                                              more.cast("bigint").alias("n_more"))
 
 
 def common_parent(df: DataFrame, root_col: str = "root", path_col: str = "path",

@@ -1,4 +1,4 @@
-"""Whole commands as one lazy plan each: ``check``, ``tree`` and ``backup``.
+"""Whole commands: ``check``, ``tree`` and ``backup``. Each writes what several steps read.
 
 ``check``: select (claim CASE) -> expected (one row per destination path) ->
 full outer join with the in-scope destination -> equality (exact, fast or
@@ -10,7 +10,7 @@ step and the pairing of renames.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,6 +78,9 @@ def check(src: DataFrame, dst: DataFrame, rules, *, base: str = "/", mode: str =
         deletions = deletions.where(~F.col("path").isin(roots))
     changes = D.changes_from_diff(diff, deletions)
     if renames:
+        if cut:
+            # read by both sides of the pairing and by what can't pair
+            changes = materialize(changes, "changes")
         changes = R.detect_renames_fast(changes, tolerance_us) if mode == "fast" else R.detect_renames(changes)
     return CheckResult(changes, pairs, tracked, exp, new_state, plan)
 
@@ -137,6 +140,9 @@ def backup(src: DataFrame, dst: DataFrame, rules, *, base: str = "/", mode: str
     rules converge). The new snapshot is written once before it is diffed
     again, so the second check does not recompute the first."""
     res = check(src, dst, rules, base=base, mode=mode)
+    if checkpoint:
+        # read by the plan and three times by the new snapshot: the pairing runs once
+        res = replace(res, changes=materialize(res.changes, "renamed"))
     new_dst = apply_changes(dst, res.changes)
     if checkpoint:
         new_dst = materialize(new_dst, "snapshot")

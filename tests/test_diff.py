@@ -6,11 +6,14 @@ import os
 import random
 import tempfile
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import inventory, tree, ts
 from sylva.operators import diff as D
 from sylva.operators import renames as R
+from sylva.operators import renames_fast as RF
 from sylva.operators import report as Rep
 from sylva.plans import sync
 from sylva.sources import inventory as Inv
@@ -51,32 +54,69 @@ def _rand_paths(rng, n, prefix):
     return [f"/{rng.choice('abAB')}{prefix}/{rng.choice(['x', 'X', 'y-z', 'y'])}/{i}" for i in range(n)]
 
 
-def test_exact_renames_match_greedy_loop(spark, monkeypatch):
-    import sylva.operators.ranking as rk
-
+def test_exact_renames_match_greedy_loop(spark):
     rng = random.Random(3)
-    for limit in (5, rk.HOT_GROUP_ROWS, 5):
-        monkeypatch.setattr(rk, "HOT_GROUP_ROWS", limit)  # split hot groups, or not
+    for _ in range(2):
         adds = [(p, rng.choice([0, 0, 1, 2]), rng.choice("hk"), 0) for p in _rand_paths(rng, 40, "n")]
         dels = [(p, rng.choice([0, 0, 1, 2]), rng.choice("hk"), 0) for p in _rand_paths(rng, 40, "o")]
         got = sorted((r.old_path, r.new_path) for r in R.rename_pairs(wide(spark, adds, dels)).collect())
         assert got == greedy(adds, dels, lambda a, d: a[2] == d[2])
 
 
-def test_fast_renames_match_greedy_loop(spark, monkeypatch):
-    import sylva.operators.ranking as rk
-
+@pytest.mark.parametrize("block_rows", [100_000, 12])
+def test_fast_renames_match_greedy_loop(spark, monkeypatch, block_rows):
+    """Blocks of a few rows: most of an island is decided over several rounds."""
+    monkeypatch.setattr(RF.pair_keys, "__defaults__", (block_rows,))
     rng = random.Random(5)
-    # a chain 1.5 s apart at one size, plus random rows
-    adds = [(f"/n/c{i}", 7, "h", i * 1.5) for i in range(6)]
-    dels = [(f"/o/c{i}", 7, "h", i * 1.5 + 0.7) for i in range(6)]
-    adds += [(p, rng.choice([1, 2]), "h", rng.uniform(0, 20)) for p in _rand_paths(rng, 40, "n")]
-    dels += [(p, rng.choice([1, 2]), "h", rng.uniform(0, 20)) for p in _rand_paths(rng, 40, "o")]
-    want = greedy(adds, dels, lambda a, d: abs(a[3] - d[3]) < 2)
-    for limit in (rk.HOT_GROUP_ROWS, 4):  # plain windows, then the chain's size as a hot group
-        monkeypatch.setattr(rk, "HOT_GROUP_ROWS", limit)
-        got = sorted((r.old_path, r.new_path) for r in R.rename_pairs_fast(wide(spark, adds, dels)).collect())
-        assert got == want
+    # a chain 1.5 s apart at one size whose names follow the times, a burst, plus random rows
+    adds = [(f"/n/c{i:03d}", 7, "h", i * 1.5) for i in range(60)]
+    dels = [(f"/o/c{i:03d}", 7, "h", i * 1.5 + 0.7) for i in range(60)]
+    adds += [(p, 8, "h", 100 + rng.uniform(0, 1.9)) for p in _rand_paths(rng, 30, "bn")]
+    dels += [(p, 8, "h", 100 + rng.uniform(0, 1.9)) for p in _rand_paths(rng, 20, "bo")]
+    adds += [(p, rng.choice([1, 2]), "h", rng.uniform(-30, 30)) for p in _rand_paths(rng, 120, "n")]
+    dels += [(p, rng.choice([1, 2]), "h", rng.choice([rng.uniform(-30, 30), rng.randint(-9, 9)])) for p in _rand_paths(rng, 120, "o")]
+    got = sorted((r.old_path, r.new_path) for r in R.rename_pairs_fast(wide(spark, adds, dels)).collect())
+    assert got == greedy(adds, dels, lambda a, d: abs(a[3] - d[3]) < 2)
+
+
+def test_a_block_decides_only_what_the_whole_loop_does():
+    rng = random.Random(17)
+    tol = 2_000_000
+    for _ in range(300):
+        n = rng.randint(1, 40)
+        adds, dels = ([rng.randrange(0, 16 * tol, 250_000) for _ in range(n)] for _ in range(2))
+        taken, want = set(), []
+        for t in adds:
+            d = next((k for k, x in enumerate(dels) if k not in taken and abs(x - t) < tol), None)
+            taken.add(d)
+            want.append(d)
+        lo, hi = 5, 9
+        near = [[k for k, t in enumerate(ts) if lo - 2 <= t // tol <= hi + 2] for ts in (adds, dels)]
+        a, d = ([ts[k] for k in ks] for ts, ks in zip((adds, dels), near))
+        own, whole = (np.array([x <= t // tol <= y for t in ts], bool) for ts, x, y in ((a, lo, hi), (d, lo - 1, hi + 1)))
+        state, partner = RF.decide(np.array(a, np.int64), own, np.array(d, np.int64), whole, tol)
+        for i, k in enumerate(near[0]):
+            if state[i] == RF.TAKEN:
+                assert near[1][partner[i]] == want[k] and own[i]
+            elif state[i] == RF.FREE:
+                assert want[k] is None and own[i]
+        everything = np.ones(n, bool)
+        state, partner = RF.decide(np.array(adds, np.int64), everything, np.array(dels, np.int64), everything, tol)
+        assert [int(p) if s == RF.TAKEN else None for s, p in zip(state, partner)] == want
+
+
+def test_a_first_sync_numbers_nothing(spark):
+    adds = [(f"/n/{i}", 1, "h", 0) for i in range(20)]
+    changes = wide(spark, adds, [])
+    assert R.numbered(changes).count() == 0
+    assert R.detect_renames(changes).count() == 20
+
+
+def test_renames_join_nothing_back(spark):
+    """After numbering, one exchange makes the rename rows."""
+    changes = wide(spark, [("/n/a", 1, "h", 0)], [("/o/a", 1, "h", 0)])
+    plan = R.merge_pairs(R.numbered(changes), ["size", "content_hash", "rn"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("LeftAnti") == 0  # the numbering's offsets
 
 
 def test_three_empty_files_renamed(spark):
@@ -204,27 +244,15 @@ def test_streaming_selection_equals_batch(spark):
     assert sorted(r.path for r in spark.table("ignored_rows").collect()) == ["/r/s/b.md"]
 
 
-def test_hot_group_numbering_matches_window(spark):
+def test_numbering_matches_window(spark):
     from pyspark.sql import Window
 
-    from sylva.operators.ranking import group_row_number, group_running_sum
-
-    rows = [("hot" if i % 3 else f"g{i % 7}", f"p{i:05d}", i % 2) for i in range(3000)]
-    df = spark.createDataFrame(rows, "g string, k string, v int")
-    w = Window.partitionBy("g").orderBy("k")
-    want = {(r.g, r.k): (r.rn, r.cs) for r in df.select(
-        "g", "k", F.row_number().over(w).alias("rn"),
-        F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cs")).collect()}
-    rn = {(r.g, r.k): r.rn for r in group_row_number(df, ["g"], ["k"], "rn", hot_rows=100).collect()}
-    spark.conf.set("spark.sylva.hotGroupRows", "100")
-    try:
-        rn_conf = {(r.g, r.k): r.rn for r in group_row_number(df, ["g"], ["k"], "rn").collect()}
-    finally:
-        spark.conf.unset("spark.sylva.hotGroupRows")
-    assert rn_conf == rn
-    cs = {(r.g, r.k): r.cs for r in group_running_sum(df, ["g"], ["k"], "v", "cs", hot_rows=100).collect()}
-    assert rn == {k: v[0] for k, v in want.items()}
-    assert cs == {k: v[1] for k, v in want.items()}
+    from sylva.operators.ranking import group_row_number
+
+    rows = [("hot" if i % 3 else (f"g{i % 7}" if i % 2 else None), f"p{i:05d}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, k string")
+    want = {(r.g, r.k): r.rn for r in df.select("g", "k", F.row_number().over(Window.partitionBy("g").orderBy("k")).alias("rn")).collect()}
+    assert {(r.g, r.k): r.rn for r in group_row_number(df, ["g"], ["k"], "rn").collect()} == want
 
 
 def test_clear_materialized(spark):
