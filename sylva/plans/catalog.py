@@ -42,7 +42,7 @@ ORPHAN_RULES = [(1, "in", "/backup", None), (2, "add", "/lake/src2", None), (3,
 # aliases with a shadowed second definition
 ALIASES = [("SRC", "/lake", 1), ("SRC", "/elsewhere", 2), ("DST", "/backup", 3)]
 
-TOP_LIMIT = 5
+TOP_LIMIT, WIDE_LIMIT = 5, 1500
 PLAIN_RULES = [(1, "in", "/backup", None), (2, "add", "/lake/**", None)]
 
 
@@ -202,6 +202,13 @@ def q_detect_renames_fast(spark, sf):
     return res.public.where("change = 'rename'").select("source_path", "dest_path", "size")
 
 
+def q_detect_renames_crowded(spark, sf):
+    """Fast renames where mtimes crowd: one long chain and one dense burst, each of files of one size."""
+    src, dst = (T.with_directories(T.crowded_files(spark, sf, side)) for side in ("src", "dst"))
+    res = sync.check(src, dst, PLAIN_RULES, mode="fast")
+    return res.public.where("change = 'rename'").select("source_path", "dest_path", "size")
+
+
 def q_change_totals(spark, sf):
     return Rep.change_totals(_check(spark, sf).public)
 
@@ -224,6 +231,11 @@ def q_top_changes(spark, sf):
     return Rep.top_changes(_check(spark, sf).public, TOP_LIMIT)
 
 
+def q_top_changes_wide(spark, sf):
+    """A limit above half of the rows: cut by rank."""
+    return Rep.top_changes(_check(spark, sf).public, WIDE_LIMIT)
+
+
 def q_tree_listing(spark, sf):
     return sync.tree(_src(spark, sf), TREE_RULES, verbose=True, prune=True).listing
 
@@ -242,6 +254,13 @@ def q_verify_converged(spark, sf):
     return Rep.change_totals(res.remaining)
 
 
+def q_verify_interrupted(spark, sf):
+    """A run that stopped after its additions and renames: what a second check still finds."""
+    res = _check(spark, sf)
+    part = Tr.apply_changes(_dst(spark, sf), res.changes.where(F.col("change").isin("add", "rename")))
+    return sync.verify_converged(_src(spark, sf), part, res.plan)
+
+
 def q_sync_report(spark, sf):
     return _check(spark, sf).public
 
@@ -306,6 +325,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "orphans": q_orphans,
     "detect_renames": q_detect_renames,
     "detect_renames_fast": q_detect_renames_fast,
+    "detect_renames_crowded": q_detect_renames_crowded,
     "change_totals": q_change_totals,
     "tree_counts": q_tree_counts,
     "common_parent": q_common_parent,
@@ -313,10 +333,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "duplicate_claims": q_duplicate_claims,
     "case_collisions": q_case_collisions,
     "top_changes": q_top_changes,
+    "top_changes_wide": q_top_changes_wide,
     "tree_listing": q_tree_listing,
     "operation_plan": q_operation_plan,
     "apply_changes": q_apply_changes,
     "verify_converged": q_verify_converged,
+    "verify_interrupted": q_verify_interrupted,
     "sync_report": q_sync_report,
     "state_roundtrip": q_state_roundtrip,
     "write_changes": q_write_changes,

@@ -7,6 +7,8 @@ spelled out for the fixed rule tables of ``catalog``.
 
 from __future__ import annotations
 
+import re
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -264,6 +266,47 @@ def _plain_version() -> str:
     return compile_rules(PLAIN_RULES).version
 
 
+def _top(limit: int) -> str:
+    return f"""SELECT change, CAST(rk AS BIGINT) AS rank, source_path, dest_path,
+  CAST(GREATEST(cnt - {limit}, 0) AS BIGINT) AS n_more
+FROM (SELECT *, row_number() OVER (PARTITION BY change ORDER BY {fold('dest_path')}, dest_path) AS rk,
+             count(*) OVER (PARTITION BY change) AS cnt FROM changes)
+WHERE rk <= {limit}"""
+
+
+def _applied(actual: str, changes: str) -> str:
+    """The destination after a change set."""
+    return f"""gone AS (
+  SELECT CASE WHEN change = 'rename' THEN source_path ELSE dest_path END AS path FROM {changes} c
+  WHERE change IN ('delete', 'rename', 'modify')),
+applied AS (
+SELECT path, is_dir, size, mtime, content_hash FROM {actual} WHERE path NOT IN (SELECT path FROM gone)
+UNION ALL
+SELECT e.write_path, e.is_dir, CASE WHEN e.is_dir THEN 0 ELSE e.size END, e.mtime, e.content_hash
+FROM {changes} c JOIN expected e ON e.write_path = c.dest_path WHERE c.change IN ('add', 'modify')
+UNION ALL
+SELECT c.dest_path, d.is_dir, d.size, d.mtime, d.content_hash
+FROM {changes} c JOIN {actual} d ON d.path = c.source_path WHERE c.change = 'rename')
+"""
+
+
+def _second_check(changes: str) -> str:
+    """Totals of a whole second diff, of the expected rows against the destination after ``changes``."""
+    again = _judged(actual="applied WHERE path LIKE '/backup/%'") + ",\n" + _changes(FIXTURE_IGNORED)
+    for name in ("actual", "pairs", "judged", "leftover", "lo_ign", "deletions", "raw_changes", "ra", "rd", "rpairs", "changes"):
+        again = re.sub(rf"\b{name}\b", f"{name}_2", again)
+    return _fixture_changes() + ", " + _applied("dst_inv", changes) + ",\n" + again + "\n" + TOTALS.replace("changes", "changes_2")
+
+
+def _crowded(side: str) -> str:
+    src = side == "src"
+    return f"""SELECT '/backup/' || CASE WHEN doc_id % 2 = 0 THEN 'chain' ELSE 'burst' END || '{"/n" if src else "/o"}' || CAST(doc_id AS VARCHAR) AS dest_path,
+    '{"add" if src else "delete"}' AS change, false AS is_dir, CAST(CASE WHEN doc_id % 2 = 0 THEN 7 ELSE 8 END AS BIGINT) AS size,
+    make_timestamp(CAST(1704067200000000 + CASE WHEN doc_id % 2 = 0 THEN doc_id * 750000 {"" if src else "+ doc_id % 5 * 500000"}
+                        ELSE doc_id * {7919 if src else 104729} % 1900 * 1000 END AS BIGINT)) AS mtime
+  FROM documents WHERE doc_id % {13 if src else 11} <> 0"""
+
+
 def queries() -> dict[str, str]:
     fx = _fixture_changes()
     return {
@@ -344,11 +387,8 @@ FROM reach GROUP BY path HAVING count(DISTINCT rule_seq) > 1""",
   UNION ALL SELECT replace(path, '/doc', '/Doc') FROM src_files WHERE doc_id % 7 = 0)
 SELECT {fold('path')} AS folded, count(DISTINCT path) AS n_paths, min(path) AS first_path, max(path) AS last_path
 FROM allp GROUP BY {fold('path')} HAVING count(DISTINCT path) > 1""",
-        "top_changes": fx + f"""SELECT change, CAST(rk AS BIGINT) AS rank, source_path, dest_path,
-  CAST(GREATEST(cnt - 5, 0) AS BIGINT) AS n_more
-FROM (SELECT *, row_number() OVER (PARTITION BY change ORDER BY {fold('dest_path')}, dest_path) AS rk,
-             count(*) OVER (PARTITION BY change) AS cnt FROM changes)
-WHERE rk <= 5""",
+        "top_changes": fx + _top(5),
+        "top_changes_wide": fx + _top(1500),
         "tree_listing": _with(*BASE, TREE) + f""", rows AS (
   SELECT path, is_dir, path IN (SELECT path FROM tracked_t) AS tracked, {_parent('path')} AS parent,
          {_name('path')} AS name
@@ -361,24 +401,17 @@ SELECT path, CAST(len(string_split(path, '/')) - 2 AS BIGINT) AS depth, name, is
 FROM ranked r WHERE NOT EXISTS (SELECT 1 FROM tops t WHERE starts_with(r.path, t.path || '/'))""",
         "operation_plan": fx + """SELECT CASE change WHEN 'add' THEN 1 WHEN 'rename' THEN 2 WHEN 'delete' THEN 3 ELSE 4 END AS phase,
   change, source_path, dest_path FROM changes""",
-        "apply_changes": fx + """, gone AS (
-  SELECT CASE WHEN change = 'rename' THEN source_path ELSE dest_path END AS path FROM changes
-  WHERE change IN ('delete', 'rename', 'modify'))
-SELECT path, is_dir, size, mtime, content_hash FROM dst_inv WHERE path NOT IN (SELECT path FROM gone)
-UNION ALL
-SELECT e.write_path, e.is_dir, CASE WHEN e.is_dir THEN 0 ELSE e.size END, e.mtime, e.content_hash
-FROM changes c JOIN expected e ON e.write_path = c.dest_path WHERE c.change IN ('add', 'modify')
-UNION ALL
-SELECT c.dest_path, d.is_dir, d.size, d.mtime, d.content_hash
-FROM changes c JOIN dst_inv d ON d.path = c.source_path WHERE c.change = 'rename'""",
-        "verify_converged": """SELECT change, CAST(0 AS BIGINT) AS n, true AS up_to_date
-FROM (VALUES ('delete'), ('add'), ('modify'), ('rename'), ('total')) t(change)""",
+        "apply_changes": fx + ", " + _applied("dst_inv", "changes") + "SELECT * FROM applied",
+        "verify_converged": _second_check("changes"),
+        "verify_interrupted": _second_check("(SELECT * FROM changes WHERE change IN ('add', 'rename'))"),
         "sync_report": fx + "SELECT * FROM changes",
         "sync_report_fast": _with(*BASE, M5, CLAIMS_FIXTURE, EXPECTED, _judged(FAST_EQ),
                                   _changes(FIXTURE_IGNORED, "fast")) + "SELECT * FROM changes",
         "detect_renames_fast": _with(*EV_BASE, _dirs("ev_src_dirs", "ev_files"), _dirs("ev_dst_dirs", "ev_dst_files"),
                                      EV_EXPECTED, _judged(FAST_EQ, "ev_dst"), _changes(NOTHING_IGNORED, "fast"))
         + "SELECT source_path, dest_path, size FROM changes WHERE change = 'rename'",
+        "detect_renames_crowded": f"WITH crowd AS ({_crowded('src')}\n  UNION ALL {_crowded('dst')}),\n" + _fast_walk("crowd")
+        + "SELECT old_path AS source_path, new_path AS dest_path, size FROM rpairs",
         "write_changes": fx + "SELECT * FROM changes",
         "state_roundtrip": _plain() + f"""SELECT source_path, dest_path, s_mtime AS source_mtime, d_mtime AS dest_mtime,
   equal, '{_plain_version()}' AS rules_version

@@ -124,6 +124,20 @@ def events_dst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_directories(event_dest_files(spark, sf_dir).select(*INVENTORY_COLUMNS))
 
 
+def crowded_files(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
+    """Files of two sizes whose mtimes crowd, from ``documents``; every name differs between the sides.
+
+    Even ids make a chain (size 7, 1.5 s apart, shifted by doc_id % 5 half seconds at the destination), odd ids a
+    burst (size 8, all within 1.9 s). Ids divisible by 13 lack at the source, by 11 at the destination."""
+    src = side == "src"
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k")).where(f"k % {13 if src else 11} <> 0")
+    k, even = F.col("k"), F.col("k") % 2 == 0
+    name = F.concat(F.lit("/lake/" if src else "/backup/"), F.when(even, "chain").otherwise("burst"), F.lit("/n" if src else "/o"), k.cast("string"))
+    late = F.when(even, k * 750_000 + (0 if src else k % 5 * 500_000)).otherwise(k * (7919 if src else 104729) % 1900 * 1000)
+    return d.select(name.alias("path"), F.lit(False).alias("is_dir"), F.when(even, 7).otherwise(8).cast("bigint").alias("size"),
+                    F.timestamp_micros(F.lit(MTIME_ORIGIN_US) + late).alias("mtime"), F.lit(None).cast("string").alias("content_hash"))
+
+
 ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
 
