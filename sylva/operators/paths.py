@@ -24,6 +24,9 @@ def normalize_paths(df: DataFrame, col: str = "path", base: str = "/",
         c = F.translate(c, "\\", "/")
     base_norm = P.normalize_text(base)
     absolute = F.when(c.startswith("/"), c).otherwise(F.concat(F.lit(base_norm.rstrip("/") + "/"), c))
+    # paths in normal form (nearly all) stay in generated code; of the others only
+    # those with '..' need a stack
+    short = F.regexp_replace(F.regexp_replace(absolute, "/(?:\\.?/)+", "/"), "(?<!^)/\\.?\\z|(?<=^/)\\.\\z", "")
     segs = F.filter(F.split(absolute, "/"), lambda x: (x != "") & (x != "."))
     stack = F.aggregate(
         segs,
@@ -33,7 +36,9 @@ def normalize_paths(df: DataFrame, col: str = "path", base: str = "/",
             F.when(F.size(acc) > 0, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc),
         ).otherwise(F.array_append(acc, x)),
     )
-    out = df.withColumn(col, F.concat(F.lit("/"), F.array_join(stack, "/")))
+    up = absolute.rlike("/\\.\\.(?:/|\\z)")
+    dirty = absolute.rlike("//|/\\.(?:/|\\z)|(?<!^)/\\z")
+    out = df.withColumn(col, F.when(up, F.concat(F.lit("/"), F.array_join(stack, "/"))).when(dirty, short).otherwise(absolute))
     if with_parts:
         out = (out.withColumn("parts", P.parts(col))
                   .withColumn("parent", P.parent(col))
