@@ -25,6 +25,8 @@ null; an empty table gives an empty result; further columns of any name are not
 from __future__ import annotations
 
 import hashlib
+import itertools
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,12 +44,13 @@ from sylva.llm.common import texts
 from sylva.llm.tokencount import _byte_symbols
 from sylva.session import materialize
 
-BLOCK_BYTES = 4 << 20  # text of a block, about
+BLOCK_BYTES = 2 << 20  # text of a block, about
 KNOWN_PARTS, KNOWN_BYTES = 200_000, 64 << 20  # parts remembered by a Python worker; only the memory's bound
-PRODUCT = 1 << 22  # entries of a product expanded at once
+PRODUCT = 1 << 20  # entries of a product expanded at once
+LINE_PARTS = 64  # parts encoded by one call
 MARK = "▁"
 # a blank between plain characters: visible ASCII, or Latin letters beyond it
-CUT = re.compile("(?<=[!-~À-ÖØ-öø-ɏ]) (?=[!-~À-ÖØ-öø-ɏ])")
+CUT = re.compile(" (?<=[!-~À-ÖØ-öø-ɏ] )(?=[!-~À-ÖØ-öø-ɏ])")
 
 
 @dataclass
@@ -63,9 +66,18 @@ class Csr:
     def of(cls, rows: np.ndarray, cols: np.ndarray, data: np.ndarray, height: int, width: int) -> Csr:
         """From entries in any order; equal places add up."""
         key = rows.astype(np.int64) * width + cols
-        key, where = np.unique(key, return_inverse=True)
-        total = np.bincount(where, weights=data, minlength=len(key)).astype(np.int64)
-        return cls(np.searchsorted(key, np.arange(height + 1, dtype=np.int64) * width), key % max(width, 1), total, width)
+        if len(key) > 1 and not (key[1:] >= key[:-1]).all():
+            room = 62 - int(max(height, 1) * max(width, 1)).bit_length()
+            if room > 0 and int(data.max()) >> room == 0:  # place and value in one number: a plain sort
+                both = np.sort(key << room | data.astype(np.int64))
+                key, data = both >> room, both & ((1 << room) - 1)
+            else:
+                order = np.argsort(key, kind="stable")
+                key, data = key[order], data[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        data = np.add.reduceat(data.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+        key = key[first]
+        return cls(np.searchsorted(key, np.arange(height + 1, dtype=np.int64) * width), key % max(width, 1), data, width)
 
     @property
     def height(self) -> int:
@@ -104,9 +116,9 @@ def incidence(ends: np.ndarray, n_bytes: int) -> Csr:
     return Csr(np.concatenate([[0], ends]), np.arange(n_bytes), np.ones(n_bytes, np.int64), n_bytes)
 
 
-def group_of(ends_a: np.ndarray, ends_b: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The group of each token that ends at ``ends``: groups end where both tokenizers' tokens do."""
-    return np.searchsorted(np.intersect1d(ends_a, ends_b), ends, "left")
+def group_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
+    """Groups end where a token of either tokenizer does."""
+    return np.intersect1d(ends_a, ends_b, assume_unique=True)
 
 
 def overlap_links(ends_a: np.ndarray, ends_b: np.ndarray) -> Csr:
@@ -122,6 +134,12 @@ def group_links(group_a: np.ndarray, rows_a: np.ndarray, n_a: int, group_b: np.n
     return a.times(b.transposed())
 
 
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids end to end, and the number of each one's list."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(sizes.sum())), np.repeat(np.arange(len(ids)), sizes)
+
+
 class Pair:
     """The two tokenizers with their tokens' bytes."""
 
@@ -137,6 +155,7 @@ class Pair:
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(MARK, " ").encode())
         self.size_a, self.size_b = (np.array([len(x) for x in t]) for t in (self.bytes_a, self.bytes_b))
         self.by_part = not any(MARK in self.b.id_to_piece(i).lstrip(MARK) for i in range(self.b.get_piece_size()) if not self.b.is_byte(i))
+        self.written = [f"{i}{end}" for n, ends in ((len(self.size_a), ",|"), (len(self.size_b), ",;")) for end in ends for i in range(n)]
         self.forget()
 
     def forget(self) -> None:
@@ -145,27 +164,51 @@ class Pair:
         self.said: list[str | None] = []  # groups as text; None where a tokenizer doesn't give the part back
         self.links = Csr(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 1)  # parts by id pairs
         self.held = 0
+        self.hits = np.zeros(0, np.int64)  # texts' parts met, by part
+
+    def forget_rare(self) -> None:
+        """Keep the parts met more than once, if they leave room."""
+        keep = np.flatnonzero(self.hits > 1)
+        share = len(keep) / max(len(self.hits), 1)
+        if share > 0.5:
+            self.forget()
+            return
+        kept = set(keep.tolist())
+        parts = [p for p, i in self.number.items() if i in kept]  # in order of number
+        cols, data, ends = self._take(keep)
+        self.number = dict(zip(parts, range(len(parts))))
+        self.n, self.said = self.n[keep], [self.said[i] for i in keep.tolist()]
+        self.links, self.held, self.hits = Csr(ends, cols, data, 1), int(self.held * share), np.zeros(len(keep), np.int64)
+
+    def _take(self, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Some parts' rows of links: columns, values and where each row ends."""
+        sizes = self.links.at[parts + 1] - self.links.at[parts]
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        take = np.arange(ends[-1]) - np.repeat(ends[:-1], sizes) + np.repeat(self.links.at[parts], sizes)
+        return self.links.cols[take], self.links.data[take], ends
 
     def parts(self, text: str) -> list[str]:
         """The text with a blank first, cut where neither tokenizer has a token across."""
         if not self.by_part:
             return [" " + text]
-        first, *rest = CUT.split(text)
-        return [" " + first, *(" " + x for x in rest)]
+        return [" " + x for x in CUT.split(text)]
 
-    def learn(self, parts: list[str]) -> None:
+    def learn(self, parts: list[str], per_line: int = LINE_PARTS) -> None:
         """Encode new parts and add their rows, one product for all of them."""
-        ids_a = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
-        ids_b = self.b.encode([p[1:] for p in parts], num_threads=1)
-        for k, p in enumerate(parts):
-            raw = p.encode()
-            if b"".join([self.bytes_a[i] for i in ids_a[k]]) != raw or b"".join([self.bytes_b[i] for i in ids_b[k]]) != raw:
-                ids_a[k], ids_b[k] = [], []
-        flat_a, flat_b = (np.array([i for x in ids for i in x], np.int64) for ids in (ids_a, ids_b))
+        plain = [p for p in parts if CUT.search("." + p[:2]) and CUT.search(p[-1] + " .")]
+        lines = [plain[k : k + per_line] for k in range(0, len(plain), per_line)] + [[p] for p in sorted(set(parts).difference(plain))]
+        lines, ids_a, ids_b = self._encode(lines)
+        parts = [p for line in lines for p in line]
+        flat_a, flat_b = (np.fromiter(itertools.chain.from_iterable(ids), np.int64) for ids in (ids_a, ids_b))
         ends_a, ends_b = np.cumsum(self.size_a[flat_a]), np.cumsum(self.size_b[flat_b])  # parts end to end
-        part_a, part_b = (np.repeat(np.arange(len(parts)), [len(x) for x in ids]) for ids in (ids_a, ids_b))
-        cuts = np.intersect1d(ends_a, ends_b)
-        group_a, group_b = group_of(ends_a, ends_b, ends_a), group_of(ends_a, ends_b, ends_b)
+        held = np.repeat([len(x) > 0 for x in ids_a], [len(line) for line in lines]) if lines else np.zeros(0, bool)
+        part_ends = np.cumsum(np.array([len(p.encode()) for p in parts]) * held)
+        part_a, part_b = (np.searchsorted(part_ends, ends) for ends in (ends_a, ends_b))
+        cuts = group_ends(ends_a, ends_b)
+        if not np.isin(part_ends[held], cuts).all() and len(lines) < len(parts):
+            self.learn(parts, 1)  # a token lies across two parts of a line
+            return
+        group_a, group_b = (np.searchsorted(cuts, ends) for ends in (ends_a, ends_b))
         part = np.zeros(len(cuts), np.int64)
         part[group_a] = part_a
         over = np.bincount(part_a, np.diff(overlap_links(ends_a, ends_b).at), len(parts)).astype(np.int64) if len(flat_a) else np.zeros(len(parts), np.int64)
@@ -177,21 +220,41 @@ class Pair:
         keys = (a & 0xFFFFFFFF) << 32 | (names_b[found.cols] & 0xFFFFFFFF)
         sizes = np.bincount(a >> 32, minlength=len(parts))
         self.links = Csr(np.concatenate([self.links.at, self.links.at[-1] + np.cumsum(sizes)]), np.concatenate([self.links.cols, keys]), np.concatenate([self.links.data, found.data]), 1)
-        cut_a, cut_b = (np.append(np.flatnonzero(np.diff(g, prepend=-1)), len(g)).tolist() for g in (group_a, group_b))
-        text_a, text_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        groups = [",".join(text_a[i:j]) + "|" + ",".join(text_b[k:m]) for i, j, k, m in zip(cut_a, cut_a[1:], cut_b, cut_b[1:])]
-        bounds = np.searchsorted(part, np.arange(len(parts) + 1)).tolist()
-        for k, p in enumerate(parts):
-            said = ";".join(groups[bounds[k] : bounds[k + 1]]) if ids_a[k] else None
-            self.number[p] = len(self.said)
-            self.said.append(said)
-            self.held += 200 + 4 * len(p) + len(said or "")
-        self.held += 24 * len(keys)
+        # each token's id and what follows it: , in a group, | after a group's A tokens, ; after a group
+        last_a, last_b = np.diff(group_a, append=-1) != 0, np.diff(group_b, append=-1) != 0
+        n = len(self.size_a), len(self.size_b)
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        names = np.concatenate([flat_a + n[0] * last_a, flat_b + n[1] * last_b + 2 * n[0]])[order]
+        both = list(map(self.written.__getitem__, names.tolist()))
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(part_a, minlength=len(parts)) + np.bincount(part_b, minlength=len(parts)))]).tolist()
+        first = len(self.said)
+        self.said += ["".join(both[i:j])[:-1] if i < j else None for i, j in zip(bounds, bounds[1:])]
+        self.number.update(zip(parts, range(first, first + len(parts))))
+        self.held += 200 * len(parts) + 4 * sum(map(len, parts)) + 12 * len(both) + 24 * len(keys)
+
+    def _encode(self, lines: list[list[str]]) -> tuple[list[list[str]], list[list[int]], list[list[int]]]:
+        """Lines of parts with their ids, without any where a tokenizer doesn't give a line back. Parts of longer
+        lines that aren't given back are encoded alone."""
+        said = ["".join(line) for line in lines]
+        ids_a = [e.ids for e in self.a.encode_batch_fast(said, add_special_tokens=False)]
+        ids_b = self.b.encode([t[1:] for t in said], num_threads=1)
+        again = []
+        for k, (line, raw) in enumerate(zip(lines, map(str.encode, said))):
+            given = all(b"".join(map(of.__getitem__, ids)) == raw for of, ids in ((self.bytes_a, ids_a[k]), (self.bytes_b, ids_b[k])))
+            if not given:
+                ids_a[k], ids_b[k] = [], []
+                if len(line) > 1:
+                    again += [[p] for p in line]
+                    lines[k] = []
+        if again:
+            more = self._encode(again)
+            return [*lines, *more[0]], [*ids_a, *more[1]], [*ids_b, *more[2]]
+        return lines, ids_a, ids_b
 
     def align(self, batch: list[str]) -> list[tuple]:
         """(tokens of A, of B, groups, overlap links, digest, id pairs, their links) of each text."""
         if len(self.number) > KNOWN_PARTS or self.held > KNOWN_BYTES:
-            self.forget()
+            self.forget_rare()
         cut = [self.parts(t) if t else [] for t in batch]
         fresh = sorted(set().union(*cut) - self.number.keys()) if cut else []
         lo = 0
@@ -204,36 +267,33 @@ class Pair:
             lo = hi
         get = self.number.__getitem__
         at = [list(map(get, x)) for x in cut]
-        lost = {k: " " + batch[k] for k, x in enumerate(at) if any(self.said[i] is None for i in x)}
+        lossy = {i for i, x in enumerate(self.said) if x is None}
+        lost = {k: " " + batch[k] for k, x in enumerate(at) if not lossy.isdisjoint(x)} if lossy else {}
         if lost:  # a part isn't given back: the whole text's bytes decide
             self.learn(sorted(set(lost.values()) - self.number.keys()))
             for k, whole in lost.items():
                 i = get(whole)
                 at[k] = [] if self.said[i] is None else [i]
-        sizes = [len(x) for x in at]
-        flat = np.array([i for x in at for i in x], np.int64)
-        rows = np.repeat(np.arange(len(at)), sizes)
+        flat, rows = _flat(at)
+        self.hits = np.bincount(flat, minlength=len(self.said)) + np.pad(self.hits, (0, len(self.said) - len(self.hits)))
         totals = np.stack([np.bincount(rows, self.n[flat, c], len(at)) for c in range(4)], 1).astype(np.int64).tolist() if len(flat) else [[0] * 4] * len(at)
         links = self._links(rows, flat, len(at))
-        out = []
+        out, said = [], self.said.__getitem__
         for k, x in enumerate(at):
-            digest = hashlib.sha256(";".join([self.said[i] for i in x]).encode()).hexdigest() if x else ""
+            digest = hashlib.sha256(";".join(map(said, x)).encode()).hexdigest() if x else ""
             i, j = links.at[k], links.at[k + 1]
             out.append((*totals[k], digest, links.cols[i:j], links.data[i:j]))
         return out
 
     def _links(self, rows: np.ndarray, parts: np.ndarray, n: int) -> Csr:
         """Documents by id pairs: documents by parts, times parts by pairs (renumbered, so that places fit a long)."""
-        used, where = np.unique(parts, return_inverse=True)
-        sizes = (self.links.at[used + 1] - self.links.at[used]) if len(used) else np.zeros(0, np.int64)
-        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        take = np.arange(ends[-1]) - np.repeat(ends[:-1], sizes) + np.repeat(self.links.at[used], sizes) if len(used) else np.zeros(0, np.int64)
-        keys, cols = np.unique(self.links.cols[take], return_inverse=True)
-        by_part = Csr(ends, cols, self.links.data[take], max(len(keys), 1))
-        docs = Csr.of(rows, where, np.ones(len(rows)), n, max(len(used), 1))
-        if not len(used):
+        if not len(parts):
             return Csr(np.zeros(n + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 1)
-        out = docs.times(by_part)
+        used, where = np.unique(parts, return_inverse=True)
+        cols, data, ends = self._take(used)
+        keys, cols = np.unique(cols, return_inverse=True)
+        by_part = Csr(ends, cols, data, len(keys))
+        out = Csr.of(rows, where, np.ones(len(rows)), n, len(used)).times(by_part)
         return Csr(out.at, keys[out.cols], out.data, 1)
 
 
@@ -243,6 +303,7 @@ _PAIRS: dict[tuple[str, str], Pair] = {}
 def pair(path_a: str, path_b: str) -> Pair:
     """The two tokenizers, once for each Python worker."""
     if (path_a, path_b) not in _PAIRS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks have the cores
         _PAIRS[path_a, path_b] = Pair(path_a, path_b)
     return _PAIRS[path_a, path_b]
 
