@@ -19,7 +19,7 @@ once for each row.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -27,7 +27,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylva.llm.common import texts
 from sylva.session import materialize
 
 SHARD_NODES = 2048  # aimed size of a shard; larger ones are only slower
@@ -51,15 +50,16 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return int(np.packbits(2 * bits > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id, fp`` (fp: the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, shingle: int = 3, also: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, fp`` (fp: the 64 bits as a signed long), and further columns of type long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(t, shingle) for t in b["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64), **{c: b[c] for c in also}})
 
-    return texts(docs).filter("doc_id is not null").mapInPandas(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *also)
+    return rows.filter("doc_id is not null").mapInPandas(run, ", ".join(["doc_id long, fp long", *(f"{c} long" for c in also)]))
 
 
 def _vantage(path: np.ndarray) -> np.ndarray:
@@ -180,17 +180,20 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots.select("node", F.col("node").alias("component")))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """``doc_id, fp, component_id`` for every row with an id."""
-    fps = materialize(fingerprints(docs, shingle), "simhash")
+def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, also: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, fp, component_id`` for every row with an id, and further columns of type long."""
+    fps = materialize(fingerprints(docs, shingle, also), "simhash")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash")
     comp = components(links(nodes, max_bits))
     named = nodes.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(materialize(named, "simhash"), "fp", "left").select("doc_id", "fp", "component_id")
+    return fps.join(materialize(named, "simhash"), "fp", "left").select("doc_id", "fp", "component_id", *also)
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """The rows of ``docs`` that head their group (smallest doc_id); of rows that share
-    an id, all stay; rows without an id stay."""
-    keep = near_duplicates(docs, shingle, max_bits).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(keep, docs["doc_id"] == keep["_gone"], "left_anti")
+    """The rows of ``docs`` that head their group (smallest doc_id). Rows that share an id are
+    judged by their text, each with its own group; equal rows of an id go or stay together. Rows without an
+    id stay."""
+    mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))  # tells the texts of one id apart
+    found = near_duplicates(docs.select("doc_id", "text", mark.alias("mark")), shingle, max_bits, ["mark"])
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark")).distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["_gone"]) & (mark == gone["_mark"]), "left_anti")
