@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,16 @@ SMOOTH = 0.5
 LEAST, MOST = 3, 120_000
 SAMPLE_ROWS = 5_000  # training rows of each language, about
 SHARES = 1 << 40  # steps of a hash
-KNOWN_WORDS = 200_000  # words remembered by a Python worker; only the memory's bound
-WORD = re.compile(r"[^\W\d_]+")
+KNOWN_WORDS, KNOWN_CHARS = 200_000, 8 << 20  # words remembered by a Python worker; only the memory's bound
+GROUP = 1 << 20  # characters of texts worked at once, about
+ASCII_WORDS = re.compile("[a-z]+").findall
+WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall  # a letter, with the marks and letters after it
+
+
+def words_of(text: str | None) -> list[str]:
+    text = (text or "").lower()
+    return ASCII_WORDS(text) if text.isascii() else WORDS(text)
+
 
 # fixed values: first and last code point of scripts
 SCRIPTS = {
@@ -96,6 +105,7 @@ class Model:
     def __init__(self, langs: list[str], keys: np.ndarray, logs: np.ndarray, scripts: dict[str, np.ndarray]):
         self.langs, self.keys, self.logs, self.scripts = langs, keys, logs, scripts
         self.known: dict[str, int] = {}
+        self.held = 0  # their characters
         self.rows = np.zeros((0, len(langs)))
 
     def learn_words(self, words: list[str]) -> None:
@@ -104,7 +114,7 @@ class Model:
         for w in words:
             part.append(w)
             size += len(w)
-            if size > 1_000_000:
+            if size > 250_000:
                 self._score(part)
                 part, size = [], 0
         if part:
@@ -126,15 +136,17 @@ class Model:
         for kind, allowed in self.scripts.items():
             if not allowed.all() and (rows := [i for i, x in enumerate(kinds) if x == kind]):
                 score[rows] = np.where(allowed, score[rows], score[rows].min(1, keepdims=True) - 50.0)
+        self.held += sum(map(len, words))
         self.known.update(zip(words, range(len(self.rows), len(self.rows) + len(words))))
         self.rows = np.concatenate([self.rows, score - score.max(1, keepdims=True)])
 
     def spans(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
         """For each text the language and letters of each word, and the sum of word scores by language."""
-        if len(self.known) > KNOWN_WORDS:
+        if len(self.known) > KNOWN_WORDS or self.held > KNOWN_CHARS:
             self.known.clear()
+            self.held = 0
             self.rows = self.rows[:0]
-        words = [WORD.findall((t or "").lower()) if self.langs else [] for t in texts]
+        words = [words_of(t) if self.langs else [] for t in texts]
         self.learn_words(sorted(set().union(*words) - self.known.keys()))
         find = self.known.__getitem__
         ids = [np.fromiter(map(find, ws), np.int64, len(ws)) for ws in words]
@@ -142,11 +154,11 @@ class Model:
         k = len(self.langs)
         total = np.array([self.rows[i].sum(0) if len(i) else np.zeros(k) for i in ids]).reshape(len(texts), k)
         order = sorted(range(len(texts)), key=lambda i: -len(ids[i]))
-        paths: list[np.ndarray] = [np.empty(0, np.int8)] * len(texts)
+        paths: list[np.ndarray] = [np.empty(0, np.int16)] * len(texts)
         at = 0
         while at < len(order) and len(ids[order[at]]):  # texts of like length go through together, in bounded memory
             longest = len(ids[order[at]])
-            group = order[at : at + max(1, 2_000_000 // longest)]
+            group = order[at : at + max(1, 1_000_000 // longest)]
             at += len(group)
             for i, p in zip(group, self._viterbi([ids[i] for i in group])):
                 paths[i] = p
@@ -160,9 +172,9 @@ class Model:
         for j, x in enumerate(ids):
             grid[: len(x), j] = x
         live = n - np.searchsorted(length[::-1], np.arange(longest), side="right")  # texts that still have a word there
-        back = np.empty((longest, n, k), dtype=np.int8)
+        back = np.empty((longest, n, k), dtype=np.int16)
         best = self.rows[grid[0]].copy()
-        own = np.arange(k, dtype=np.int8)
+        own = np.arange(k, dtype=np.int16)
         for t in range(1, longest):
             m = live[t]
             v = best[:m]
@@ -174,7 +186,7 @@ class Model:
         out = []
         last = best.argmax(1)
         state = last.copy()
-        paths = np.empty((longest, n), dtype=np.int8)
+        paths = np.empty((longest, n), dtype=np.int16)
         for t in range(longest - 1, -1, -1):
             m = live[t]
             paths[t, :m] = state[:m]
@@ -229,7 +241,7 @@ def train(docs: DataFrame, least: int = LEAST, most: int = MOST, sample_rows: in
         words: dict[str, Counter] = {}
         for b in batches:
             for lang, text in zip(b["lang"], b["text"]):
-                words.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
+                words.setdefault(lang, Counter()).update(words_of(text))
             if sum(map(len, words.values())) > KNOWN_WORDS:
                 yield from sums({x: c for x, c in words.items() if c})
                 words = {}
@@ -260,7 +272,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = model.predict([t for t in b["text"]])
+            found, group, size = [], [], 0
+            for t in b["text"]:
+                group.append(t)
+                size += len(t or "")
+                if size >= GROUP:
+                    found += model.predict(group)
+                    group, size = [], 0
+            found += model.predict(group)
             yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "lang_pred": [x[0] for x in found], "score": [x[1] for x in found], "n_spans": [x[2] for x in found]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", fold("doc_id", 3) == 1)
