@@ -164,13 +164,16 @@ def pii_digest(docs: DataFrame) -> DataFrame:
 
     counts = [number(k) for k in KINDS]
     base = F.filter(spans, lambda s: s["kind_no"] < len(BASE))
-    return rows.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans"))
+    return rows.select("doc_id", *counts[: len(BASE)], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans"), *counts[len(BASE) :])
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of the text replaced by its kind in brackets (overlapping
     spans: the first one's) and n_chars, where there is one, set anew. Null texts stay null."""
-    rows = with_spans(docs, "_pii")
+    name = "_pii"
+    while name in docs.columns:
+        name += "_"
+    rows = with_spans(docs, name)
     text = F.col("text")
 
     def step(acc: Column, s: Column) -> Column:
@@ -179,6 +182,6 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, put).otherwise(acc["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(F.col("_pii"), start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-    out = rows.withColumn("text", F.when(F.size("_pii") > 0, clean).otherwise(text)).drop("_pii")
+    clean = F.aggregate(F.col(name), start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
+    out = rows.withColumn("text", F.when(F.size(name) > 0, clean).otherwise(text)).drop(name)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
