@@ -37,11 +37,10 @@ from sylva.llm.sentencepiece_codec import BYTE, MARK, NORMAL, UNIGRAM, USER, par
 from sylva.session import materialize
 
 ALPHA = 0.1
-LONGEST = 16  # longest piece that the lattice uses, in characters
-BLOCK_TEXT = 16 << 20  # characters of a block of documents, about
+BLOCK_TEXT = 4 << 20  # characters of a block of documents, about
 OWN = 0.15  # share of a document's own earlier tokens
 PRIOR_WEIGHT = 1000.0  # pieces' worth of the vocabulary's own weights
-ROUNDS = 2
+ROUNDS = 1
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 _CODED = ["block", "doc_id", "held_out", "ids", "token", "id", "c"]
 _UPPER = {i: i + 32 for i in range(65, 91)}
@@ -65,8 +64,9 @@ class Vocabulary:
             score = -np.log(rank + 10.0)
         else:
             score = np.array([s for _, s in real])
-        keep = [i for i, (p, _) in enumerate(real) if 0 < len(p) <= LONGEST]
+        keep = [i for i, (p, _) in enumerate(real) if p]
         self.pieces = [real[i][0] for i in keep]
+        self.longest = max(map(len, self.pieces), default=0)
         weight = np.exp(score[keep])
         self.n_bytes = sum(p.type == BYTE for p in m.pieces) or 256
         # the end and each byte of a character without a piece have a small weight of their own
@@ -137,7 +137,7 @@ class Lattice:
         alone = ~np.isin(codes.astype(np.uint32), self.v.single)
         for i in range(n):
             h = np.zeros(rows, np.uint64)
-            for j in range(i, min(n, i + LONGEST)):
+            for j in range(i, min(n, i + self.v.longest)):
                 h = _step(h, codes[:, j])
                 piece = self.v.lookup(_mix(h))
                 at = np.flatnonzero(piece >= 0)
@@ -299,4 +299,4 @@ def likelihoods(docs: DataFrame, path: str) -> DataFrame:
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     in_docs = blocks.filter("token is null").select(F.col("block").alias("of"), "doc_id", "held_out", "ids")
     joined = in_docs.groupBy("of").cogroup(used.groupBy("block")).applyInPandas(score, schema)
-    return joined.withColumn("train_tokens", F.lit(int(n)).cast("long"))
+    return joined.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
