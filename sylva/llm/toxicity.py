@@ -207,7 +207,7 @@ def scorer(lexicon: dict[str, int], weights: np.ndarray):
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``doc_id, held_out, score, predicted`` and ``n_clauses`` (clauses with a match) of every row."""
     rows = texts(docs).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), scorer(*learn(docs, labels, sample_rows))("text").alias("x"))
-    return rows.select("doc_id", "held_out", "x.score", "x.n_clauses", (F.col("x.score") >= threshold).cast("int").alias("predicted"))
+    return rows.select("doc_id", "held_out", "x.score", (F.col("x.score") >= threshold).cast("int").alias("predicted"), "x.n_clauses")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -117,6 +117,13 @@ def test_simhash_components_equal_all_pairs(spark):
     assert len(simhash.keep_one(docs(spark, texts)).collect()) == len(set(up))
 
 
+def test_a_row_that_shares_an_id_is_judged_by_its_own_text(spark):
+    a, b = "one two three four five six seven eight", "alpha beta gamma delta epsilon zeta eta theta"
+    rows = spark.createDataFrame([(5, a), (5, b), (1, a), (None, a), (9, None), (8, "")], "doc_id long, text string")
+    kept = {(r["doc_id"], r["text"]) for r in simhash.keep_one(rows).collect()}
+    assert kept == {(1, a), (5, b), (None, a), (8, "")}
+
+
 def test_vantage_shards_lose_no_link():
     rng = np.random.default_rng(2)
     fp = np.unique(rng.integers(0, 2**63, 6000, dtype=np.uint64))
@@ -351,7 +358,7 @@ def test_neighbours_recall_and_order(spark):
     x = rng.standard_normal((3000, 16))
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5020, [0.0] * 16), (5040, [float("nan")] * 16), (5060, [1.0]), (None, [1.0] * 16)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = hilbert_ann.search(table, k=5, block=256, sample=64).toPandas()
+    got = hilbert_ann.search(table, k=5, sample=64, chunk=700).toPandas()
     hits = 0
     for q, g in got.groupby("query_id"):
         s = x @ x[q]
@@ -366,21 +373,30 @@ def test_neighbours_recall_and_order(spark):
     assert sorted((r["query_id"], r["vec_id"]) for r in few) == [(0, 1), (0, 2)]
 
 
-def test_neighbour_groups_are_bounded_whatever_the_window(spark):
+def test_every_chunk_sees_its_window(spark):
     from pyspark.sql import functions as F
 
-    n, block, chunk = 1000, 64, 50
-    ranked = spark.range(n).select(F.lit(0).alias("curve"), F.col("id").alias("rank"), F.col("id").alias("vec_id"), F.array(F.lit(1.0)).alias("v"))
+    n, chunk = 1000, 50
+    ranked = spark.range(n).select(F.lit(0).alias("curve"), F.col("id").alias("rank"), F.col("id").alias("row"), F.col("id").alias("vec_id"), F.array(F.lit(1.0)).alias("v"))
     for window in (1, 70, n):
-        rows = hilbert_ann.deal(ranked, ranked.filter("vec_id % 3 = 0"), window, n, block, chunk).toPandas()
-        pairs = set()
-        for _, g in rows.groupby(["curve", "block", "chunk"]):
-            held, asks = g[~g["asks"]]["rank"], g[g["asks"]]["rank"]
-            assert len(held) <= block and len(asks) <= chunk
-            near = [(q, x) for q in asks for x in held if abs(q - x) <= window]
-            assert pairs.isdisjoint(near)
-            pairs.update(near)
-        assert len(pairs) == sum(min(n - 1, q + window) - max(0, q - window) + 1 for q in range(0, n, 3))
+        rows = hilbert_ann.deal(ranked, ranked.filter("vec_id % 300 = 0"), window, n, chunk).toPandas()
+        for _, g in rows.groupby(["curve", "chunk"]):
+            held, asks = set(g[~g["asks"]]["rank"]), g[g["asks"]]["rank"].tolist()
+            assert len(asks) <= chunk and len(held) == (~g["asks"]).sum()
+            assert all(set(range(max(0, q - window), min(n - 1, q + window) + 1)) <= held for q in asks)
+        assert sorted(rows[rows["asks"]]["rank"]) == [0, 300, 600, 900]
+
+
+def test_neighbours_of_repeated_ids_and_equal_vectors(spark):
+    rng = np.random.default_rng(7)
+    one, other = rng.standard_normal(8).tolist(), rng.standard_normal(8).tolist()
+    rows = [(20, one), (1, one), (1, one), (2, one), (3, other), (40, one), (40, other), *[(100 + 2 * i + 1, one) for i in range(60)]]
+    got = hilbert_ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect()
+    of = lambda q: sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q)
+    assert of(20) == [(1, 1), (2, 1), (3, 2)]  # rows of one id are candidates of their own
+    dot = float(np.dot(one, other))
+    assert of(40) == sorted([(1, 1), (2, 1), (3, 2), (1, 3), *([(2, 1), (3, 1)] if dot > 0 else [(2, 1), (3, 1)])])
+    assert len({r["score"] for r in got if r["query_id"] == 20}) == 1
 
 
 def test_hilbert_curve_visits_neighbouring_cells():
