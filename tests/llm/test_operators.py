@@ -238,7 +238,7 @@ def test_lattice_equals_the_sum_over_segmentations():
     def brute(s):
         if not s:
             return 1.0
-        total = sum(np.exp(logp[number[s[:k]]]) * brute(s[k:]) for k in range(1, min(len(s), lattice.LONGEST) + 1) if s[:k] in number)
+        total = sum(np.exp(logp[number[s[:k]]]) * brute(s[k:]) for k in range(1, min(len(s), v.longest) + 1) if s[:k] in number)
         return total + (np.exp(logp[-1] * len(s[0].encode())) * brute(s[1:]) if s[0] not in number else 0)
 
     words = ["the", "thering", "a", "überall", "日͸x", "tionea"]
