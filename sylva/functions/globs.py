@@ -150,8 +150,22 @@ def _collapse(segs: list[str]) -> list[str]:
     return out
 
 
-def _any_name(match_hidden: bool) -> str:
-    return "[^/]+" if match_hidden else r"(?!\.)[^/]+"
+# A ``**`` runs over characters, each tested by a look-ahead, and not over
+# segments: loops over one character are no recursion in Java's matcher, however
+# deep a path is.
+
+
+def _dirs(match_hidden: bool, lazy: bool = False) -> str:
+    """Any number of directories, each with its separator."""
+    bad = "[/]" if match_hidden else "[./]"  # what no segment starts with
+    q = "?" if lazy else ""
+    return f"(?:(?!{bad})(?:(?!/{bad}).)*{q}/)?{q}"
+
+
+def _names(match_hidden: bool) -> str:
+    """One or more names joined by separators."""
+    bad = "[/]" if match_hidden else "[./]"
+    return f"(?!{bad})(?:(?!/(?:{bad}|\\z)).)+"
 
 
 def segments_regex(segs: list[str], match_hidden: bool = True, glob_on: bool = True,
@@ -160,25 +174,22 @@ def segments_regex(segs: list[str], match_hidden: bool = True, glob_on: bool = T
 
     Whole-segment ``**`` is zero or more directories in the middle and one or
     more names at the end (the base itself is not matched by a trailing ``**``).
+    Between two ``**`` the first place that fits is as good as any later one
+    (what the first could step over, the second can), so it is taken atomically.
     """
-    segs = _collapse(segs)
-    h = _any_name(match_hidden if globstar_hidden is None else globstar_hidden)
-    out = []
-    glue = ""
-    last = len(segs) - 1
-    for k, seg in enumerate(segs):
+    hidden = match_hidden if globstar_hidden is None else globstar_hidden
+    chunks: list[list[str]] = [[]]
+    for seg in _collapse(segs):
         if seg == GLOBSTAR:
-            if k == last:
-                out.append(("(?:/" + h + ")+") if k > 0 else (h + "(?:/" + h + ")*"))
-            else:
-                out.append(("/" if k > 0 else "") + "(?:" + h + "/)*")
-                glue = ""
-            if k != last:
-                continue
+            chunks.append([])
         else:
-            out.append(glue + segment_regex(seg, match_hidden, glob_on))
-        glue = "/"
-    return "".join(out)
+            chunks[-1].append(segment_regex(seg, match_hidden, glob_on))
+    head, *rest = ["/".join(c) for c in chunks]
+    if not rest:
+        return head
+    lead = head + "/" if chunks[0] else ""
+    middle = "".join(f"(?>{_dirs(hidden, lazy=True)}{c}/)" for c in rest[:-1])
+    return lead + middle + (_dirs(hidden) + rest[-1] if chunks[-1] else _names(hidden))
 
 
 def glob_regex(pattern: str, match_hidden: bool = True, glob_on: bool = True,
@@ -260,7 +271,7 @@ def compile_add(pattern: str, match_hidden: bool = True, glob_on: bool = True) -
     if implied and len(rest) > 1 and rest[-1] == GLOBSTAR:
         # the named entry itself, then anything below it
         body = segments_regex(rest[:-1], match_hidden, glob_on)
-        body += "(?:/" + _any_name(match_hidden) + ")*"
+        body += "(?:/" + _names(match_hidden) + ")?"
     else:
         body = segments_regex(rest, match_hidden, glob_on)
     head = "" if prefix == "/" else literal_regex(prefix)

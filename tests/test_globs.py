@@ -159,3 +159,22 @@ def test_many_stars_fail_fast(spark):
     row = spark.range(1).select(F.lit("a" * 100).rlike(globs.glob_regex("*a" * 12 + "*b")).alias("x"),
                                 F.lit("xa" * 50 + "b").rlike(globs.glob_regex("*a" * 12 + "*b")).alias("y")).first()
     assert (row["x"], row["y"]) == (False, True) and time.time() - began < 20
+
+
+def test_deep_paths_end_at_once(spark):
+    """A ``**`` neither recurses nor backtracks over the segments of a deep path."""
+    import time
+
+    deep = "/" + "/".join(["dir"] * 5000)
+    texts = [deep + "/x", deep + "/y", deep + "/.h/x", "/.h" + deep + "/x", deep + "/x/y/z/x"]
+    df = spark.createDataFrame([(t,) for t in texts], "path string").coalesce(1)
+    began = time.time()
+    for pattern, hidden, want in (("/**/x", True, [1, 0, 1, 1, 1]), ("/**/x", False, [1, 0, 0, 0, 1]), ("/**", False, [1, 1, 0, 0, 1]),
+                                  ("/**/dir/**/x", False, [1, 0, 0, 0, 1]), ("/**/.h/**", False, [0, 0, 1, 1, 0]),
+                                  ("/**/x/**/z/*", True, [0, 0, 0, 0, 1]), ("/**/q/**/x/**/y", True, [0] * 5)):
+        got = [r.m for r in df.select(F.col("path").rlike(globs.glob_regex(pattern, hidden, globstar=True)).alias("m")).collect()]
+        assert got == [bool(w) for w in want], (pattern, hidden)
+    for pattern, want in (("x", [1, 0, 1, 1, 1]), ("**/y/z", [0, 0, 0, 0, 1]), ("/**/.h", [0, 0, 1, 1, 0])):
+        got = [r.m for r in df.select(F.col("path").rlike(globs.ignore_regex(pattern)).alias("m")).collect()]
+        assert got == [bool(w) for w in want], pattern
+    assert time.time() - began < 60
