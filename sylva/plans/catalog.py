@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sylva.operators import content as Co
 from sylva.operators import diff as D
 from sylva.operators import filters as Fl
 from sylva.operators import paths as Pa
@@ -155,6 +156,24 @@ def q_content_equal(spark, sf):
         "dest_path", D.content_equal().alias("equal"))
 
 
+def q_content_equal_chunks(spark, sf):
+    """Contents without stored hashes, as tables of chunks: sizes first, then the bytes of pairs of equal size."""
+    src, dst = T.document_contents(spark, sf, "src"), T.document_contents(spark, sf, "dst")
+    pairs = D.pair(src.select(F.col("path").alias("read_path"), F.replace("path", F.lit("/lake/"), F.lit("/backup/")).alias("write_path"), *Pa.INVENTORY_COLUMNS[1:]),
+                   dst.select(*Pa.INVENTORY_COLUMNS))
+    out = Co.equal_by_content(pairs, lambda files: Co.table_chunks(T.chunks_of(src), files), lambda files: Co.table_chunks(T.chunks_of(dst), files))
+    return out.select("dest_path", "equal", "n_read")
+
+
+def q_scan_inventory(spark, sf):
+    """A written manifest with paths in all forms, several rows of a path and a clash of file and directory."""
+    from sylva.sources.inventory import scan_inventory
+
+    folder = _scratch(spark, "manifest")
+    T.dirty_manifest(spark, sf).write.parquet(folder)
+    return scan_inventory(spark, folder, base="/lake")
+
+
 def q_fast_equal(spark, sf):
     p = _plain_pairs(spark, sf)
     return p.where(F.col("source_path").isNotNull() & F.col("d_is_dir").isNotNull()).select(
@@ -320,6 +339,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "snapshot_diff_orders": q_snapshot_diff_orders,
     "keyed_totals_orders": q_keyed_totals_orders,
     "content_equal": q_content_equal,
+    "content_equal_chunks": q_content_equal_chunks,
+    "scan_inventory": q_scan_inventory,
     "fast_equal": q_fast_equal,
     "incremental_equal": q_incremental_equal,
     "orphans": q_orphans,

@@ -346,6 +346,16 @@ WHERE a.o_orderkey IS NULL OR e.o_orderkey IS NULL
    OR e.o_totalprice IS DISTINCT FROM a.o_totalprice OR e.o_orderdate IS DISTINCT FROM a.o_orderdate
    OR e.o_orderpriority IS DISTINCT FROM a.o_orderpriority""",
         "content_equal": _plain() + "SELECT dest_path, equal FROM judged WHERE source_path IS NOT NULL AND d_is_dir IS NOT NULL",
+        "content_equal_chunks": """WITH f AS (
+  SELECT '/backup/' || source || '/doc' || CAST(doc_id AS VARCHAR) AS dest_path, doc_id % 10 AS k, text,
+    CASE doc_id % 10 WHEN 5 THEN text || '!' WHEN 7 THEN reverse(text) ELSE text END AS other
+  FROM documents WHERE text IS NOT NULL)
+SELECT dest_path, k <> 3 AND text = other AS equal,
+  CAST(CASE WHEN k <> 3 AND strlen(text) = strlen(other) THEN 2 * strlen(text) ELSE 0 END AS BIGINT) AS n_read FROM f""",
+        "scan_inventory": _with(SRC_FILES, _dirs("src_dirs", "src_files")) + """SELECT path, is_dir,
+  CASE WHEN doc_id % 7 = 0 THEN size + 1 ELSE size END AS size,
+  CASE WHEN doc_id % 7 = 0 THEN mtime + INTERVAL 1 SECOND ELSE mtime END AS mtime, content_hash FROM src_files
+UNION ALL SELECT path, true, CAST(0 AS BIGINT), CAST(NULL AS TIMESTAMP), CAST(NULL AS VARCHAR) FROM src_dirs""",
         "fast_equal": _plain() + """SELECT dest_path,
   CASE WHEN s_is_dir OR d_is_dir THEN s_is_dir AND d_is_dir
        ELSE COALESCE(abs(epoch_us(s_mtime) - epoch_us(d_mtime)) < 2000000, false) END AS equal

@@ -32,7 +32,7 @@ def scan_inventory(spark: SparkSession, location: str, format: str = "parquet",
       to the scan, and nothing is shuffled.
     * ``listing``: the complete tree below ``location``, hidden names and empty
       directories too (see ``listing``); hashes are null and come from
-      ``content.file_digests`` where sizes agree.
+      ``content.equal_by_content`` where sizes agree.
     * ``binaryFile``: the files that Spark lists (names that start with ``.``
       or ``_`` and empty directories are missing); the content hash is SHA-256
       of the bytes. A listing that isn't complete must not drive deletions, so

@@ -28,7 +28,7 @@ ARROW = pa.schema([("path", pa.string()), ("is_dir", pa.bool_()), ("size", pa.in
 ROWS = 50_000  # rows of a batch
 
 
-def _open(location: str) -> tuple[fs.FileSystem, str]:
+def open_location(location: str) -> tuple[fs.FileSystem, str]:
     if "://" not in location and not location.startswith("file:"):
         return fs.LocalFileSystem(), os.path.abspath(location)
     return fs.FileSystem.from_uri(location)
@@ -72,7 +72,7 @@ class ListingReader(DataSourceReader):
 
     def partitions(self) -> list[Group]:
         """Level by level from the root, until there are several directories for each group."""
-        system, root = _open(self.location)
+        system, root = open_location(self.location)
         own, front = [], [root]
         while front and len(front) < 4 * self.groups:
             own += front
@@ -81,7 +81,7 @@ class ListingReader(DataSourceReader):
         return [Group(own[k::n], front[k::n]) for k in range(n)]
 
     def read(self, group: Group) -> Iterator[pa.RecordBatch]:
-        system, _ = _open(self.location)
+        system, _ = open_location(self.location)
         rows: list[tuple] = []
 
         def batch() -> pa.RecordBatch:

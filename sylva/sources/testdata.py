@@ -124,6 +124,41 @@ def events_dst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_directories(event_dest_files(spark, sf_dir).select(*INVENTORY_COLUMNS))
 
 
+def document_contents(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
+    """Documents as files with their text and no hash. At the destination, by doc_id % 10: 3 left out; 5 a character
+    longer; 7 reversed (equal size, other bytes)."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    k, text, root = F.col("doc_id") % 10, F.col("text"), "/lake/"
+    if side == "dst":
+        d, root = d.where(k != 3), "/backup/"
+        text = F.when(k == 5, F.concat(text, F.lit("!"))).when(k == 7, F.reverse(text)).otherwise(text)
+    return d.select(F.concat(F.lit(root), "source", F.lit("/doc"), F.col("doc_id").cast("string")).alias("path"), F.lit(False).alias("is_dir"),
+                    F.octet_length(text).cast("bigint").alias("size"), F.lit(None).cast("timestamp").alias("mtime"),
+                    F.lit(None).cast("string").alias("content_hash"), text.alias("text"))
+
+
+def chunks_of(contents: DataFrame, length: int = 1000) -> DataFrame:
+    """``path, k, bytes``: texts as chunks of ``length`` characters."""
+    last = F.greatest(F.floor((F.length("text") - 1) / length), F.lit(0)).cast("int")
+    at = F.explode(F.sequence(F.lit(0), last)).alias("k")
+    return contents.select("path", "text", at).select("path", "k", F.substring("text", F.col("k") * length + 1, F.lit(length)).cast("binary").alias("bytes"))
+
+
+def dirty_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document files as a manifest that isn't in normal form: by doc_id % 5 relative, with ``./``, ``//``, ``..`` or a
+    trailing separator; every seventh twice, the second a second younger and a byte larger; every 23rd also as a directory."""
+    f = document_files(spark, sf_dir)
+    k, p = F.col("doc_id"), F.col("path")
+    rest = F.expr("substr(path, 7)")
+    dirty = (F.when(k % 5 == 0, rest).when(k % 5 == 1, F.concat(F.lit("/lake/./"), rest)).when(k % 5 == 2, F.concat(F.lit("//lake//"), rest))
+              .when(k % 5 == 3, F.concat(F.lit("/x/.hid/../../lake/"), rest)).otherwise(F.concat(p, F.lit("/"))))
+    first = f.withColumn("path", dirty)
+    again = f.where(k % 7 == 0).withColumn("size", F.col("size") + 1).withColumn("mtime", F.timestamp_micros(F.unix_micros("mtime") + 1_000_000))
+    folder = f.where(k % 23 == 0).withColumn("is_dir", F.lit(True)).withColumn("mtime", F.timestamp_micros(F.unix_micros("mtime") + 9_000_000))
+    cols = INVENTORY_COLUMNS
+    return first.select(*cols).unionByName(again.select(*cols)).unionByName(folder.select(*cols))
+
+
 def crowded_files(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     """Files of two sizes whose mtimes crowd, from ``documents``; every name differs between the sides.
 
