@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sylva.functions import paths as P
@@ -37,16 +37,6 @@ def _rule_cond(c: Column, add) -> Column:
     return cond
 
 
-def claim_column(plan: RulePlan, col: str = "path") -> Column:
-    """Seq of the first ``add`` that claims the path (null when none does)."""
-    c = F.col(col)
-    expr = None
-    for a in plan.adds:
-        cond = _rule_cond(c, a)
-        expr = F.when(cond, F.lit(a.seq)) if expr is None else expr.when(cond, F.lit(a.seq))
-    return expr if expr is not None else F.lit(None).cast("int")
-
-
 def reach_column(plan: RulePlan, col: str = "path") -> Column:
     """Seqs of every ``add`` that reaches the path (before first-claim)."""
     c = F.col(col)
@@ -84,13 +74,43 @@ def claim_struct(plan: RulePlan, col: str = "path") -> Column:
     return expr
 
 
+# Up to this many adds are one CASE; more are looked up by prefix.
+CASE_RULES = 32
+
+
+def adds_frame(spark: SparkSession, plan: RulePlan) -> DataFrame:
+    """The compiled adds as a table keyed by their read prefix."""
+    rows = [(a.seq, a.read_prefix, a.write_prefix, a.regex, a.ignore_regex) for a in plan.adds]
+    return spark.createDataFrame(rows, "rule_seq int, read_prefix string, write_prefix string, regex string, ignore_regex string")
+
+
+def claimed_by_prefix(inventory: DataFrame, plan: RulePlan) -> DataFrame:
+    """:func:`claimed` for rule tables with very many adds.
+
+    An add can only claim paths below its read prefix, so a path's ancestors
+    are the keys of all adds that may claim it: an equi join finds those, their
+    regexes decide, and the first ``seq`` wins in one aggregate by path.
+    Work grows with a path's depth and the adds on its way, not with the table.
+    """
+    inv = inventory.select(*INVENTORY_COLUMNS)
+    keys = F.concat(F.array(F.lit("/")), P.ancestors("path"))
+    near = inv.select(*INVENTORY_COLUMNS, F.explode(keys).alias("read_prefix")).join(adds_frame(inventory.sparkSession, plan), "read_prefix")
+    hit = near.where(F.expr("path rlike regex AND NOT coalesce(path rlike ignore_regex, false)"))
+    best = hit.groupBy("path").agg(F.min_by(F.struct(*INVENTORY_COLUMNS[1:], "rule_seq", "read_prefix", "write_prefix"), "rule_seq").alias("b"))
+    return best.select("path", "b.*")
+
+
 def claimed(inventory: DataFrame, plan: RulePlan) -> DataFrame:
     """Inventory rows with the claiming ``rule_seq`` and read/write prefixes.
 
+    Rule tables with more than ``CASE_RULES`` adds go through :func:`claimed_by_prefix`.
+
     The claim is produced by a generator (explode of a one-element array), not
     a projection plus filter: Catalyst would push such a filter below the
     projection and evaluate every rule's regexes twice per row.
     """
+    if len(plan.adds) > CASE_RULES:
+        return claimed_by_prefix(inventory, plan)
     inv = inventory.select(*INVENTORY_COLUMNS)
     prune = scan_pruning(plan)
     if prune is not None:

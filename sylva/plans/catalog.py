@@ -125,6 +125,18 @@ def q_track(spark, sf):
         "rule_seq", "read_path", "write_path", "rel_path", "is_parent", "is_dir")
 
 
+def many_rules(n: int = 1000) -> list[tuple]:
+    """Two adds for each of ``n`` source folders, most of which don't exist."""
+    adds = [(f"/lake/src{k}/**/*.md", f"/lake/src{k}/en/**") for k in range(n)]
+    return [(1, "in", "/backup", None), (2, "ignore", "/lake/src3/**/*.log", None),
+            *((3 + i, "add", a, None) for i, a in enumerate(a for pair in adds for a in pair))]
+
+
+def q_track_many_rules(spark, sf):
+    """Thousands of adds, found by the prefixes of a path."""
+    return S.track(_src(spark, sf), compile_rules(many_rules()), parents=False).select("rule_seq", "read_path", "write_path")
+
+
 def q_duplicate_claims(spark, sf):
     return S.duplicate_claims(_src(spark, sf), compile_rules(FIXTURE_RULES))
 
@@ -335,6 +347,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ignore_filter": q_ignore_filter,
     "ignore_filter_end": q_ignore_filter_end,
     "track": q_track,
+    "track_many_rules": q_track_many_rules,
     "snapshot_diff": q_snapshot_diff,
     "snapshot_diff_orders": q_snapshot_diff_orders,
     "keyed_totals_orders": q_keyed_totals_orders,

@@ -331,6 +331,13 @@ WHERE path LIKE '/lake/%' AND {_name('path')} LIKE 'doc%'
         "ignore_filter_end": _with(*BASE) + "SELECT path, is_dir FROM src_inv WHERE NOT path LIKE '/lake/src1/%'",
         "track": _with(*BASE, M5, CLAIMS_FIXTURE, EXPECTED)
         + "SELECT rule_seq, read_path, write_path, rel_path, is_parent, is_dir FROM expected",
+        "track_many_rules": _with(*BASE) + f""", c AS (
+  SELECT path, {_name('path')} LIKE '%.md' AS md, split_part(path, '/', 4) = 'en' AND len(string_split(path, '/')) > 4 AS en,
+         CAST(substr(split_part(path, '/', 3), 4) AS INT) AS k, split_part(path, '/', 3) AS src
+  FROM src_inv WHERE split_part(path, '/', 2) = 'lake' AND split_part(path, '/', 3) LIKE 'src%' AND len(string_split(path, '/')) > 3)
+SELECT CAST(3 + 2 * k + CASE WHEN md THEN 0 ELSE 1 END AS INT) AS rule_seq, path AS read_path,
+  '/backup/' || CASE WHEN md THEN substr(path, 8 + length(src)) ELSE substr(path, 11 + length(src)) END AS write_path
+FROM c WHERE (md OR (en AND len(string_split(path, '/')) > 4)) AND NOT (src = 'src3' AND path LIKE '%.log')""",
         "snapshot_diff": _plain(renames=False) + "SELECT * FROM changes",
         "snapshot_diff_orders": """WITH a AS (
   SELECT CASE WHEN o_orderkey % 10 = 6 THEN o_orderkey + 100000000 ELSE o_orderkey END AS o_orderkey,

@@ -8,7 +8,7 @@ Verbs, applied in ``seq`` order:
 * ``add <read path>``  track entries matching a pattern
 * ``ignore <pattern>`` / ``include <pattern>``  start / end an ignore
 
-A rule table holds tens of rows. It is collected once (row count checked) and
+A rule table is configuration, of tens to thousands of rows. It is collected once and
 compiled into a :class:`RulePlan`: per ``add`` a read prefix, an anchored regex
 and the alternation of the ignores active at that point; for the destination
 side the ignores active at the end under the final flags. All heavy work then
@@ -113,10 +113,6 @@ class RulePlan:
                 out.add("/" + "/".join(segs[:k]))
         return sorted(out)
 
-    def ignores_table(self, spark: SparkSession) -> DataFrame:
-        """Ignore validity as rows: ``pattern, from_seq, to_seq`` (to_seq null = open)."""
-        return spark.createDataFrame(self.intervals, "pattern string, from_seq int, to_seq int")
-
 
 def rules_frame(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """A rule table from ``(seq, verb, arg1, arg2)`` tuples."""

@@ -201,3 +201,31 @@ def test_small_rule_file_on_three_file_tree(spark):
     assert t == [(23, "/tree/source/tmp.txt", "/tree/dest/tmp.txt")]
     ch = sync.check(src, tree(spark, [], dirs=[base]), plan).public.collect()
     assert [(r.change, r.dest_path) for r in ch] == [("add", "/tree/dest/tmp.txt")]
+
+
+def test_many_adds_by_prefix_claim_what_the_case_does(spark, monkeypatch):
+    """Random rules and trees, once as one CASE and once through the prefix join."""
+    import random
+
+    rng = random.Random(21)
+    names = ["a", "b", ".h", "x.md", "y.md", "c d"]
+    files = sorted({"/" + "/".join(rng.choices(names, k=rng.randint(1, 5))) for _ in range(150)})
+    inv = tree(spark, [(f, False) for f in files if not any(g.startswith(f + "/") for g in files)])
+    for _ in range(3):
+        rules = [(1, "in", "/d", None)]
+        for seq in range(2, 40):
+            pat = "/" + "/".join(rng.choices([*names, "**", "*", "?", "*.md", "[ab]"], k=rng.randint(1, 4)))
+            rules.append((seq, rng.choice(["add", "add", "add", "ignore"]), pat, None))
+        seen, plan = set(), []
+        for r in rules:  # an ignore may not be repeated with another meaning
+            if r[1] != "ignore" or r[2] not in seen:
+                plan.append(r)
+                seen.add(r[2])
+        got = []
+        for limit in (10_000, 0):
+            monkeypatch.setattr(S, "CASE_RULES", limit)
+            got.append(sorted((r.rule_seq, r.read_path, r.write_path, r.is_parent) for r in S.track(inv, compile_rules(plan)).collect()))
+        assert got[0] == got[1] and got[0]
+    monkeypatch.setattr(S, "CASE_RULES", 0)
+    text = S.claimed(inv, compile_rules([(1, "in", "/d", None), (2, "add", "/a/**", None)]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN (StartsWith" not in text and "Join Inner" in text
