@@ -36,7 +36,7 @@ def pair(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Full outer join of expected (``write_path``) and actual (``path``) rows.
 
     Output: ``source_path, dest_path, s_*`` and ``d_*`` attributes, null on the
-    missing side.
+    missing side (and ``verdicts``, if the actual rows have them).
     """
     e = expected.select(
         F.col("write_path").alias("dest_path"), F.col("read_path").alias("source_path"),
@@ -46,7 +46,7 @@ def pair(expected: DataFrame, actual: DataFrame) -> DataFrame:
     a = actual.select(
         F.col("path").alias("dest_path"), F.col("is_dir").alias("d_is_dir"),
         F.col("size").alias("d_size"), F.col("mtime").alias("d_mtime"),
-        F.col("content_hash").alias("d_hash"),
+        F.col("content_hash").alias("d_hash"), *[c for c in actual.columns if c == "verdicts"],
     )
     return e.join(a, "dest_path", "full_outer")
 
@@ -76,36 +76,60 @@ def fast_equal(tolerance_us: int = FAST_TOLERANCE_US, s_is_dir="s_is_dir", d_is_
 STATE_COLUMNS = ["source_path", "dest_path", "source_mtime", "dest_mtime", "equal", "rules_version"]
 
 
-def incremental_equal(pairs: DataFrame, state: DataFrame | None, rules_version: str) -> tuple[DataFrame, DataFrame]:
+def with_verdicts(actual: DataFrame, state: DataFrame, rules_version: str) -> DataFrame:
+    """Destination rows with the stored ``verdicts`` about them (one for each source they have been paired with).
+
+    Both sides are keyed by destination path, as the diff that follows is, so the
+    lookup comes before it: over tables in buckets by that path it adds no
+    exchange, else one of the state's rows."""
+    verdict = F.struct("source_path", "source_mtime", "dest_mtime", "equal")
+    known = (state.where(F.col("rules_version") == rules_version)
+                  .groupBy(F.col("dest_path").alias("path")).agg(F.collect_list(verdict).alias("verdicts")))
+    return actual.join(known, "path", "left")
+
+
+def _both_files() -> Column:
+    return F.col("source_path").isNotNull() & F.col("d_is_dir").isNotNull() & ~F.col("s_is_dir") & ~F.col("d_is_dir")
+
+
+def judged_by_verdicts(pairs: DataFrame) -> DataFrame:
+    """Pairs with ``equal`` and ``state_hit``: a stored verdict about the pair's source is reused when both mtimes
+    are unchanged; only the other file pairs are compared."""
+    same = F.filter("verdicts", lambda v: (v["source_path"] == F.col("source_path")) & (v["source_mtime"] == F.col("s_mtime"))
+                    & (v["dest_mtime"] == F.col("d_mtime")))
+    known = F.when(_both_files(), F.get(same, F.lit(0)).getField("equal"))
+    return (pairs.withColumn("_known", known).withColumn("state_hit", F.col("_known").isNotNull())
+                 .withColumn("equal", F.coalesce("_known", content_equal())).drop("_known", "verdicts"))
+
+
+def incremental_equal(pairs: DataFrame, state: DataFrame | None, rules_version: str, evict: bool = False) -> tuple[DataFrame, DataFrame]:
     """Exact equality that reuses stored verdicts.
 
     A stored verdict for (source, dest) is reused when both mtimes are
     unchanged; only the other file pairs are compared. Returns the pairs with
     an ``equal`` column and the refreshed state (compared pairs, plus stored
-    entries not seen this time).
+    entries not seen this time unless ``evict``).
     """
-    both_files = F.col("source_path").isNotNull() & F.col("d_is_dir").isNotNull() & \
-        ~F.col("s_is_dir") & ~F.col("d_is_dir")
     if state is None:
         out = pairs.withColumn("equal", content_equal()).withColumn("state_hit", F.lit(False))
+    elif "verdicts" in pairs.columns:
+        out = judged_by_verdicts(pairs)
     else:
-        st = state.where(F.col("rules_version") == rules_version).select(
-            F.col("source_path").alias("_ss"), F.col("dest_path").alias("_sd"),
-            F.col("source_mtime").alias("_sm"), F.col("dest_mtime").alias("_dm"),
-            F.col("equal").alias("_eq"))
-        j = pairs.join(st, (F.col("source_path") == F.col("_ss")) & (F.col("dest_path") == F.col("_sd")), "left")
-        hit = both_files & F.col("_ss").isNotNull() & (F.col("_sm") == F.col("s_mtime")) & (F.col("_dm") == F.col("d_mtime"))
-        out = (j.withColumn("state_hit", F.coalesce(hit, F.lit(False)))
-                .withColumn("equal", F.when(F.col("state_hit"), F.col("_eq")).otherwise(content_equal()))
-                .drop("_ss", "_sd", "_sm", "_dm", "_eq"))
-    fresh = out.where(both_files).select(
+        known = with_verdicts(pairs.select(F.col("dest_path").alias("path"), *[c for c in pairs.columns if c != "dest_path"]), state, rules_version)
+        out = judged_by_verdicts(known.withColumnRenamed("path", "dest_path"))
+    fresh = out.where(_both_files()).select(
         "source_path", "dest_path", F.col("s_mtime").alias("source_mtime"),
         F.col("d_mtime").alias("dest_mtime"), "equal", F.lit(rules_version).alias("rules_version"))
-    if state is None:
-        return out, fresh
+    return out, _refreshed(fresh, state, rules_version, evict)
+
+
+def _refreshed(fresh: DataFrame, state: DataFrame | None, rules_version: str, evict: bool) -> DataFrame:
+    """Compared pairs, plus stored ones not seen this time unless ``evict``."""
+    if state is None or evict:
+        return fresh
     kept = state.where(F.col("rules_version") == rules_version).select(*STATE_COLUMNS) \
-        .join(fresh.select("source_path", "dest_path"), ["source_path", "dest_path"], "left_anti")
-    return out, fresh.unionByName(kept)
+        .join(fresh.select("source_path", "dest_path"), ["dest_path", "source_path"], "left_anti")
+    return fresh.unionByName(kept)
 
 
 def orphans(leftovers: DataFrame, ignore_regex: str | None, col: str = "path") -> DataFrame:
@@ -143,18 +167,14 @@ def diff_rows(pairs: DataFrame, keep_same_files: bool = False) -> DataFrame:
         "d_is_dir", "d_size", "d_mtime", "d_hash")
 
 
-def state_from_diff(diff: DataFrame, state: DataFrame | None, rules_version: str) -> DataFrame:
+def state_from_diff(diff: DataFrame, state: DataFrame | None, rules_version: str, evict: bool = False) -> DataFrame:
     """Refreshed state: every compared file pair (``same`` / ``modify`` rows of
-    a ``keep_same_files`` diff) plus stored entries not seen this time."""
+    a ``keep_same_files`` diff) plus stored entries not seen this time, unless ``evict``."""
     both_files = F.col("change").isin("same", "modify") & ~F.col("s_is_dir") & ~F.col("d_is_dir")
     fresh = diff.where(both_files).select(
         "source_path", "dest_path", F.col("s_mtime").alias("source_mtime"), F.col("d_mtime").alias("dest_mtime"),
         (F.col("change") == "same").alias("equal"), F.lit(rules_version).alias("rules_version"))
-    if state is None:
-        return fresh
-    kept = state.where(F.col("rules_version") == rules_version).select(*STATE_COLUMNS) \
-        .join(fresh.select("source_path", "dest_path"), ["source_path", "dest_path"], "left_anti")
-    return fresh.unionByName(kept)
+    return _refreshed(fresh, state, rules_version, evict)
 
 
 def leftovers(diff: DataFrame) -> DataFrame:

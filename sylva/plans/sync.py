@@ -19,6 +19,7 @@ from sylva.operators import diff as D
 from sylva.operators import renames as R
 from sylva.operators import report as Rep
 from sylva.operators import select as S
+from sylva.operators.paths import INVENTORY_COLUMNS
 from sylva.operators.transition import apply_changes, operation_plan
 from sylva.plans.rules import RulePlan, compile_rules
 from sylva.session import materialize
@@ -44,22 +45,24 @@ def _plan(rules, base: str) -> RulePlan:
 
 def check(src: DataFrame, dst: DataFrame, rules, *, base: str = "/", mode: str = "exact",
           state: DataFrame | None = None, renames: bool = True,
-          tolerance_us: int = D.FAST_TOLERANCE_US, cut: bool = True) -> CheckResult:
-    """The ``check`` command over two inventories and a rule table."""
+          tolerance_us: int = D.FAST_TOLERANCE_US, cut: bool = True, evict: bool = False) -> CheckResult:
+    """The ``check`` command over two inventories and a rule table. ``evict`` drops stored verdicts
+    about pairs that this check doesn't see."""
     plan = _plan(rules, base)
     tracked = S.track(src, plan)
     exp = S.expected(tracked)
     actual = D.in_scope(dst, plan.write_prefixes)
+    with_state = mode == "exact" and state is not None
+    if with_state:
+        actual = D.with_verdicts(actual.select(*INVENTORY_COLUMNS), state, plan.version)
     pairs = D.pair(exp, actual)
     new_state = None
     if mode == "fast":
         pairs = pairs.withColumn("equal", D.fast_equal(tolerance_us))
     elif mode == "exact":
-        pairs, new_state = D.incremental_equal(pairs, state, plan.version) if state is not None \
-            else (pairs.withColumn("equal", D.content_equal()), None)
+        pairs = D.judged_by_verdicts(pairs) if with_state else pairs.withColumn("equal", D.content_equal())
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    with_state = mode == "exact" and state is not None
     diff = D.diff_rows(pairs, keep_same_files=with_state)
     if cut:
         # the only consumer of the full outer join; written once so the orphan
@@ -68,7 +71,7 @@ def check(src: DataFrame, dst: DataFrame, rules, *, base: str = "/", mode: str =
         diff = materialize(diff, "diff")
     if with_state:
         # the refreshed state comes from the same pass, not a second join
-        new_state = D.state_from_diff(diff, state, plan.version)
+        new_state = D.state_from_diff(diff, state, plan.version, evict)
         diff = diff.where(F.col("change") != "same")
     deletions = D.orphans(D.leftovers(diff), plan.final_ignore_regex)
     roots = plan.destination_roots

@@ -168,7 +168,58 @@ def test_incremental_state_reuse(spark):
     assert hits2 == {"/d/a": False, "/d/b": True}
     assert St.load_equivalence_state(spark, folder, "other-rules").count() == 0  # void under new rules
     St.save_equivalence_state(new_state, folder)
-    assert sorted(os.listdir(folder)) == ["v=1", "v=2"]
+    assert St.live_version(spark, folder) == 2
+    gone = sync.check(src, tree(spark, [("/d/a", False, 1, 5, "h1")]), plan, state=stored, evict=True)
+    assert [r.dest_path for r in gone.state.collect()] == ["/d/a"]
+    kept = sync.check(src, tree(spark, [("/d/a", False, 1, 5, "h1")]), plan, state=stored)
+    assert sorted(r.dest_path for r in kept.state.collect()) == ["/d/a", "/d/b"]
+
+
+def test_state_commits(spark):
+    """Dead saves block nothing, and of two writers from one version the second is told."""
+    folder = tempfile.mkdtemp(prefix="sylva-commit-")
+    row = lambda eq, v="r": spark.createDataFrame([("/r/a", "/d/a", ts(0), ts(0), eq, v)], St.STATE_SCHEMA)
+    assert St.load_equivalence_state(spark, folder, "r") is None
+    row(True).write.parquet(folder + "/data-dead")  # died before its commit
+    assert St.load_equivalence_state(spark, folder, "r") is None
+    assert St.save_equivalence_state(row(True), folder) == 1
+    seen = St.live_version(spark, folder)
+    assert St.save_equivalence_state(row(False), folder, based_on=seen) == 2
+    with pytest.raises(St.StateConflict):
+        St.save_equivalence_state(row(True), folder, based_on=seen)
+    assert [r.equal for r in St.load_equivalence_state(spark, folder, "r").collect()] == [False]
+    open(folder + "/commits/3", "w").close()  # died between creating the commit and naming its rows
+    assert [r.equal for r in St.load_equivalence_state(spark, folder, "r").collect()] == [False]
+    assert St.save_equivalence_state(row(True), folder) == 4
+    assert [r.equal for r in St.load_equivalence_state(spark, folder, "r").collect()] == [True]
+    assert St.vacuum_state(spark, folder) == 0  # too young
+    assert St.vacuum_state(spark, folder, min_age_seconds=0) == 4
+    assert [r.equal for r in St.load_equivalence_state(spark, folder, "r").collect()] == [True]
+    assert St.load_equivalence_state(spark, folder, "other").count() == 0
+
+
+def test_verdicts_are_looked_up_without_an_exchange(spark, tmp_path):
+    """Snapshot and state in buckets by destination path: the state adds no exchange to the diff."""
+    plan = compile_rules(PLAIN)
+    src = tree(spark, [(f"/r/{i}", False, 1, 0, f"h{i}") for i in range(30)])
+    dst = tree(spark, [(f"/d/{i}", False, 1, 5, f"h{i % 20}") for i in range(30)])
+    state = sync.check(src, dst, plan, state=spark.createDataFrame([], St.STATE_SCHEMA)).state
+    dst_t = St.save_bucketed(dst, "t_snapshot", "path", 4, str(tmp_path / "a"))
+    state_t = St.save_bucketed(state, "t_state", "dest_path", 4, str(tmp_path / "b"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        exchanges = []
+        for st in (None, state_t):
+            res = sync.check(src, dst_t, plan, state=st, renames=False)
+            text = res.pairs._jdf.queryExecution().executedPlan().toString()
+            exchanges.append(text.count("Exchange hashpartitioning"))
+        assert exchanges[0] == exchanges[1], exchanges
+        assert res.pairs.where("state_hit").count() == 30
+        assert sorted(r.dest_path for r in res.public.collect()) == sorted(f"/d/{i}" for i in range(20, 30))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE t_snapshot")
+        spark.sql("DROP TABLE t_state")
 
 
 def test_backup_converges_and_is_idempotent(spark):
