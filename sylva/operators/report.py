@@ -75,93 +75,41 @@ def common_parent(df: DataFrame, root_col: str = "root", path_col: str = "path",
     return g.select(root_col, F.concat(F.lit("/"), F.array_join(lead, "/")).alias("common_path"))
 
 
-def _below(df: DataFrame, search_path: str, col: str = "path") -> DataFrame:
-    return df.where(P.is_below(col, search_path))
-
-
-def tree_counts(inventory: DataFrame, tracked_paths: DataFrame, search_path: str) -> DataFrame:
+def tree_counts(rows: DataFrame, search_path: str) -> DataFrame:
     """Directories, files and their untracked ("ignored") shares below the
-    search path: ``search_path, n_dirs, n_files, n_ignored_dirs, n_ignored_files``."""
-    inv = _below(inventory.select("path", "is_dir"), search_path)
-    tr = tracked_paths.select(F.col("read_path").alias("path")).distinct().withColumn("_t", F.lit(True))
-    j = inv.join(tr, "path", "left")
-    t = F.col("_t").isNotNull()
-    return j.agg(
-        F.count_if(F.col("is_dir")).alias("n_dirs"),
-        F.count_if(~F.col("is_dir")).alias("n_files"),
-        F.count_if(F.col("is_dir") & ~t).alias("n_ignored_dirs"),
-        F.count_if(~F.col("is_dir") & ~t).alias("n_ignored_files"),
+    search path: ``search_path, n_dirs, n_files, n_ignored_dirs, n_ignored_files``.
+    ``rows``: ``path, is_dir, tracked`` (see ``select.flagged``); one aggregate."""
+    d, t = F.col("is_dir"), F.col("tracked")
+    return rows.where(P.is_below("path", search_path)).agg(
+        F.count_if(d).alias("n_dirs"), F.count_if(~d).alias("n_files"),
+        F.count_if(d & ~t).alias("n_ignored_dirs"), F.count_if(~d & ~t).alias("n_ignored_files"),
     ).select(F.lit(search_path).alias("search_path"), "*")
 
 
-def _tracked_ancestors(tracked_paths: DataFrame) -> DataFrame:
-    """Directories with at least one tracked path strictly below them."""
-    par = (tracked_paths.select(P.parent("read_path").alias("_p"))
-                        .where(F.col("_p").isNotNull() & (F.col("_p") != "/")).distinct())
-    return (par.select(F.explode(F.array_union(P.ancestors("_p"), F.array("_p"))).alias("path"))
-               .distinct())
+def _nothing_below():
+    """Non-empty directories with nothing tracked below them."""
+    return F.col("is_dir") & (F.col("n_below") > 0) & (F.col("n_tracked_below") == 0)
 
 
-def pruned_subtrees(inventory: DataFrame, tracked_paths: DataFrame, search_path: str) -> DataFrame:
+def pruned_subtrees(sets: DataFrame) -> DataFrame:
     """Topmost non-empty directories below the search path with nothing tracked
-    below them: ``path, depth``. Their content collapses to one "(...)" row."""
-    inv = _below(inventory.select("path", "is_dir"), search_path)
-    nonempty = (inv.select(P.parent("path").alias("path")).where(P.is_below("path", search_path))
-                   .distinct())
-    has_tracked = _tracked_ancestors(tracked_paths)
-    pruned = nonempty.join(has_tracked, "path", "left_anti")
-    parent_ok = has_tracked.select(F.col("path").alias("_pp"))
-    top = (pruned.withColumn("_pp", P.parent("path"))
-                 .join(parent_ok.unionByName(
-                     inv.sparkSession.createDataFrame([(search_path,)], "_pp string")), "_pp", "left_semi")
-                 .drop("_pp"))
-    depth = F.size(P.parts("path")) - F.size(P.parts(F.lit(search_path)))
-    return top.select("path", depth.cast("bigint").alias("depth"))
-
-
-def tree_listing(inventory: DataFrame, tracked: DataFrame, search_path: str,
-                 verbose: bool = False, prune: bool = False) -> DataFrame:
-    """The tree below ``search_path`` as rows, in pre-order with siblings in
-    folded order: ``path, depth, name, is_dir, tracked, is_last, pruned, dest``.
-
-    ``dest`` (verbose) is the write path of tracked files and tracked empty
-    directories. With ``prune`` a non-empty directory with nothing tracked
-    below it is flagged ``pruned`` and the rows below it are dropped.
-
-    Per-directory facts (last child, non-empty, tracked below) are small
-    aggregates joined back on ``parent`` / ``path``; a row lies below a pruned
-    directory exactly when its parent has nothing tracked below it, so no
-    per-row ancestor explode is needed.
+    below them: ``path, depth``. Their content collapses to one "(...)" row.
+    ``sets``: the tree as nested sets (see ``tree.nested_sets``)."""
+    return sets.where(_nothing_below() & F.col("parent_has")).select("path", "depth")
+
+
+def tree_listing(sets: DataFrame, verbose: bool = False, prune: bool = False) -> DataFrame:
+    """The tree as rows, in pre-order with siblings in folded order:
+    ``path, depth, name, is_dir, tracked, is_last, pruned, dest, pre, n_below``.
+
+    ``pre`` is the row's place in the whole tree (the order as a column),
+    ``n_below`` the rows below it. ``dest`` (verbose) is the write path of
+    tracked files and tracked empty directories. With ``prune`` a non-empty
+    directory with nothing tracked below it is flagged ``pruned`` and the
+    rows below it are dropped: those whose parent has nothing tracked below.
     """
-    inv = _below(inventory.select("path", "is_dir"), search_path)
-    # the first rule's mapping is kept for a path reached twice
-    tr = tracked.groupBy(F.col("read_path").alias("path")).agg(
-        F.min_by("write_path", "rule_seq").alias("write_path"))
-    skey = F.struct(P.fold("name").alias("f"), F.col("name").alias("r"))
-    rows = (inv.join(tr, "path", "left")
-               .select("path", "is_dir", F.col("write_path").isNotNull().alias("tracked"), "write_path",
-                       P.parent("path").alias("parent"), P.name("path").alias("name")))
-    # per directory: its last child and that it is not empty
-    kids = rows.groupBy(F.col("parent").alias("_dir")).agg(F.max(skey).alias("_last"))
-    below = _tracked_ancestors(tracked).select(F.col("path").alias("_dir"), F.lit(True).alias("_has"))
-    facts = kids.join(below, "_dir", "full_outer")
-    p_f = facts.select(F.col("_dir").alias("parent"), F.col("_last"), F.col("_has").alias("_p_has"))
-    s_f = facts.select(F.col("_dir").alias("path"), F.col("_last").isNotNull().alias("_nonempty"),
-                       F.col("_has").alias("_s_has"))
-    rows = rows.join(p_f, "parent", "left").join(s_f, "path", "left")
-    nonempty = F.coalesce(F.col("_nonempty"), F.lit(False))
-    is_last = skey == F.col("_last")
-    dest = (F.when(F.col("tracked") & (~F.col("is_dir") | ~nonempty), F.col("write_path"))
-            if verbose else F.lit(None).cast("string"))
-    at_top = F.col("parent") == F.lit(search_path)
-    parent_has = F.coalesce(F.col("_p_has"), F.lit(False)) | at_top
-    self_has = F.coalesce(F.col("_s_has"), F.lit(False))
-    if prune:
-        pruned = F.col("is_dir") & nonempty & ~self_has
-        rows = rows.where(parent_has)
-    else:
-        pruned = F.lit(False)
-    depth = F.size(P.parts("path")) - F.size(P.parts(F.lit(search_path)))
-    return (rows.select("path", depth.cast("bigint").alias("depth"), "name", "is_dir", "tracked", is_last.alias("is_last"),
-                        pruned.alias("pruned"), dest.alias("dest"))
-                .orderBy(P.sibling_key("path")))
+    empty = F.col("n_below") == 0
+    dest = F.when(F.col("tracked") & (~F.col("is_dir") | empty), F.col("write_path")) if verbose else F.lit(None).cast("string")
+    rows = sets.where("parent_has") if prune else sets
+    return rows.select("path", "depth", P.name("path").alias("name"), "is_dir", "tracked", "is_last",
+                       (_nothing_below() if prune else F.lit(False)).alias("pruned"), dest.alias("dest"), "pre", "n_below").orderBy("pre")

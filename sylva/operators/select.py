@@ -127,6 +127,34 @@ def claimed(inventory: DataFrame, plan: RulePlan) -> DataFrame:
                .select(*INVENTORY_COLUMNS, "_c.rule_seq", "_c.read_prefix", "_c.write_prefix"))
 
 
+def flagged(inventory: DataFrame, plan: RulePlan) -> DataFrame:
+    """Every inventory row with ``tracked`` and, if so, the ``write_path`` of the earliest rule that claims it or
+    brings it as a parent: ``path, is_dir, rule_seq, tracked, write_path``.
+
+    Claims come from the same pass over the inventory as its rows; only directories are joined, with the parents that
+    rules bring."""
+    inv = inventory.select(*INVENTORY_COLUMNS)
+    if len(plan.adds) > CASE_RULES:
+        c = claimed_by_prefix(inv, plan).select("path", F.struct("rule_seq", "read_prefix", "write_prefix").alias("_c"))
+        own = inv.join(c, "path", "left")
+    elif plan.adds:
+        own = inv.select("path", "is_dir", F.explode(F.array(claim_struct(plan))).alias("_c"))
+    else:
+        own = inv.withColumn("_c", F.lit(None).cast("struct<rule_seq:int,read_prefix:string,write_prefix:string>"))
+    to = P.join_path(F.col("_c.write_prefix"), P.relative_to("path", F.col("_c.read_prefix")))
+    own = own.select("path", "is_dir", F.col("_c.rule_seq").alias("rule_seq"), F.when(F.col("_c").isNotNull(), to).alias("write_path"))
+    if not plan.adds:
+        return own.select("path", "is_dir", "rule_seq", F.lit(False).alias("tracked"), "write_path")
+    parents = track(inventory, plan).where("is_parent").groupBy(F.col("read_path").alias("path")).agg(
+        F.min("rule_seq").alias("_seq"), F.min_by("write_path", "rule_seq").alias("_to"))
+    by_parent = F.col("_seq").isNotNull() & (F.col("rule_seq").isNull() | (F.col("_seq") < F.col("rule_seq")))
+    dirs = own.where("is_dir").join(parents, "path", "left").select(
+        "path", "is_dir", F.when(by_parent, F.col("_seq")).otherwise(F.col("rule_seq")).alias("rule_seq"),
+        F.when(by_parent, F.col("_to")).otherwise(F.col("write_path")).alias("write_path"))
+    both = own.where("NOT is_dir").select("path", "is_dir", "rule_seq", "write_path").unionByName(dirs)
+    return both.select("path", "is_dir", "rule_seq", F.col("rule_seq").isNotNull().alias("tracked"), "write_path")
+
+
 def _finish(df: DataFrame, is_parent: bool) -> DataFrame:
     rel = P.relative_to("read_path", "read_prefix")
     return df.select("rule_seq", "read_path", P.join_path("write_prefix", rel).alias("write_path"),

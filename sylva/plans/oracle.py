@@ -411,11 +411,14 @@ FROM allp GROUP BY {fold('path')} HAVING count(DISTINCT path) > 1""",
          {_name('path')} AS name
   FROM src_inv WHERE path LIKE '/lake/%'),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY parent ORDER BY {fold('name')} DESC, name DESC) = 1 AS is_last FROM rows)
+  SELECT *, row_number() OVER (PARTITION BY parent ORDER BY {fold('name')} DESC, name DESC) = 1 AS is_last,
+    row_number() OVER (ORDER BY [{{'f': {fold('x')}, 'r': x}} FOR x IN string_split(path, '/')]) - 1 AS pre FROM rows),
+below AS (SELECT d.path, count(*) AS n FROM rows d JOIN rows r ON starts_with(r.path, d.path || '/') WHERE d.is_dir GROUP BY d.path)
 SELECT path, CAST(len(string_split(path, '/')) - 2 AS BIGINT) AS depth, name, is_dir, tracked, is_last,
   path IN (SELECT path FROM tops) AS pruned,
-  CASE WHEN tracked AND (NOT is_dir OR path NOT IN (SELECT parent FROM rows)) THEN '/backup/' || substr(path, 7) END AS dest
-FROM ranked r WHERE NOT EXISTS (SELECT 1 FROM tops t WHERE starts_with(r.path, t.path || '/'))""",
+  CASE WHEN tracked AND (NOT is_dir OR path NOT IN (SELECT parent FROM rows)) THEN '/backup/' || substr(path, 7) END AS dest,
+  pre, COALESCE(below.n, 0) AS n_below
+FROM ranked r LEFT JOIN below USING (path) WHERE NOT EXISTS (SELECT 1 FROM tops t WHERE starts_with(r.path, t.path || '/'))""",
         "operation_plan": fx + """SELECT CASE change WHEN 'add' THEN 1 WHEN 'rename' THEN 2 WHEN 'delete' THEN 3 ELSE 4 END AS phase,
   change, source_path, dest_path FROM changes""",
         "apply_changes": fx + ", " + _applied("dst_inv", "changes") + "SELECT * FROM applied",

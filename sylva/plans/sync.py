@@ -15,11 +15,14 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sylva.functions import paths as P
+from sylva.functions.paths import normalize_text
 from sylva.operators import diff as D
 from sylva.operators import renames as R
 from sylva.operators import report as Rep
 from sylva.operators import select as S
 from sylva.operators.paths import INVENTORY_COLUMNS
+from sylva.operators.tree import nested_sets
 from sylva.operators.transition import apply_changes, operation_plan
 from sylva.plans.rules import RulePlan, compile_rules
 from sylva.session import materialize
@@ -109,23 +112,31 @@ def tree(src: DataFrame, rules, *, base: str = "/", search_path: str | None = No
 
     ``search_path`` is the common parent of the tracked read paths; it is one
     row (one root on POSIX) and is read on the driver to anchor the listing.
+    A given one must be a directory of the inventory.
     """
     plan = _plan(rules, base)
-    tracked = S.track(src, plan).select("rule_seq", "read_path", "write_path", "is_dir")
+    rows = S.flagged(src, plan)
     if cut:
-        # read by the anchor, the counts, the pruning and the listing
-        tracked = materialize(tracked, "tracked")
-    kinds = tracked.select(F.lit("/").alias("root"), F.col("read_path").alias("path"), "is_dir")
+        # read by the anchor, the counts and the nested sets
+        rows = materialize(rows, "flagged")
+    kinds = rows.where("tracked").select(F.lit("/").alias("root"), "path", "is_dir")
     roots = Rep.common_parent(kinds, "root", "path", "is_dir")
     if search_path is None:
         row = roots.first()
         search_path = row["common_path"] if row else "/"
-    return TreeResult(
-        roots,
-        Rep.tree_counts(src, tracked, search_path),
-        Rep.pruned_subtrees(src, tracked, search_path),
-        Rep.tree_listing(src, tracked, search_path, verbose=verbose, prune=prune),
-    )
+    else:
+        search_path = normalize_text(search_path, base)
+        found = rows.where((F.col("path") == search_path) | P.is_below("path", search_path)).agg(
+            F.count(F.lit(1)).alias("n"), F.max((F.col("path") == search_path) & ~F.col("is_dir")).alias("file")).first()
+        if found["file"]:
+            raise NotADirectoryError(search_path)
+        if not found["n"] and search_path != "/":
+            raise FileNotFoundError(search_path)
+    sets = nested_sets(rows, search_path)
+    if cut:
+        sets = materialize(sets, "sets")
+    return TreeResult(roots, Rep.tree_counts(rows, search_path), Rep.pruned_subtrees(sets),
+                      Rep.tree_listing(sets, verbose=verbose, prune=prune))
 
 
 @dataclass
