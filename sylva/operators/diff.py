@@ -208,6 +208,17 @@ def public(changes: DataFrame) -> DataFrame:
     return changes.select(*CHANGE_COLUMNS)
 
 
+def _row_marks(cols: list[str]) -> list[Column]:
+    """128 bits of a row's values in four longs of 32 bits, whose sums can't overflow below 2**31 rows of a key.
+    Null flags go in: the hash function alone skips nulls."""
+    values = [x for c in cols for x in (F.col(c), F.col(c).isNull())]
+    out = []
+    for seed in (0, 1):
+        h = F.xxhash64(F.lit(seed), *values)
+        out += [h.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")), F.shiftrightunsigned(h, 32)]
+    return out
+
+
 def snapshot_diff(expected: DataFrame, actual: DataFrame, keys: list[str],
                   value_cols: list[str] | None = None) -> DataFrame:
     """Keyed snapshot diff: ``change`` (add / modify / delete) plus the keys.
@@ -215,17 +226,25 @@ def snapshot_diff(expected: DataFrame, actual: DataFrame, keys: list[str],
     Absent in actual -> add; present and some value differs (null-safe) ->
     modify; only in actual -> delete. Null keys equal each other. A key with
     several rows is compared as a multiset of rows: one ``modify`` if they differ.
-    Equal rows cancel out in a first count by row, a second one by key decides.
+
+    One aggregate by key, combined before its only shuffle: the counts of
+    either side, and the signed sums of each row's 128-bit mark, which are all
+    zero where the two multisets are equal (and else by a chance of 2**-128).
     """
     if value_cols is None:
         value_cols = [c for c in expected.columns if c not in keys]
-    cols = [*keys, *value_cols]
-    both = (expected.select(*cols, F.lit(1).alias("_e"), F.lit(0).alias("_a"))
-            .unionByName(actual.select(*cols, F.lit(0).alias("_e"), F.lit(1).alias("_a"))))
-    rows = both.groupBy(*cols).agg(F.sum("_e").alias("_e"), F.sum("_a").alias("_a"))
-    by_key = rows.groupBy(*keys).agg(F.sum("_e").alias("_e"), F.sum("_a").alias("_a"),
-                                     F.max(F.col("_e") != F.col("_a")).alias("_differs"))
+    marks = [f"_m{i}" for i in range(4)]
+
+    def side(df: DataFrame, sign: int) -> DataFrame:
+        return df.select(*keys, F.lit(sign).alias("_s"), *[(m * sign).alias(n) for m, n in zip(_row_marks(value_cols), marks)])
+
+    both = side(expected, 1).unionByName(side(actual, -1))
+    by_key = both.groupBy(*keys).agg(F.count_if(F.col("_s") > 0).alias("_e"), F.count_if(F.col("_s") < 0).alias("_a"),
+                                     *[F.sum(m).alias(m) for m in marks])
+    differs = F.col("_e") != F.col("_a")
+    for m in marks:
+        differs = differs | (F.col(m) != 0)
     change = (F.when(F.col("_a") == 0, F.lit("add"))
                .when(F.col("_e") == 0, F.lit("delete"))
-               .when(F.col("_differs"), F.lit("modify")))
+               .when(differs, F.lit("modify")))
     return by_key.select(change.alias("change"), *keys).where(F.col("change").isNotNull())

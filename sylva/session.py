@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -94,17 +95,32 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
 _WRITTEN: list[str] = []
 
 
-def clear_materialized(spark: SparkSession) -> int:
+def clear_materialized(spark: SparkSession, since: int = 0) -> int:
     """Delete the intermediate tables written by :func:`materialize` in this
-    process. Call it once the results that read them have been written; any
-    DataFrame still reading them becomes invalid. Returns the number removed."""
+    process (after the first ``since``). Call it once the results that read
+    them have been written; any DataFrame still reading them becomes invalid.
+    Returns the number removed."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     n = 0
-    while _WRITTEN:
+    while len(_WRITTEN) > since:
         path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         fs = path.getFileSystem(conf)
         if fs.exists(path):
             fs.delete(path, True)
             n += 1
     return n
+
+
+@contextmanager
+def intermediates(spark: SparkSession):
+    """Intermediate tables written inside the block go when it ends. Write what you want to keep before::
+
+        with intermediates(spark):
+            sync.check(src, dst, rules).public.write.parquet(out)
+    """
+    since = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        clear_materialized(spark, since)

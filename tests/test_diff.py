@@ -346,3 +346,23 @@ def test_keyed_diff_of_duplicate_and_null_keys(spark):
     b = spark.createDataFrame([(1, "x"), (1, "x"), (3, "n")], "k int, v string")
     got = {(r["change"], r["k"]) for r in D.snapshot_diff(a, b, ["k"]).collect()}
     assert got == {("modify", 1), ("add", None), ("add", 2), ("delete", 3)}
+
+
+def test_keyed_diff_tells_nulls_apart_in_one_shuffle(spark):
+    schema = "k int, a string, b string, x double"
+    a = spark.createDataFrame([(1, None, "x", 0.0), (2, "x", None, 1.0), (3, "p", "q", None), (4, "p", "q", None)], schema)
+    b = spark.createDataFrame([(1, "x", None, -0.0), (2, "x", None, 1.0), (3, "p", "q", 0.0), (4, "p", "q", None)], schema)
+    out = D.snapshot_diff(a, b, ["k"])
+    assert sorted((r["change"], r["k"]) for r in out.collect()) == [("modify", 1), ("modify", 3)]
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2  # initial and current plan
+
+
+def test_intermediates_go_when_a_block_ends(spark):
+    from sylva.session import intermediates, materialize
+
+    kept = materialize(spark.range(3), "kept")
+    with intermediates(spark):
+        inner = materialize(spark.range(4), "inner")
+        folder = inner.inputFiles()[0].rsplit("/", 1)[0].replace("file:", "")
+        assert os.path.isdir(folder)
+    assert not os.path.exists(folder) and kept.count() == 3
