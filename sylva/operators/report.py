@@ -30,7 +30,8 @@ GROUP_LIMIT = 1000
 
 def top_changes(changes: DataFrame, limit: int = 50) -> DataFrame:
     """First ``limit`` rows per change type in folded order of the destination
-    path (renames by their new path); ``n_more`` = rows left out of that type.
+    path (renames by their new path), by type and rank; ``n_more`` = rows left out
+    of that type.
     A negative limit keeps everything.
 
     For a small limit ``row_number() <= limit`` becomes a ``WindowGroupLimit``:
@@ -48,7 +49,7 @@ def top_changes(changes: DataFrame, limit: int = 50) -> DataFrame:
     kept = ranked if limit < 0 else ranked.where(F.col("rank") <= limit)
     more = F.lit(0) if limit < 0 else F.greatest(F.col("_n") - limit, F.lit(0))
     return kept.join(counts, "change").select("change", F.col("rank").cast("bigint").alias("rank"), "source_path", "dest_path",
-                                              more.cast("bigint").alias("n_more"))
+                                              more.cast("bigint").alias("n_more")).orderBy("change", "rank")
 
 
 def common_parent(df: DataFrame, root_col: str = "root", path_col: str = "path",
