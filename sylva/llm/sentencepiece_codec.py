@@ -30,7 +30,7 @@ from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalize
 
 MARK = "▁"
 WORDS = re.compile(" +[^ ]+| +$").findall
-KNOWN_WORDS = 400_000  # words remembered by a Python worker; only the memory's bound
+KNOWN_WORDS, KNOWN_CHARS = 200_000, 4 << 20  # words remembered by a Python worker; only the memory's bound
 LINE_WORDS = 32  # words encoded by one call
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, _, BYTE = range(1, 7)
@@ -92,12 +92,16 @@ class Codec:
         self.fast, self.slow = rebuild(path), sentencepiece.SentencePieceProcessor(model_file=path)
         self.by_word = self.fast.pre_tokenizer is not None
         self.starts = np.array([self.fast.id_to_token(i).startswith(MARK) for i in range(self.fast.get_vocab_size())])
-        self.known: dict[str, bytes] = {}
-        self.differ, self.lossy = set(), set()  # known words without parity, or not given back by decoding
+        self.forget()
         # a last lone blank: the normaliser puts no marker before an empty text, so it can't come from whole()
         mark = self.fast.model.tokenize(MARK)
         self.blank = (np.array([t.id for t in mark], "<i4").tobytes(), True, True)
 
+    def forget(self) -> None:
+        self.known: dict[str, bytes] = {}
+        self.differ, self.lossy = set(), set()  # known words without parity, or not given back by decoding
+        self.held = 0  # characters of known words
+
     def whole(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
         """(identifiers, agrees with the library, decodes to the text) of each text."""
         ids = [e.ids for e in self.fast.encode_batch_fast(texts, add_special_tokens=False)]
@@ -107,10 +111,8 @@ class Codec:
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
         if not self.by_word:
             return self.whole(texts)
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-            self.differ.clear()
-            self.lossy.clear()
+        if len(self.known) > KNOWN_WORDS or self.held > KNOWN_CHARS:
+            self.forget()
         cut = [WORDS(" " + t) if t else [] for t in texts]  # the marker put first, as by the normaliser
         self._learn(sorted(set().union(*cut) - self.known.keys()))
         get = self.known.__getitem__
@@ -119,6 +121,7 @@ class Codec:
     def _learn(self, words: list[str]) -> None:
         """Many words as one line, cut where a piece starts with the marker; the words of a line with another number
         of cuts, without parity or not given back by decoding are encoded one by one."""
+        self.held += sum(map(len, words))
         alone = [w for w in words if w.startswith("  ") or w == " "]
         plain = [w for w in words if not (w.startswith("  ") or w == " ")]
         lines = [plain[k : k + LINE_WORDS] for k in range(0, len(plain), LINE_WORDS)]
@@ -157,7 +160,7 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def _groups(texts: list[str | None], most: int = 4 << 20) -> Iterator[list[int]]:
+def _groups(texts: list[str | None], most: int = 2 << 20) -> Iterator[list[int]]:
     """Row numbers in groups of bounded text."""
     group, size = [], 0
     for i, t in enumerate(texts):
@@ -194,6 +197,7 @@ def encode(docs: DataFrame, model: str, with_ids: bool = True) -> DataFrame:
                     pa.array([hashlib.sha256(r[0]).hexdigest() for r in rows], pa.string(), mask=null),
                     pa.array([r[1] for r in rows], pa.bool_(), mask=null),
                     pa.array([r[2] for r in rows], pa.bool_(), mask=null)], schema=kept)
+        c.forget()  # the worker goes on to other stages
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, parity boolean, round_trip boolean")
