@@ -82,11 +82,11 @@ def check(src: DataFrame, dst: DataFrame, rules, *, base: str = "/", mode: str =
         # a nested write prefix lies inside another prefix's scope; it is a
         # destination root, not a leftover
         deletions = deletions.where(~F.col("path").isin(roots))
+    if renames and cut and plan.final_ignore_regex is not None:
+        # the pairing reads deletions several times; without ignores they are a scan of the diff
+        deletions = materialize(deletions, "deletions")
     changes = D.changes_from_diff(diff, deletions)
     if renames:
-        if cut:
-            # read by both sides of the pairing and by what can't pair
-            changes = materialize(changes, "changes")
         changes = R.detect_renames_fast(changes, tolerance_us) if mode == "fast" else R.detect_renames(changes)
     return CheckResult(changes, pairs, tracked, exp, new_state, plan)
 
