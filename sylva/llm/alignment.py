@@ -349,7 +349,6 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                     lists([*(where[i:j] for i, j in zip(cuts, cuts[1:])), no], "int32"), lists([*(r[6] for r in rows), n_docs], "int64"),
                     lists([*[no] * len(g), keys], "int64")], schema=kept)
                 block += 1
-        p.forget()  # the worker goes on to other stages
 
     return texts(docs).mapInArrow(run, f"block long, doc long, doc_id long, {', '.join(f'{c} long' for c in COUNTS)}, groups_sha256 string, "
                                        "pair array<int>, links array<long>, key array<long>")
