@@ -162,9 +162,12 @@ def diff_rows(pairs: DataFrame, keep_same_files: bool = False) -> DataFrame:
               .when(~F.col("equal"), F.lit("modify")))
     if keep_same_files:
         label = label.when(~F.col("s_is_dir") & ~F.col("d_is_dir"), F.lit("same"))
-    return pairs.withColumn("change", label).where(F.col("change").isNotNull()).select(
-        "change", "source_path", "dest_path", "s_is_dir", "s_size", "s_mtime", "s_hash",
-        "d_is_dir", "d_size", "d_mtime", "d_hash")
+    # of equal files only the paths and times are read again
+    changed = {c: F.when(F.col("change") != "same", F.col(c)).alias(c) for c in ("s_size", "s_hash", "d_size", "d_hash")}
+    return pairs.withColumn("change", label).where(F.col("change").isNotNull()).select(*[
+        changed.get(c, F.col(c)) if keep_same_files else F.col(c) for c in (
+            "change", "source_path", "dest_path", "s_is_dir", "s_size", "s_mtime", "s_hash",
+            "d_is_dir", "d_size", "d_mtime", "d_hash")])
 
 
 def state_from_diff(diff: DataFrame, state: DataFrame | None, rules_version: str, evict: bool = False) -> DataFrame:
